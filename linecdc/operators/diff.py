@@ -14,6 +14,7 @@ from linecdc.functions.text import event_id, iso_timestamp
 from linecdc.operators.matching import DEFAULT_SMALL, KEYS, MatchResult, match_lines
 from linecdc.operators.ordering import prefix_sum
 from linecdc.schema import DELETE, EVENT_COLUMNS, INSERT, UPDATE
+from linecdc.session import materialize
 
 # Rows one opcode is cut into before the per-line explode, so a huge opcode
 # (a whole file deleted) is spread over many tasks.
@@ -96,6 +97,10 @@ def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column |
         old = old.join(changed, KEYS, "left_semi")
         new = new.join(changed, KEYS, "left_semi")
     L = to_sides(old, new)
+    if match is None:
+        # The comparison's lines are read by every matching step and by the
+        # value lookup: write them once (also cuts the input lineage).
+        L = materialize(L, "cmp-lines")
     m = match or match_lines(L, strategy=strategy, small=small)
     changes = attach_values(expand_opcodes(m.opcodes), L)
     return events_from_changes(changes, detected_at)
@@ -172,7 +177,7 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
     chunks = chunks.where(F.col("total") > 0).repartition(*KEYS, "c")
     slots = chunks.select(*KEYS, F.explode(F.sequence(F.col("c") * EXPLODE_CHUNK + 1,
                                                       F.least(F.col("total"), (F.col("c") + 1) * EXPLODE_CHUNK)))
-                          .cast("int").alias("line_number"))
+                          .alias("line_number")).withColumn("line_number", F.col("line_number").cast("int"))
     free = slots.join(ins.select(*KEYS, "line_number"), [*KEYS, "line_number"], "left_anti")
     free = prefix_sum(free, KEYS, "line_number", F.lit(1), "rank")
     kept = free.join(survivors.select(*KEYS, "rank", "line"), [*KEYS, "rank"]).select(*KEYS, "line_number", "line")

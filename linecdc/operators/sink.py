@@ -129,11 +129,14 @@ def snapshot_latest(snapshots: DataFrame) -> DataFrame:
     return snapshots.join(latest, ["file_name", "version"], "left_semi")
 
 
-def advance_snapshots(lines: DataFrame, path: str) -> None:
-    """Append line rows of new versions to the snapshot table (partitioned
-    by version so a replay rewrites its own partition)."""
-    (lines.select("file_name", "version", "line_number", "line").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+def advance_snapshots(lines: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    """Append line rows of new versions to the snapshot table, in the
+    writing batch's own partition (a replay rewrites the same rows). Readers
+    take the latest version per file (G4)."""
+    (lines.select("file_name", "version", "line_number", "line")
+     .withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch_id").parquet(path))
 
 
 def sink_writer(fmt: str = "parquet"):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linecdc.functions.text import ISO_FORMAT
 from linecdc.operators.ordering import rank_within
+from linecdc.session import materialize
 
 # Fixed values of the fixture rules.
 N_ORDER_FILES = 16
@@ -95,7 +96,9 @@ def order_lines(spark: SparkSession, sf_dir: str, versions=(1, 2, 3)) -> DataFra
         F.col("v").cast("long").alias("version"), (F.col("k") * 2 + F.col("sub")).alias("ord"), "line")
     # Line numbers per (file, version) without gathering a file in one task.
     numbered = rank_within(allv, ["file_name", "version"], "ord", "line_number", one_based=True)
-    return numbered.select("file_name", "version", F.col("line_number").cast("int").alias("line_number"), "line")
+    out = numbered.select("file_name", "version", F.col("line_number").cast("int").alias("line_number"), "line")
+    # Derived once, written to the shared folder: later plans read a table.
+    return materialize(out, "order-lines")
 
 
 def order_versions(spark: SparkSession, sf_dir: str, versions=(1, 2, 3)) -> DataFrame:
