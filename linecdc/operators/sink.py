@@ -62,7 +62,8 @@ def insert_if_absent(events: DataFrame, path: str, run_id: str, batch_id: int,
             new = batch.join(others, "event_id", "left_anti")
         else:
             new = batch
-        rows = to_table_rows(new.select(*EVENT_COLUMNS)).withColumn(
+        extra = [c for c in ("version", "change_seq") if c in new.columns]
+        rows = to_table_rows(new.select(*EVENT_COLUMNS, *extra)).withColumn(
             "loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
         rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
