@@ -14,7 +14,7 @@ Three exact ways to finish a (part of a) file, picked per file/segment:
   in the same order: every match is kept, blocks are the diagonal runs, no
   recursion. Typical for record-like files.
 * **P** — a *bounded* segment (both sides at most ``small`` lines) is finished
-  inside one grouped ``applyInPandas`` task with the stdlib longest-match.
+  inside one task (``mapInPandas`` over segment-sorted partitions) with the stdlib longest-match.
 * **R** — relational rounds: every active segment of every file finds its
   longest block in the same Spark jobs, splits, and goes on. It never
   materialises match pairs: windows of ``2**k`` lines get exact content names
@@ -189,44 +189,72 @@ def chain_pieces(ranked: DataFrame, chain_ext: DataFrame) -> DataFrame:
 _P_IN = ["file_name", "version", "alo", "ahi", "blo", "bhi", "side", "pos", "vid"]
 
 
-def _finish_group(pdf: pd.DataFrame) -> pd.DataFrame:
+def _finish_segment(a, b, fn, ver, alo, blo, out) -> None:
     """Longest-block recursion over one bounded segment (values are exact ids)."""
     from difflib import SequenceMatcher
 
-    fn, ver = pdf["file_name"].iat[0], int(pdf["version"].iat[0])
-    alo, ahi, blo, bhi = (int(pdf[c].iat[0]) for c in ("alo", "ahi", "blo", "bhi"))
-    pdf = pdf.sort_values(["side", "pos"])
-    a = pdf.loc[pdf["side"] == 0, "vid"].tolist()
-    b = pdf.loc[pdf["side"] == 1, "vid"].tolist()
     sm = SequenceMatcher(None, a, b, autojunk=False)
-    out = []
-    todo = [(0, ahi - alo, 0, bhi - blo)]
+    todo = [(0, len(a), 0, len(b))]
     while todo:
         lo_a, hi_a, lo_b, hi_b = todo.pop()
+        k = 0
         if lo_a < hi_a and lo_b < hi_b:
             i, j, k = sm.find_longest_match(lo_a, hi_a, lo_b, hi_b)
-        else:
-            k = 0
         if k:
-            out.append(("B", i, i + k, j, j + k))
+            out.append((fn, ver, "B", alo + i, alo + i + k, blo + j, blo + j + k))
             todo.append((lo_a, i, lo_b, j))
             todo.append((i + k, hi_a, j + k, hi_b))
         elif lo_a < hi_a or lo_b < hi_b:
-            out.append(("G", lo_a, hi_a, lo_b, hi_b))
-    res = pd.DataFrame(out, columns=["kind", "i1", "i2", "j1", "j2"])
-    res["i1"] += alo
-    res["i2"] += alo
-    res["j1"] += blo
-    res["j2"] += blo
-    res.insert(0, "version", ver)
-    res.insert(0, "file_name", fn)
-    return res
+            out.append((fn, ver, "G", alo + lo_a, alo + hi_a, blo + lo_b, blo + hi_b))
+
+
+def _finish_batches(batches):
+    """mapInPandas body: rows arrive sorted by segment; a segment cut by a
+    batch boundary is carried into the next batch. Memory: one batch plus one
+    bounded segment."""
+    import numpy as np
+
+    cols = ["file_name", "version", "kind", "i1", "i2", "j1", "j2"]
+
+    def run(pdf, starts, ends):
+        fn = pdf["file_name"].to_numpy()
+        ver = pdf["version"].to_numpy()
+        alo = pdf["alo"].to_numpy()
+        blo = pdf["blo"].to_numpy()
+        side = pdf["side"].to_numpy()
+        vid = pdf["vid"].to_numpy()
+        out = []
+        for s, e in zip(starts, ends):
+            sd, vd = side[s:e], vid[s:e]
+            _finish_segment(vd[sd == 0].tolist(), vd[sd == 1].tolist(), fn[s], int(ver[s]), int(alo[s]),
+                            int(blo[s]), out)
+        return pd.DataFrame(out, columns=cols)
+
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        n = len(pdf)
+        if n == 0:
+            continue
+        fn, ver, alo = (pdf[c].to_numpy() for c in ("file_name", "version", "alo"))
+        change = np.ones(n, dtype=bool)
+        change[1:] = (fn[1:] != fn[:-1]) | (ver[1:] != ver[:-1]) | (alo[1:] != alo[:-1])
+        starts = np.flatnonzero(change)
+        carry = pdf.iloc[starts[-1]:].reset_index(drop=True)
+        if len(starts) > 1:
+            yield run(pdf, starts[:-1], starts[1:])
+    if carry is not None and len(carry):
+        yield run(carry, np.array([0]), np.array([len(carry)]))
 
 
 def finish_small(rows: DataFrame) -> DataFrame:
-    """Strategy P over bounded segments: ``rows`` has ``_P_IN`` columns; one
-    group per (file, version, segment)."""
-    return rows.select(*_P_IN).groupBy("file_name", "version", "alo").applyInPandas(_finish_group, PIECES_SCHEMA)
+    """Strategy P over bounded segments: ``rows`` has ``_P_IN`` columns. Rows are
+    hash-partitioned by segment and sorted inside partitions; Arrow batches
+    stream through one Python function per task (no per-group call)."""
+    keys = ["file_name", "version", "alo"]
+    return (rows.select(*_P_IN).repartition(*keys).sortWithinPartitions(*keys, "side", "pos")
+            .mapInPandas(_finish_batches, PIECES_SCHEMA))
 
 
 # ---------------------------------------------------------------- R: relational rounds

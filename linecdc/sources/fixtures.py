@@ -186,7 +186,7 @@ def log_records(spark: SparkSession, sf_dir: str, redeliveries: bool = True) ->
         F.col("ts").alias("timestamp"),
     )
     if not redeliveries:
-        return base
+        return materialize(base, "log-records")
     again = f.where(sid % REDELIVERY_MOD == 0).withColumn("new_value", F.lit(REDELIVERED_VALUE))
     again = again.select(
         F.encode("event_id", "UTF-8").alias("key"),
@@ -196,7 +196,7 @@ def log_records(spark: SparkSession, sf_dir: str, redeliveries: bool = True) ->
         (F.floor(sid / N_LOG_PARTITIONS) + REDELIVERY_OFFSET).cast("long").alias("offset"),
         F.col("ts").alias("timestamp"),
     )
-    return base.unionByName(again)
+    return materialize(base.unionByName(again), "log-records")
 
 
 # ---------------------------------------------------------------- N
