@@ -158,32 +158,59 @@ def classify(tagged: DataFrame, values: DataFrame, ext: DataFrame, small: int):
 
 # ---------------------------------------------------------------- chain path
 
-def chain_pieces(ranked: DataFrame, chain_ext: DataFrame) -> DataFrame:
-    """Blocks and gaps of files whose matches form a chain.
-
-    Blocks are diagonal runs: along a run both ``i - rank`` and ``j - rank`` stay
-    constant. The gap in front of a run starts where the pair of the previous
-    rank ends; the last gap runs to the end of both sides.
+def chain_pieces(ranked: DataFrame, bounds: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Blocks and gaps of files (or segments) whose matches form a chain.
+
+    ``bounds`` has ``keys`` + ``alo, ahi, blo, bhi``; ``ranked`` has ``keys`` +
+    ``i, j, ri`` (rank of the pair in the chain). Blocks are diagonal runs:
+    along a run both ``i - rank`` and ``j - rank`` stay constant. The gap in
+    front of a run starts where the pair of the previous rank ends; the last
+    gap runs to the end of both sides.
     """
-    p = ranked.join(chain_ext.select(*KEYS), KEYS, "left_semi")
-    blocks = p.groupBy(*KEYS, (F.col("i") - F.col("ri")).alias("di"), (F.col("j") - F.col("ri")).alias("dj")).agg(
-        F.min("i").alias("i1"), F.min("j").alias("j1"), F.count("*").alias("n"), F.min("ri").alias("r0"))
-    prev = p.select(*KEYS, (F.col("ri") + 1).alias("r0"), (F.col("i") + 1).alias("pi"), (F.col("j") + 1).alias("pj"))
-    gaps_before = blocks.join(prev, [*KEYS, "r0"], "left").select(
+    p = ranked.join(bounds.select(*keys, "alo", "blo"), keys)
+    blocks = p.groupBy(*keys, (F.col("i") - F.col("ri")).alias("di"), (F.col("j") - F.col("ri")).alias("dj")).agg(
+        F.min("i").alias("i1"), F.min("j").alias("j1"), F.count("*").alias("n"), F.min("ri").alias("r0"),
+        F.first("alo").alias("alo"), F.first("blo").alias("blo"))
+    prev = p.select(*keys, (F.col("ri") + 1).alias("r0"), (F.col("i") + 1).alias("pi"), (F.col("j") + 1).alias("pj"))
+    gaps_before = blocks.join(prev, [*keys, "r0"], "left").select(
         *KEYS, F.lit("G").alias("kind"),
-        F.coalesce("pi", F.lit(0)).alias("i1"), F.col("i1").alias("i2"),
-        F.coalesce("pj", F.lit(0)).alias("j1"), F.col("j1").alias("j2"))
-    last = p.groupBy(*KEYS).agg(F.max(F.struct("ri", "i", "j")).alias("m")).select(
-        *KEYS, (F.col("m.i") + 1).alias("ti"), (F.col("m.j") + 1).alias("tj"))
-    gaps_after = chain_ext.join(last, KEYS, "left").select(
+        F.coalesce("pi", "alo").alias("i1"), F.col("i1").alias("i2"),
+        F.coalesce("pj", "blo").alias("j1"), F.col("j1").alias("j2"))
+    last = p.groupBy(*keys).agg(F.max(F.struct("ri", "i", "j")).alias("m")).select(
+        *keys, (F.col("m.i") + 1).alias("ti"), (F.col("m.j") + 1).alias("tj"))
+    gaps_after = bounds.join(last, keys, "left").select(
         *KEYS, F.lit("G").alias("kind"),
-        F.coalesce("ti", F.lit(0)).alias("i1"), F.col("la").alias("i2"),
-        F.coalesce("tj", F.lit(0)).alias("j1"), F.col("lb").alias("j2"))
+        F.coalesce("ti", "alo").alias("i1"), F.col("ahi").alias("i2"),
+        F.coalesce("tj", "blo").alias("j1"), F.col("bhi").alias("j2"))
     block_rows = blocks.select(*KEYS, F.lit("B").alias("kind"), "i1", (F.col("i1") + F.col("n")).alias("i2"),
                                "j1", (F.col("j1") + F.col("n")).alias("j2"))
     return block_rows.unionByName(gaps_before).unionByName(gaps_after)
 
 
+def segment_chains(mem: DataFrame, t: DataFrame, seg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rule 3 inside R: open segments whose matches form a chain (every common
+    value once per side inside the segment, pairs in the same order).
+
+    Returns ``(bounds, ranked)`` of those segments, for ``chain_pieces`` with
+    keys ``KEYS + ['sid']``. A segment with no common value qualifies too (it is
+    one gap)."""
+    sk = [*KEYS, "sid"]
+    memv = mem.select(*KEYS, "side", "pos", "sid").join(t, [*KEYS, "side", "pos"])
+    cnt = memv.groupBy(*sk, "vid").agg(
+        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("ca"),
+        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("cb"))
+    multi = cnt.where((F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") * F.col("cb") > 1)).select(*sk).distinct()
+    uv = cnt.where((F.col("ca") == 1) & (F.col("cb") == 1)).select(*sk, "vid")
+    u = memv.join(uv, [*sk, "vid"], "left_semi")
+    pairs = (u.where(F.col("side") == 0).select(*sk, "vid", F.col("pos").alias("i"))
+             .join(u.where(F.col("side") == 1).select(*sk, "vid", F.col("pos").alias("j")), [*sk, "vid"]))
+    ranked = rank_within(rank_within(pairs, sk, "i", "ri"), sk, "j", "rj")
+    disorder = ranked.where(F.col("ri") != F.col("rj")).select(*sk).distinct()
+    bounds = seg.join(multi, sk, "left_anti").join(disorder, sk, "left_anti").select(
+        *sk, F.col("sid").alias("alo"), "ahi", "blo", "bhi")
+    return bounds, ranked.select(*sk, "i", "j", "ri")
+
+
 # ---------------------------------------------------------------- P: bounded finish
 
 _P_IN = ["file_name", "version", "alo", "ahi", "blo", "bhi", "side", "pos", "vid"]
@@ -330,7 +357,8 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame | None:
 
 
 def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
-                      max_rounds: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+                      max_rounds: int | None = None,
+                      segment_chain_test: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
     """Strategy R over whole files in ``ext``.
 
     Each round, for all open segments of all files at once: (1) the largest
@@ -342,7 +370,9 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
 
     Returns ``(pieces, p_rows, rounds)``; ``p_rows`` are rows of segments that
     fell to at most ``small`` lines a side (None if ``small`` is None), to be
-    finished by P.
+    finished by P. ``segment_chain_test`` also finishes, every round, open
+    segments whose matches form a chain (useful when splits leave unique
+    lines; it costs a few jobs per round, so it is off by default).
     """
     spark: SparkSession = tagged.sparkSession
     t = tagged.join(ext.select(*KEYS), KEYS, "left_semi").select(*KEYS, "side", "pos", "vid")
@@ -371,6 +401,15 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
                 .select(*KEYS, F.col("sid").alias("alo"), "ahi", "blo", "bhi", "side", "pos", "vid"))
             seg = seg.where(~is_small)
             mem = mem.join(seg.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi")
+        # 0. Segments whose matches form a chain are finished without recursion.
+        if segment_chain_test and rounds > 0:
+            cb, cr = segment_chains(mem, t, seg)
+            cb = _checkpoint(cb)
+            if not cb.isEmpty():
+                pieces.append(_checkpoint(chain_pieces(cr.join(cb.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi"),
+                                                       cb, [*KEYS, "sid"])))
+                seg = seg.join(cb.select(*KEYS, "sid"), [*KEYS, "sid"], "left_anti")
+                mem = mem.join(seg.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi")
         # 1. Largest power of two with a common window inside the segment.
         mn = mem.join(names, [*KEYS, "side", "pos"]).where(_fits(_pow2(F.col("k"))))
         lv = (mn.groupBy(*KEYS, "sid", "k", "n").agg(
@@ -450,7 +489,9 @@ def match_lines(L: DataFrame, strategy: str = "auto", small: int = DEFAULT_SMALL
         cls = cls.withColumn("path", F.when(
             (F.col("la") <= small) & (F.col("lb") <= small), "small").otherwise(
             F.when(F.col("path") == "chain", "chain").otherwise("large")))
-    out = chain_pieces(ranked, cls.where(F.col("path") == "chain").select(*KEYS, "la", "lb"))
+    out = chain_pieces(ranked, cls.where(F.col("path") == "chain").select(
+        *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
+        F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi")))
     rounds = 0
     if strategy == "R":
         r_ext = cls.where(F.col("path") != "chain").select(*KEYS, "la", "lb")
