@@ -101,7 +101,8 @@ def prepare(L: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tag each line with an exact value id and count values per side.
 
     Returns ``(tagged, values, ext)``:
-    tagged ``(file_name, version, side, pos, vid)``; values ``(…, vid, ca, cb)``;
+    tagged ``(file_name, version, side, pos, vid, ca, cb)`` (per-side counts of
+    the line's value); values ``(…, vid, ca, cb)``;
     ext ``(file_name, version, la, lb)``.
     """
     L = L.select(*KEYS, F.col("side").cast("int").alias("side"), F.col("pos").cast("long").alias("pos"),
@@ -114,8 +115,8 @@ def prepare(L: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("ca"),
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("cb"),
     )
-    tagged = L.join(values.select(*KEYS, "h", "line", "vid"), [*KEYS, "h", "line"]).select(
-        *KEYS, "side", "pos", "vid")
+    tagged = L.join(values.select(*KEYS, "h", "line", "vid", "ca", "cb"), [*KEYS, "h", "line"]).select(
+        *KEYS, "side", "pos", "vid", "ca", "cb")
     ext = L.groupBy(*KEYS).agg(
         F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).cast("long").alias("la"),
         F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).cast("long").alias("lb"),
@@ -123,28 +124,29 @@ def prepare(L: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tagged, values.drop("h", "line"), ext
 
 
-def unique_pairs(tagged: DataFrame, values: DataFrame) -> DataFrame:
+def unique_pairs(tagged: DataFrame) -> DataFrame:
     """Match pairs of lines that occur exactly once on each side (1:1, bounded).
 
     This is D1 restricted to what can be emitted without a quadratic blow-up:
     repeated lines are never expanded into all their pairs.
     """
-    uv = values.where((F.col("ca") == 1) & (F.col("cb") == 1)).select(*KEYS, "vid")
-    t = tagged.join(uv, [*KEYS, "vid"], "left_semi")
+    t = tagged.where((F.col("ca") == 1) & (F.col("cb") == 1))
     a = t.where(F.col("side") == 0).select(*KEYS, "vid", F.col("pos").alias("i"))
     b = t.where(F.col("side") == 1).select(*KEYS, "vid", F.col("pos").alias("j"))
     return a.join(b, [*KEYS, "vid"]).select(*KEYS, "i", "j")
 
 
-def classify(tagged: DataFrame, values: DataFrame, ext: DataFrame, small: int):
+def classify(tagged: DataFrame, ext: DataFrame, small: int):
     """Per file: chain (unique lines, same order), small, or large.
 
     Returns ``(ranked_pairs, cls)`` where cls has ``file_name, version, la, lb, path``.
     """
-    pairs = unique_pairs(tagged, values)
+    pairs = unique_pairs(tagged)
     ranked = rank_within(rank_within(pairs, KEYS, "i", "ri"), KEYS, "j", "rj")
     disorder = ranked.groupBy(*KEYS).agg(F.sum(F.when(F.col("ri") != F.col("rj"), 1).otherwise(0)).alias("bad"))
-    multi = values.groupBy(*KEYS).agg(
+    # Rows of values that are common and repeated on a side (0 iff the file's
+    # common values are all unique on both sides).
+    multi = tagged.groupBy(*KEYS).agg(
         F.sum(F.when((F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") * F.col("cb") > 1), 1)
               .otherwise(0)).alias("multi"))
     cls = (ext.join(multi, KEYS, "left").join(disorder, KEYS, "left")
@@ -454,7 +456,8 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
         pieces.append(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo"))))
                       .select(*KEYS, F.lit("G").alias("kind"), F.col("sid").alias("i1"), F.col("ahi").alias("i2"),
                               F.col("blo").alias("j1"), F.col("bhi").alias("j2")))
-        seg = _checkpoint(kids.where(open_kid))
+        # Cheap projection of the written winners: no need to write it again.
+        seg = kids.where(open_kid)
         w = win.select(*KEYS, "sid", "bi", "bj", "bk")
         moved = mem.drop("ahi", "blo", "bhi").join(w, [*KEYS, "sid"])
         p = F.col("pos")
@@ -479,10 +482,9 @@ def match_lines(L: DataFrame, strategy: str = "auto", small: int = DEFAULT_SMALL
     """
     if strategy not in ("auto", "R", "P"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    tagged, values, ext = prepare(L)
+    tagged, _, ext = prepare(L)
     tagged = _checkpoint(tagged)
-    values = _checkpoint(values)
-    ranked, cls = classify(tagged, values, ext, small)
+    ranked, cls = classify(tagged, ext, small)
     cls = _checkpoint(cls)
     ranked = _checkpoint(ranked)
     if strategy == "P":
@@ -495,18 +497,22 @@ def match_lines(L: DataFrame, strategy: str = "auto", small: int = DEFAULT_SMALL
     rounds = 0
     if strategy == "R":
         r_ext = cls.where(F.col("path") != "chain").select(*KEYS, "la", "lb")
-        rp, _, rounds = relational_rounds(tagged, r_ext, None)
-        out = out.unionByName(rp)
+        if not r_ext.isEmpty():
+            rp, _, rounds = relational_rounds(tagged, r_ext, None)
+            out = out.unionByName(rp)
     else:
         small_ext = cls.where(F.col("path") == "small").select(*KEYS, "la", "lb")
         rows = tagged.join(small_ext, KEYS).select(
             *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
             F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi"), "side", "pos", "vid")
+        has_rows = not small_ext.isEmpty()
         large_ext = cls.where(F.col("path") == "large").select(*KEYS, "la", "lb")
         if not large_ext.isEmpty():
             rp, p_rows, rounds = relational_rounds(tagged, large_ext, small)
             out = out.unionByName(rp)
             if p_rows is not None:
                 rows = rows.unionByName(p_rows)
-        out = out.unionByName(finish_small(rows))
+                has_rows = True
+        if has_rows:
+            out = out.unionByName(finish_small(rows))
     return MatchResult(out, rounds)

@@ -133,8 +133,8 @@ def _d_sides(spark, sf):
 @register("match_pairs", O.with_(O.D_CTES, O.CHAIN_BLOCKS) + " select file_name, version, i, j from pr")
 def q_match_pairs(spark, sf):
     _, _, L = _d_sides(spark, sf)
-    tagged, values, _ = prepare(L)
-    return unique_pairs(tagged, values)
+    tagged, _, _ = prepare(L)
+    return unique_pairs(tagged)
 
 
 D_BLOCKS_SQL = O.with_(O.D_CTES, O.RECURSIVE_BLOCKS) + " select file_name, version, i, j, n from blk"
@@ -298,10 +298,12 @@ def q_insert_if_absent(spark, sf):
 
 
 def _change_table(spark, sf) -> DataFrame:
-    """The change table as the sink leaves it (one batch, fixed load time), in memory."""
-    valid, _ = codec.route(codec.decode(fx.log_records(spark, sf)))
-    rows = codec.to_table_rows(sink.first_wins(valid).select(*EVENT_COLUMNS))
-    return rows.withColumn("loaded_at", F.to_timestamp(F.lit("2024-03-01 00:00:00")))
+    """The change table as the sink leaves it (one batch, fixed load time),
+    written as Parquet and read back, so lookups push their filters into the scan."""
+    rec = fx.log_records(spark, sf)
+    path, dlq = scratch_path(spark, "table"), scratch_path(spark, "dlq")
+    sink.write_batch(rec, path, dlq, "run0", 0, F.to_timestamp(F.lit("2024-03-01 00:00:00")))
+    return sink.read_table(spark, path)
 
 
 @register("recent_changes", O.e_with() + f"""
