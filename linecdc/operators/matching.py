@@ -515,4 +515,6 @@ def match_lines(L: DataFrame, strategy: str = "auto", small: int = DEFAULT_SMALL
                 has_rows = True
         if has_rows:
             out = out.unionByName(finish_small(rows))
-    return MatchResult(out, rounds)
+    # Blocks and gaps (one row each, far fewer than lines) are read by several
+    # later steps: write them once.
+    return MatchResult(_checkpoint(out), rounds)
