@@ -428,9 +428,12 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
             break
         rounds += 1
         # Level-k names of the member positions of each open segment.
-        mk = _checkpoint(mem.join(state.select(*KEYS, "sid", "k"), [*KEYS, "sid"])
-                         .join(names.withColumnRenamed("n", "nk"), [*KEYS, "side", "pos", "k"])
-                         .select(*KEYS, "sid", "side", "pos", "nk"))
+        mk = (mem.join(state.select(*KEYS, "sid", "k"), [*KEYS, "sid"])
+              .join(names.withColumnRenamed("n", "nk"), [*KEYS, "side", "pos", "k"])
+              .select(*KEYS, "sid", "side", "pos", "nk"))
+        if top > FINAL_BITS:
+            # Read again by every bit step: write it once.
+            mk = _checkpoint(mk)
         # 2a. High bits of the exact length, one job per bit.
         for m in range(top - 1, FINAL_BITS - 1, -1):
             trial = state.where(F.col("k") > m)
