@@ -66,8 +66,9 @@ def batch_audit(routed: DataFrame, batch: Column | str = "batch_id",
                     F.coalesce("inserted", F.lit(0)).alias("inserted")))
 
 
-# Rows of one file per ordering block: 2**36 microseconds is about 19 hours.
-DEBOUNCE_BLOCK_BITS = 36
+# Rows of one file per ordering block: 2**26 microseconds is about 67 seconds,
+# so even a hot file's burst is cut into many small window partitions.
+DEBOUNCE_BLOCK_BITS = 26
 
 
 def debounce(notes: DataFrame, gap_seconds: int, key: str = "file_name") -> DataFrame:
