@@ -10,7 +10,7 @@ written again (first write wins).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linecdc.operators.codec import decode, publish_frame, route, to_table_rows
@@ -45,34 +45,31 @@ def insert_if_absent(events: DataFrame, path: str, run_id: str, batch_id: int,
                      loaded_at=None, order: tuple[str, ...] = ("partition", "offset")) -> dict:
     """Append ``events`` (valid, with log coordinates) once per event_id.
 
-    Returns counts ``offered, inserted, duplicate``. An empty batch writes
-    nothing (C12)."""
+    Returns counts ``offered, inserted, duplicate`` (F2), taken with
+    ``observe`` while the single write job runs. An empty batch writes nothing
+    (C12)."""
     spark = events.sparkSession
+    if events.isEmpty():
+        return {"offered": 0, "inserted": 0, "duplicate": 0}
+    seen, kept = Observation(), Observation()
+    ev = events.observe(seen, F.count(F.lit(1)).alias("n"))
     cols = [c for c in order if c in events.columns]
-    batch = first_wins(events, tuple(cols)) if cols else events.dropDuplicates(["event_id"])
-    batch = batch.persist()
-    try:
-        offered = events.count()
-        if offered == 0:
-            return {"offered": 0, "inserted": 0, "duplicate": 0}
-        if _exists(spark, path):
-            others = (spark.read.parquet(path)
-                      .where(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)))
-                      .select("event_id"))
-            new = batch.join(others, "event_id", "left_anti")
-        else:
-            new = batch
-        extra = [c for c in ("version", "change_seq") if c in new.columns]
-        rows = to_table_rows(new.select(*EVENT_COLUMNS, *extra)).withColumn(
-            "loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
-        rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id", "batch_id").parquet(path))
-        inserted = spark.read.parquet(path).where(
-            (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)).count()
-        return {"offered": offered, "inserted": inserted, "duplicate": offered - inserted}
-    finally:
-        batch.unpersist()
+    batch = first_wins(ev, tuple(cols)) if cols else ev.dropDuplicates(["event_id"])
+    if _exists(spark, path):
+        # Only the key column of the other partitions is read (column pruning).
+        others = (spark.read.parquet(path)
+                  .where(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)))
+                  .select("event_id"))
+        batch = batch.join(others, "event_id", "left_anti")
+    extra = [c for c in ("version", "change_seq") if c in batch.columns]
+    rows = to_table_rows(batch.select(*EVENT_COLUMNS, *extra)).withColumn(
+        "loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
+    rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    rows = rows.observe(kept, F.count(F.lit(1)).alias("n"))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch_id").parquet(path))
+    offered, inserted = seen.get["n"], kept.get["n"]
+    return {"offered": offered, "inserted": inserted, "duplicate": offered - inserted}
 
 
 def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str, batch_id: int,
@@ -89,18 +86,16 @@ def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str,
 
 def append_dlq(dlq: DataFrame, path: str, run_id: str, batch_id: int, status: str = "pending") -> int:
     """B2: dead letters, kept with their reason and log position. Replays of
-    the same batch overwrite their own partition."""
+    the same batch overwrite their own partition. Returns the row count
+    (observed during the write)."""
+    if dlq.isEmpty():
+        return 0
+    n = Observation()
     rows = dlq.withColumn("status", F.lit(status)).withColumn("run_id", F.lit(run_id)).withColumn(
-        "batch_id", F.lit(batch_id).cast("long"))
-    rows = rows.persist()
-    try:
-        n = rows.count()
-        if n:
-            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("run_id", "batch_id").parquet(path))
-        return n
-    finally:
-        rows.unpersist()
+        "batch_id", F.lit(batch_id).cast("long")).observe(n, F.count(F.lit(1)).alias("n"))
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "batch_id").parquet(path))
+    return n.get["n"]
 
 
 def redrive(pending: DataFrame, deliver) -> tuple[DataFrame, DataFrame]:
