@@ -68,3 +68,23 @@ def q_publish_redrive_stream(spark, sf):
     first = spark.read.parquet(topic).where(F.col("run_id") == P.run_id_for(ckpt)).select("key").distinct()
     out = first.withColumn("status", F.lit("delivered")).unionByName(state.select("key", "status"))
     return out.select(F.col("key").cast("string").alias("key"), "status")
+
+
+@register("debounce_stream", O.with_(O.N_CTES, """
+sess as (select file_name, min(ts) s0, max(ts) s1, count(*) n_saves, arg_max(version, (ts, version)) version
+           from ns group by file_name, sess)""") + f"""
+select file_name, strftime(s0, {O.ISO}) session_start, strftime(s1, {O.ISO}) session_end, n_saves, version
+  from sess where s1 + interval 10 minute <= (select max(ts) from events) - interval 10 minute""")
+def q_debounce_stream(spark, sf):
+    """K5 as a stream: sessions are emitted (append mode) once the watermark,
+    the latest event time minus the gap, has passed their end."""
+    notes = fx.notifications(spark, sf)
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("notes", "debounced", "ckpt"))
+    _land(notes, landing)
+    src = spark.readStream.format("parquet").schema(notes.schema).load(landing)
+    q = (P.debounce_stream(src, "10 minutes").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    d = spark.read.parquet(out)
+    return d.select("file_name", F.date_format("session_start", fx.ISO_FORMAT).alias("session_start"),
+                    F.date_format("session_end", fx.ISO_FORMAT).alias("session_end"), "n_saves", "version")
