@@ -73,3 +73,16 @@ def test_debounce_stream_matches_batch_for_closed_sessions(spark):
     # emitted session is a batch session; the last ones may still be open.
     assert got and got <= exp
     assert ("a", 3, 2) in got
+
+
+def test_redrive_twice_sends_each_entry_once(spark):
+    rec = _records(spark).select("key", "value").distinct()
+    topic, dlq = scratch_path(spark, "topic"), scratch_path(spark, "dlq")
+    sink.append_dlq(rec.withColumn("reason", F.lit("undelivered")), dlq, "r", 0)
+    fail_some = lambda r: r.where(F.substring(F.col("key").cast("string"), 2, 9).cast("int") % 3 != 0)
+    s1 = {r.key: r.status for r in P.redrive_dlq(spark, dlq, topic, fail_some, "redrive", 0).collect()}
+    s2 = {r.key: r.status for r in P.redrive_dlq(spark, dlq, topic, lambda r: r, "redrive", 1).collect()}
+    assert set(s2) == {k for k, v in s1.items() if v == "pending"}
+    assert all(v == "redriven" for v in s2.values())
+    sent = spark.read.parquet(topic).groupBy("key", "value").count().where("count > 1").count()
+    assert sent == 0
