@@ -142,3 +142,13 @@ def sink_writer(fmt: str = "parquet"):
     if fmt == "jdbc":
         return lambda df, opts: df.write.mode("append").format("jdbc").options(**opts).save()
     raise ValueError(f"unknown sink format {fmt!r}")
+
+
+def compact_snapshots(spark: SparkSession, path: str, out_path: str) -> DataFrame:
+    """B6 compaction: keep only the latest version of each file (G4), written to
+    ``out_path`` as one partition; readers then switch to ``out_path``."""
+    snap = spark.read.parquet(path).drop("run_id", "batch_id")
+    latest = snapshot_latest(snap)
+    (latest.withColumn("run_id", F.lit("compacted")).withColumn("batch_id", F.lit(0).cast("long"))
+     .write.mode("overwrite").partitionBy("run_id", "batch_id").parquet(out_path))
+    return spark.read.parquet(out_path)

@@ -92,3 +92,16 @@ def test_empty_batch_noop(spark, table):
 def test_sink_writer_unknown_format():
     with pytest.raises(ValueError):
         sink.sink_writer("sqlite")
+
+
+def test_snapshot_advance_and_compaction(spark):
+    from conftest import lines_df
+
+    path, out = scratch_path(spark, "snap"), scratch_path(spark, "snap-c")
+    sink.advance_snapshots(lines_df(spark, {"a": ["1", "2"], "b": ["x"]}, version=1), path, "r", 0)
+    sink.advance_snapshots(lines_df(spark, {"a": ["1", "3", "4"]}, version=2), path, "r", 1)
+    # Replay of batch 1 rewrites its own rows only.
+    sink.advance_snapshots(lines_df(spark, {"a": ["1", "3", "4"]}, version=2), path, "r", 1)
+    c = sink.compact_snapshots(spark, path, out)
+    got = sorted((r.file_name, r.version, r.line_number, r.line) for r in c.collect())
+    assert got == [("a", 2, 1, "1"), ("a", 2, 2, "3"), ("a", 2, 3, "4"), ("b", 1, 1, "x")]
