@@ -31,9 +31,13 @@ def test_stream_restart_is_idempotent(spark):
     rec = _records(spark)
     landing = scratch_path(spark, "landing")
     rec.repartition(4).write.parquet(landing)
-    table, dlq, ckpt = (scratch_path(spark, n) for n in ("t", "d", "c"))
+    table, dlq, ckpt, audit = (scratch_path(spark, n) for n in ("t", "d", "c", "a"))
     src = lambda: P.log_source(spark, path=landing, schema=rec.schema, max_per_trigger=1)
-    P.start_table_stream(src(), table, dlq, ckpt, available_now=True).awaitTermination()
+    P.start_table_stream(src(), table, dlq, ckpt, audit_path=audit, available_now=True).awaitTermination()
+    a = spark.read.parquet(audit).agg(F.sum("offered").alias("o"), F.sum("inserted").alias("i"),
+                                      F.sum("invalid").alias("v"), F.sum("duplicate").alias("d")).first()
+    assert a.o == rec.count() and a.o == a.i + a.v + a.d
+    assert a.i == sink.read_table(spark, table).count()
     first = sorted(tuple(r) for r in sink.read_table(spark, table).select("event_id", "new_value").collect())
     # Lose the last commit: the batch is replayed and must change nothing.
     commits = sorted(glob.glob(os.path.join(ckpt.replace("file:", ""), "commits", "*")),
