@@ -6,15 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecdc.llm import merkle, secret_scan, shard_tree
+from linecdc.llm import (
+    byte_bpe,
+    chosen_path,
+    curve_search,
+    html_main,
+    language_id,
+    merkle,
+    secret_scan,
+    shard_tree,
+    toxicity,
+)
 from linecdc.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": lambda s, d: secret_scan.op1_query(table(s, d, "documents")),
     "op2_merkle_fingerprint": lambda s, d: merkle.op2_query(table(s, d, "documents")),
+    "op3_toxicity": lambda s, d: toxicity.op3_query(table(s, d, "documents"), table(s, d, "labels")),
+    "op4_html_main": lambda s, d: html_main.op4_query(table(s, d, "pages")),
+    "op5_chosen_path_join": lambda s, d: chosen_path.op5_query(table(s, d, "documents")),
     "op6_shard_tree": lambda s, d: shard_tree.op6_query(table(s, d, "documents")),
+    "op8_curve_search": lambda s, d: curve_search.op8_query(table(s, d, "embeddings")),
+    "op9_language_id": lambda s, d: language_id.op9_query(table(s, d, "documents")),
+    "op10_byte_bpe": lambda s, d: byte_bpe.op10_query(table(s, d, "documents")),
 }
 
+# The others are no SQL: they are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op2_merkle_fingerprint": merkle.OP2_SQL,
