@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 *Terms* are words and their first 4, 5 and 6 letters (so unseen forms of a known
-stem still match), lower-cased. The vocabulary holds the terms whose document
-frequency differs between the labels of the training examples, by a z test and a
-least ratio; frequencies are counted in Spark.
+stem still match), lower-cased. Candidates are the terms that toxic training examples hold
+significantly more often, by a z test and a least ratio; their document
+frequencies are counted in Spark. Of these the vocabulary takes, one by one, the
+term that tells most about the toxic examples not yet covered ``COVER`` times, as
+long as that is significant: words that are only frequent because of a few copied
+documents don't get in.
 
 *Index.* The examples' TF-IDF vectors over that vocabulary form an inverted
 index whose postings are cut into blocks of ``BLOCK`` examples, each term with its
@@ -44,7 +47,7 @@ from linecdc.llm.common import id_mod
 
 PER_LABEL = 6000
 MAX_TERMS = 4096
-MIN_DF, MIN_Z, MIN_RATIO = 4, 5.0, 4.0
+MIN_DF, MIN_Z, MIN_RATIO, COVER = 3, 4.0, 4.0, 4
 BLOCK, NEAREST = 64, 15
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -86,17 +89,45 @@ def examples(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL
     return documents.select("doc_id", "text").join(F.broadcast(few), "doc_id"), count
 
 
-def choose_terms(chosen: DataFrame, totals: dict[int, int]) -> list[str]:
-    """Terms that tell the labels apart, most telling first."""
+def _z(d1, n1, d0, n0):
+    p = (d1 + d0 + 0.5) / (n1 + n0 + 1)
+    return ((d1 + 0.5) / (n1 + 1) - (d0 + 0.5) / (n0 + 1)) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
+
+
+def candidate_terms(chosen: DataFrame, totals: dict[int, int]) -> dict[str, int]:
+    """Terms that toxic examples hold more often, with the number of other
+    examples that hold them; the most telling MAX_TERMS."""
     n0, n1 = max(1, totals.get(0, 0)), max(1, totals.get(1, 0))
     df = (chosen.select("label", "text").mapInPandas(_document_frequencies, "label int, term string, n long")
           .groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("d1"),
                                F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("d0")))
-    p0, p1 = (F.col("d0") + 0.5) / (n0 + 1), (F.col("d1") + 0.5) / (n1 + 1)
-    p = (F.col("d0") + F.col("d1") + 0.5) / (n0 + n1 + 1)
-    z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
-    told = df.where((F.col("d0") + F.col("d1") >= MIN_DF) & (z >= MIN_Z) & (F.greatest(p1 / p0, p0 / p1) >= MIN_RATIO))
-    return [r["term"] for r in told.orderBy(F.desc(z), "term").limit(MAX_TERMS).select("term").collect()]
+    ratio = ((F.col("d1") + 0.5) / (n1 + 1)) / ((F.col("d0") + 0.5) / (n0 + 1))
+    told = df.withColumn("z", _z(F.col("d1"), n1, F.col("d0"), n0)).where(
+        (F.col("d1") >= MIN_DF) & (F.col("z") >= MIN_Z) & (ratio >= MIN_RATIO))
+    return {r["term"]: r["d0"] for r in told.orderBy(F.desc("z"), "term").limit(MAX_TERMS).select("term", "d0").collect()}
+
+
+def cover_terms(candidates: dict[str, int], toxic: list[str], n0: int) -> list[str]:
+    """The candidates that cover the toxic texts, most telling first."""
+    terms = list(candidates)
+    if not terms or not toxic:
+        return []
+    number = {t: i for i, t in enumerate(terms)}
+    held = np.zeros((len(terms), len(toxic)), np.float32)
+    for j, text in enumerate(toxic):
+        held[list(term_counts(text, number)), j] = 1
+    d0 = np.array([candidates[t] for t in terms], float)
+    need, free, out = np.full(len(toxic), COVER), np.ones(len(terms), bool), []
+    while (open_ := need > 0).any():
+        d1 = held @ open_.astype(np.float32)
+        z = np.where(free & (d1 >= MIN_DF), _z(d1, int(open_.sum()), d0, max(1, n0)), -1.0)
+        best = int(z.argmax())
+        if z[best] < MIN_Z:
+            break
+        out.append(terms[best])
+        free[best] = False
+        need -= held[best] > 0
+    return out
 
 
 @dataclass
@@ -234,8 +265,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
     """Index from the labelled rows given; (doc_id, label) in ``labels``."""
     chosen, totals = examples(documents, labels, per_label)
     sampled = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    terms = choose_terms(chosen, sampled)
-    vocabulary = documents.sparkSession.sparkContext.broadcast(set(terms))
+    candidates = candidate_terms(chosen, sampled)
+    vocabulary = documents.sparkSession.sparkContext.broadcast(set(candidates))
 
     @F.pandas_udf("string")
     def telling(text: pd.Series) -> pd.Series:
@@ -245,6 +276,8 @@ def fit(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) ->
         return text.map(lambda t: " ".join(w for w in WORD.findall((t or "").lower()) if has(w)))
 
     rows = chosen.select("doc_id", "label", telling("text").alias("words"), F.xxhash64("text").alias("copy")).collect()
+    toxic = {r["copy"]: r["words"] for r in rows if r["label"] == 1}  # copies count once
+    terms = cover_terms(candidates, [toxic[k] for k in sorted(toxic, key=str)], sampled.get(0, 0))
     return build([(r["doc_id"], r["label"], r["words"], r["copy"]) for r in rows], terms, totals)  # about 2 x per_label
 
 
