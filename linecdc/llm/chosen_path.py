@@ -111,7 +111,7 @@ def tokens_of(words: np.ndarray, n: int = NGRAM) -> np.ndarray:
         return np.empty(0, np.uint64)
     m = min(n, k)
     odd = _stream(11, n) | _U(1)
-    h = np.full(k - m + 1, _U(m) * _ODD, np.uint64)
+    h = np.full(k - m + 1, mix(np.array([m], np.uint64))[0], np.uint64)
     for i in range(m):
         h += words[i:k - m + 1 + i] * odd[i]
     return np.unique(mix(h))

@@ -15,6 +15,7 @@ from linecdc.llm import (
     merkle,
     secret_scan,
     shard_tree,
+    soft_mixing,
     toxicity,
 )
 from linecdc.llm.common import table
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_main": lambda s, d: html_main.op4_query(table(s, d, "pages")),
     "op5_chosen_path_join": lambda s, d: chosen_path.op5_query(table(s, d, "documents")),
     "op6_shard_tree": lambda s, d: shard_tree.op6_query(table(s, d, "documents")),
+    "op7_soft_mixing": lambda s, d: soft_mixing.op7_query(table(s, d, "documents"), table(s, d, "labels")),
     "op8_curve_search": lambda s, d: curve_search.op8_query(table(s, d, "embeddings")),
     "op9_language_id": lambda s, d: language_id.op9_query(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.op10_query(table(s, d, "documents")),
