@@ -204,7 +204,7 @@ def _mark(page: Page) -> None:
         if n.out or n.tag == "header":
             continue
         worth = (min(len(text), 2000) / 100 + text.count(",") + (n.tag == "p")) * (1 - linked)
-        while node > 0:
+        while node >= 0:
             nodes[node].text += worth
             node = nodes[node].parent
 
@@ -217,8 +217,7 @@ def best_path(page: Page) -> str | None:
     """Path of the deepest container with most of the page's paragraph score; an
     ``article`` or ``main`` needs less of it."""
     nodes = page.nodes
-    total = max((n.text for n in nodes if n.parent <= 0), default=0.0)
-    total = max([total, *(n.text for n in nodes)])
+    total = nodes[0].text
     if total <= 0:
         return None
     depth = [0] * len(nodes)
