@@ -33,6 +33,13 @@ POWER = 0.8
 BROADCAST_ROWS = 1_000_000  # ids or finding lists (under 100 bytes each) up to which they go to the texts
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast if the table is known to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -40,18 +47,18 @@ def _small(df: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.train_split(docs))
-    known = language_id.predict(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), model)
-    kept = known.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.drop("lang_pred", "score").withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"}).select(docs.columns)
+    said = _free(docs, "said")
+    known = docs.withColumn(said, language_id.scorer(spark, model)(F.col("text").cast("string")))
+    return known.where((F.col(said)["lang_pred"] != "und") & (F.col(said)["score"] >= MIN_SCORE)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = chosen_path.join_sets(docs.select("doc_id", "text"))
     path = scratch_path(spark, "kept-ids")
-    classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).write.parquet(path)
+    classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(one := _free(docs, "kept"))).write.parquet(path)
     kept = spark.read.parquet(path)
     ids = kept.distinct()
-    out = docs.join(_small(ids), docs["doc_id"].cast("long").eqNullSafe(ids["_kept"]), "left_semi")
+    out = docs.join(_small(ids), docs["doc_id"].cast("long").eqNullSafe(ids[one]), "left_semi")
     if kept.count() != ids.count():  # rows that repeat a document
         out = out.dropDuplicates(["doc_id", "text"])
     return out.select(docs.columns)
@@ -60,27 +67,26 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secret_scan.Ledger(spark, scratch_path(spark, "secret-ledger"))
     ledger.scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
-    found = secret_scan.by_blob(ledger.findings()).withColumnRenamed("found", "_found").withColumnRenamed("blob", "_blob")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.join(_small(found), F.sha2(text, 256) == F.col("_blob"), "left")
-    clean = secret_scan.redact(text, F.col("_found"))
-    masked = F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text"))
-    out = marked.withColumn("text", masked)
+    spans, blob = _free(docs, "spans"), _free(docs, "blob")
+    found = secret_scan.by_blob(ledger.findings()).select(F.col("blob").alias(blob), F.col("found").alias(spans))
+    out = docs.join(_small(found), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) == F.col(blob), "left")
+    hit = F.col(spans).isNotNull()
+    out = out.withColumn("text", F.when(hit, secret_scan.redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        was = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.char_length("text").cast(was)).otherwise(F.col("n_chars")))
+        now = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(hit, now).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = soft_mixing.lang_quality(docs, table(spark, sf_dir, "labels"))
     m = soft_mixing.mix(docs.select("doc_id", "text"), labelled, power=POWER, floor=1.0)
-    rates = m.table.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"),
-                           soft_mixing.copies(F.col("rate"), "doc_id", "h").alias("_c")).groupBy("_id", "_h").agg(
-                               F.max("_c").alias("_copies"))  # repeated rows have one rate
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.join(rates, docs["doc_id"].eqNullSafe(rates["_id"]) & (h == rates["_h"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    own, text_hash, n, copy = (_free(docs, x) for x in ("own", "text_hash", "copies", "copy"))
+    rates = (m.table.select(F.col("doc_id").alias(own), F.col("h").alias(text_hash),
+                            soft_mixing.copies(F.col("rate"), "doc_id", "h").alias(n))
+             .groupBy(own, text_hash).agg(F.max(n).alias(n)))  # repeated rows have one rate
+    same = docs["doc_id"].eqNullSafe(rates[own]) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == rates[text_hash])
+    return docs.join(rates, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

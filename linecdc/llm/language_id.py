@@ -149,17 +149,23 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     return [model.langs[i] if ok else "und" for i, ok in zip(best, known)], np.where(known, post, 0.0)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with columns lang_pred and score added."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark, model: Model):
+    """A function of a text column: struct of lang_pred and score."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def score(text: pd.Series) -> pd.DataFrame:
         lang, p = score_texts(shared.value, [t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": lang, "score": p})
 
-    return (docs.withColumn("_lid", score(F.col("text").cast("string")))
-            .withColumn("lang_pred", F.col("_lid.lang_pred")).withColumn("score", F.col("_lid.score")).drop("_lid"))
+    return score
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with columns lang_pred and score (instead of any that it has)."""
+    said = "_lid" + "_" * sum(c.startswith("_lid") for c in docs.columns)
+    return (docs.withColumn(said, scorer(docs.sparkSession, model)(F.col("text").cast("string")))
+            .withColumn("lang_pred", F.col(said)["lang_pred"]).withColumn("score", F.col(said)["score"]).drop(said))
 
 
 def train_split(documents: DataFrame) -> DataFrame:
