@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecdc.operators.diff import diff_lines
-from linecdc.operators.matching import DEFAULT_SMALL
 
 
 @dataclass
@@ -17,19 +16,17 @@ class Detection:
     new: DataFrame
     detected_at: DataFrame | Column | None
     strategy: str
-    small: int
     baseline: DataFrame    # (file_name, version, n_lines): first sight, no events
     snapshot: DataFrame    # line rows that become the new snapshot
 
     @property
     def events(self) -> DataFrame:
         """Change events of the compared files (runs the alignment jobs)."""
-        return diff_lines(self.old, self.new, self.detected_at, strategy=self.strategy, small=self.small)
+        return diff_lines(self.old, self.new, self.detected_at, strategy=self.strategy)
 
 
 def detect_changes(current: DataFrame, snapshot: DataFrame, detected_at: DataFrame | Column | None = None,
-                   missing_as_empty: bool = False, strategy: str = "auto",
-                   small: int = DEFAULT_SMALL) -> Detection:
+                   missing_as_empty: bool = False, strategy: str = "auto") -> Detection:
     """Current line rows vs the latest snapshot line rows, by file (E4 full outer):
 
     * in both: diff (equal lists give nothing, C11);
@@ -52,5 +49,5 @@ def detect_changes(current: DataFrame, snapshot: DataFrame, detected_at: DataFra
     first = files.where(F.col("snap_version").isNull()).select("file_name", "version")
     baseline = current.join(first, ["file_name", "version"], "left_semi").groupBy("file_name", "version").agg(
         F.count("*").alias("n_lines"))
-    return Detection(old, new, detected_at, strategy, small, baseline,
+    return Detection(old, new, detected_at, strategy, baseline,
                      current.select("file_name", "version", "line_number", "line"))

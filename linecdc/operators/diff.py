@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linecdc.functions.text import event_id, iso_timestamp
-from linecdc.operators.matching import DEFAULT_SMALL, KEYS, MatchResult, match_lines
+from linecdc.operators.matching import KEYS, MatchResult, match_lines
 from linecdc.operators.ordering import prefix_sum
 from linecdc.schema import DELETE, EVENT_COLUMNS, INSERT, UPDATE
 from linecdc.session import materialize
@@ -85,7 +85,7 @@ def events_from_changes(changes: DataFrame, detected_at: DataFrame | Column | No
 
 
 def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column | None = None,
-               strategy: str = "auto", small: int = DEFAULT_SMALL,
+               strategy: str = "auto",
                match: MatchResult | None = None) -> DataFrame:
     """Events turning ``old`` into ``new`` for every (file_name, version).
 
@@ -101,7 +101,7 @@ def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column |
         # The comparison's lines are read by every matching step and by the
         # value lookup: write them once (also cuts the input lineage).
         L = materialize(L, "cmp-lines")
-    m = match or match_lines(L, strategy=strategy, small=small)
+    m = match or match_lines(L, strategy=strategy)
     changes = attach_values(expand_opcodes(m.opcodes), L)
     return events_from_changes(changes, detected_at)
 
@@ -143,11 +143,11 @@ def pair_versions(lines: DataFrame, missing_as_empty: bool = False) -> tuple[Dat
 
 
 def diff_versions(lines: DataFrame, detected_at: DataFrame | Column | None = None,
-                  strategy: str = "auto", small: int = DEFAULT_SMALL) -> DataFrame:
+                  strategy: str = "auto") -> DataFrame:
     """D11 over a history: every version against the previous one, all files and
     versions in the same jobs."""
     old, new = pair_versions(lines)
-    return diff_lines(old, new, detected_at, strategy=strategy, small=small)
+    return diff_lines(old, new, detected_at, strategy=strategy)
 
 
 def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:

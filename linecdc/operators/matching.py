@@ -1,27 +1,36 @@
 """Exact sequence alignment of two line lists per (file_name, version), as
 Spark jobs over all files at once (D1-D3, E1, F4, G1, G2).
 
-Alignment rule (the one of ``difflib.SequenceMatcher`` with no junk): take
-the longest block of consecutive equal lines, ties to the smallest old index,
-then the smallest new index; recurse on the part left of it and the part right
-of it. Gaps between blocks become opcodes.
+Alignment rule (``difflib.SequenceMatcher`` without junk): take the longest
+block of consecutive equal lines, ties to the smallest old index, then the
+smallest new index; recurse on the part left of it and the part right of it.
+Gaps between blocks become opcodes.
 
 Input ``L``: ``file_name, version, side (0 old / 1 new), pos (0-based), line``.
 
-Three exact ways to finish a (part of a) file, picked per file/segment:
+Two exact ways, picked per file by the form of its matches, not by its size:
 
 * **chain** — every common line is unique on both sides and the matches are
   in the same order: every match is kept, blocks are the diagonal runs, no
   recursion. Typical for record-like files.
-* **P** — a *bounded* segment (both sides at most ``small`` lines) is finished
-  inside one task (``mapInPandas`` over segment-sorted partitions) with the stdlib longest-match.
-* **R** — relational rounds: every active segment of every file finds its
-  longest block in the same Spark jobs, splits, and goes on. It never
-  materialises match pairs: windows of ``2**k`` lines get exact content names
-  by doubling (name = smallest position holding the same content), and
-  "is there a common block of length L inside the segment" is a group-by on
-  names. Work per round is linear in the open positions, whatever the
-  repetition of lines.
+* **rounds** — each round, all open segments of all files at once find the
+  length of their longest common block and *all* their blocks of that length.
+  No block of the greatest length lies left of the first one chosen, so the
+  recursion takes blocks of that length as one greedy chain: the least old
+  start from where the last block ended that has a new start there or later,
+  with the least such new start. Between the chain's blocks only shorter ones
+  remain, so lengths fall strictly from round to round: a file of n lines needs
+  at most about sqrt(2n) rounds, in practice a handful.
+
+Match pairs are never materialised: windows of ``2**k`` lines get exact content
+names by doubling (name = least position with the same content), and a block of
+any length is named by two of them. Names are kept for open positions only, and
+only for levels that a segment can still use, so a round's work falls with them.
+
+The greedy chain walks a segment in steps of at most ``WALK`` old starts with, for
+each of their contents, a bounded run of the next new starts; the state that a
+step reaches is where the next one starts. A task holds one step of a segment,
+however long the file.
 
 Output: ``pieces(file_name, version, kind, i1, i2, j1, j2)`` with kind ``B``
 (matched block) or ``G`` (gap between blocks, may be empty).
@@ -29,10 +38,11 @@ Output: ``pieces(file_name, version, kind, i1, i2, j1, j2)`` with kind ``B``
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +56,11 @@ ship_by_value(__name__)
 KEYS = ["file_name", "version"]
 # Position code: side in the high bits, so one long names a line occurrence.
 SIDE_SHIFT = 40
-DEFAULT_SMALL = 4096
+SEG = [*KEYS, "sid"]
+# Old starts that one step of the greedy chain walks.
+WALK = 1 << 17
+# Rows that a segment is cut into before its positions are listed.
+EXPLODE_CHUNK = 1 << 16
 
 PIECES_SCHEMA = T.StructType([
     T.StructField("file_name", T.StringType(), False),
@@ -136,8 +150,8 @@ def unique_pairs(tagged: DataFrame) -> DataFrame:
     return a.join(b, [*KEYS, "vid"]).select(*KEYS, "i", "j")
 
 
-def classify(tagged: DataFrame, ext: DataFrame, small: int):
-    """Per file: chain (unique lines, same order), small, or large.
+def classify(tagged: DataFrame, ext: DataFrame):
+    """Per file: does it form a chain (unique lines, same order)?
 
     Returns ``(ranked_pairs, cls)`` where cls has ``file_name, version, la, lb, path``.
     """
@@ -150,10 +164,8 @@ def classify(tagged: DataFrame, ext: DataFrame, small: int):
         F.sum(F.when((F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") * F.col("cb") > 1), 1)
               .otherwise(0)).alias("multi"))
     cls = (ext.join(multi, KEYS, "left").join(disorder, KEYS, "left")
-           .withColumn("path",
-                       F.when((F.coalesce("multi", F.lit(0)) == 0) & (F.coalesce("bad", F.lit(0)) == 0), "chain")
-                       .when((F.col("la") <= small) & (F.col("lb") <= small), "small")
-                       .otherwise("large"))
+           .withColumn("path", F.when((F.coalesce("multi", F.lit(0)) == 0) & (F.coalesce("bad", F.lit(0)) == 0), "chain")
+                       .otherwise("rounds"))
            .select(*KEYS, "la", "lb", "path"))
     return ranked.select(*KEYS, "i", "j", "ri"), cls
 
@@ -189,131 +201,29 @@ def chain_pieces(ranked: DataFrame, bounds: DataFrame, keys: list[str] = KEYS) -
     return block_rows.unionByName(gaps_before).unionByName(gaps_after)
 
 
-def segment_chains(mem: DataFrame, t: DataFrame, seg: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rule 3 inside R: open segments whose matches form a chain (every common
-    value once per side inside the segment, pairs in the same order).
-
-    Returns ``(bounds, ranked)`` of those segments, for ``chain_pieces`` with
-    keys ``KEYS + ['sid']``. A segment with no common value qualifies too (it is
-    one gap)."""
-    sk = [*KEYS, "sid"]
-    memv = mem.select(*KEYS, "side", "pos", "sid").join(t, [*KEYS, "side", "pos"])
-    cnt = memv.groupBy(*sk, "vid").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("ca"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("cb"))
-    multi = cnt.where((F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") * F.col("cb") > 1)).select(*sk).distinct()
-    uv = cnt.where((F.col("ca") == 1) & (F.col("cb") == 1)).select(*sk, "vid")
-    u = memv.join(uv, [*sk, "vid"], "left_semi")
-    pairs = (u.where(F.col("side") == 0).select(*sk, "vid", F.col("pos").alias("i"))
-             .join(u.where(F.col("side") == 1).select(*sk, "vid", F.col("pos").alias("j")), [*sk, "vid"]))
-    ranked = rank_within(rank_within(pairs, sk, "i", "ri"), sk, "j", "rj")
-    disorder = ranked.where(F.col("ri") != F.col("rj")).select(*sk).distinct()
-    bounds = seg.join(multi, sk, "left_anti").join(disorder, sk, "left_anti").select(
-        *sk, F.col("sid").alias("alo"), "ahi", "blo", "bhi")
-    return bounds, ranked.select(*sk, "i", "j", "ri")
-
-
-# ---------------------------------------------------------------- P: bounded finish
-
-_P_IN = ["file_name", "version", "alo", "ahi", "blo", "bhi", "side", "pos", "vid"]
-
-
-def _finish_segment(a, b, fn, ver, alo, blo, out) -> None:
-    """Longest-block recursion over one bounded segment (values are exact ids)."""
-    from difflib import SequenceMatcher
-
-    sm = SequenceMatcher(None, a, b, autojunk=False)
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        lo_a, hi_a, lo_b, hi_b = todo.pop()
-        k = 0
-        if lo_a < hi_a and lo_b < hi_b:
-            i, j, k = sm.find_longest_match(lo_a, hi_a, lo_b, hi_b)
-        if k:
-            out.append((fn, ver, "B", alo + i, alo + i + k, blo + j, blo + j + k))
-            todo.append((lo_a, i, lo_b, j))
-            todo.append((i + k, hi_a, j + k, hi_b))
-        elif lo_a < hi_a or lo_b < hi_b:
-            out.append((fn, ver, "G", alo + lo_a, alo + hi_a, blo + lo_b, blo + hi_b))
-
-
-def _finish_batches(batches):
-    """mapInPandas body: rows arrive sorted by segment; a segment cut by a
-    batch boundary is carried into the next batch. Memory: one batch plus one
-    bounded segment."""
-    import numpy as np
-
-    cols = ["file_name", "version", "kind", "i1", "i2", "j1", "j2"]
-
-    def run(pdf, starts, ends):
-        fn = pdf["file_name"].to_numpy()
-        ver = pdf["version"].to_numpy()
-        alo = pdf["alo"].to_numpy()
-        blo = pdf["blo"].to_numpy()
-        side = pdf["side"].to_numpy()
-        vid = pdf["vid"].to_numpy()
-        out = []
-        for s, e in zip(starts, ends):
-            sd, vd = side[s:e], vid[s:e]
-            _finish_segment(vd[sd == 0].tolist(), vd[sd == 1].tolist(), fn[s], int(ver[s]), int(alo[s]),
-                            int(blo[s]), out)
-        return pd.DataFrame(out, columns=cols)
-
-    carry = None
-    for pdf in batches:
-        if carry is not None:
-            pdf = pd.concat([carry, pdf], ignore_index=True)
-        n = len(pdf)
-        if n == 0:
-            continue
-        fn, ver, alo = (pdf[c].to_numpy() for c in ("file_name", "version", "alo"))
-        change = np.ones(n, dtype=bool)
-        change[1:] = (fn[1:] != fn[:-1]) | (ver[1:] != ver[:-1]) | (alo[1:] != alo[:-1])
-        starts = np.flatnonzero(change)
-        carry = pdf.iloc[starts[-1]:].reset_index(drop=True)
-        if len(starts) > 1:
-            yield run(pdf, starts[:-1], starts[1:])
-    if carry is not None and len(carry):
-        yield run(carry, np.array([0]), np.array([len(carry)]))
-
-
-def finish_small(rows: DataFrame) -> DataFrame:
-    """Strategy P over bounded segments: ``rows`` has ``_P_IN`` columns. Rows are
-    hash-partitioned by segment and sorted inside partitions; Arrow batches
-    stream through one Python function per task (no per-group call)."""
-    keys = ["file_name", "version", "alo"]
-    return (rows.select(*_P_IN).repartition(*keys).sortWithinPartitions(*keys, "side", "pos")
-            .mapInPandas(_finish_batches, PIECES_SCHEMA))
-
-
-# ---------------------------------------------------------------- R: relational rounds
+# ---------------------------------------------------------------- rounds
 
 def window_names(tagged: DataFrame, ext: DataFrame, max_level: int) -> DataFrame:
     """Exact content names of windows of ``2**k`` lines, ``k = 0..max_level``.
 
     Level 0 name is the value id. Level k: two halves of level k-1; the name
-    is the smallest position code holding the same pair of halves. A window
-    that runs past the end of its side has no name. Only levels up to the
-    file's shorter side are built.
+    is the smallest position code holding the same pair of halves. Only content
+    that both sides have is kept: nothing else can be in a common block.
     """
-    lvl = tagged.select(*KEYS, "side", "pos", F.col("vid").alias("n"))
+    common = lambda g: (F.max(F.when(F.col("side") == 0, 1)) + F.max(F.when(F.col("side") == 1, 1))).alias(g)
+    lvl = tagged.where((F.col("ca") > 0) & (F.col("cb") > 0)).select(*KEYS, "side", "pos", F.col("vid").alias("n"))
     out = [lvl.withColumn("k", F.lit(0))]
-    sizes = ext.select(*KEYS, F.least("la", "lb").alias("mn"))
     for k in range(1, max_level + 1):
         half = 1 << (k - 1)
-        keep = sizes.where(F.col("mn") >= (1 << k)).select(*KEYS)
-        cur = lvl.join(keep, KEYS, "left_semi")
-        nxt = cur.select(*KEYS, "side", (F.col("pos") - half).alias("pos"), F.col("n").alias("n2"))
-        both = cur.join(nxt, [*KEYS, "side", "pos"])
-        names = both.groupBy(*KEYS, "n", "n2").agg(F.min(_code(F.col("side"), F.col("pos"))).alias("nk"))
+        nxt = lvl.select(*KEYS, "side", (F.col("pos") - half).alias("pos"), F.col("n").alias("n2"))
+        both = lvl.join(nxt, [*KEYS, "side", "pos"])
+        names = both.groupBy(*KEYS, "n", "n2").agg(
+            F.min(_code(F.col("side"), F.col("pos"))).alias("nk"), common("sides")).where(F.col("sides").isNotNull())
         lvl = _checkpoint(both.join(names, [*KEYS, "n", "n2"]).select(*KEYS, "side", "pos", F.col("nk").alias("n")))
         if lvl.isEmpty():
             break
         out.append(lvl.withColumn("k", F.lit(k)))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    return _union_all(out)
 
 
 def _fits(length_col):
@@ -321,8 +231,8 @@ def _fits(length_col):
         F.col("pos") + length_col <= F.col("bhi"))
 
 
-# Lowest bits of the block length that are settled in one job, together with
-# the winner, instead of one job per bit.
+# Lowest bits of the block length that are settled in one job, instead of one
+# job per bit.
 FINAL_BITS = 3
 
 
@@ -333,20 +243,19 @@ def _candidates(mk: DataFrame, state: DataFrame, offsets) -> DataFrame:
     For ``2**k <= len < 2**(k+1)`` the content of ``[p, p+len)`` is named exactly
     by the pair of level-k names at ``p`` and ``p + len - 2**k``.
     """
-    m = mk.join(state.select(*KEYS, "sid", "ahi", "bhi", "k", "cur"), [*KEYS, "sid"])
+    m = mk.join(state.select(*SEG, "ahi", "bhi", "k", "cur"), SEG)
     m = m.select("*", F.explode(offsets).alias("d")).withColumn("len", F.col("cur") + F.col("d"))
     m = m.where((F.col("len") < 2 * _pow2(F.col("k"))) & _fits(F.col("len")))
     m = m.withColumn("pos2", F.col("pos") + F.col("len") - _pow2(F.col("k")))
-    shifted = mk.select(*KEYS, "side", F.col("pos").alias("pos2"), F.col("nk").alias("n2"))
-    return m.join(shifted, [*KEYS, "side", "pos2"]).select(*KEYS, "sid", "len", "side", "pos", "nk", "n2")
+    shifted = mk.select(*SEG, "side", F.col("pos").alias("pos2"), F.col("nk").alias("n2"))
+    return m.join(shifted, [*SEG, "side", "pos2"]).select(*SEG, "len", "side", "pos", "nk", "n2")
 
 
 def _common(comp: DataFrame) -> DataFrame:
-    """Per (segment, length, content): smallest old and smallest new position."""
-    return comp.groupBy(*KEYS, "sid", "len", "nk", "n2").agg(
-        F.min(F.when(F.col("side") == 0, F.col("pos"))).alias("ci"),
-        F.min(F.when(F.col("side") == 1, F.col("pos"))).alias("cj"),
-    ).where(F.col("ci").isNotNull() & F.col("cj").isNotNull())
+    """(segment, length, content) that both sides of the segment hold."""
+    return comp.groupBy(*SEG, "len", "nk", "n2").agg(
+        F.count(F.when(F.col("side") == 0, 1)).alias("na"), F.count(F.when(F.col("side") == 1, 1)).alias("nb"),
+    ).where((F.col("na") > 0) & (F.col("nb") > 0))
 
 
 def _union_all(dfs: list[DataFrame]) -> DataFrame | None:
@@ -358,166 +267,252 @@ def _union_all(dfs: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-def relational_rounds(tagged: DataFrame, ext: DataFrame, small: int | None,
-                      max_rounds: int | None = None,
-                      segment_chain_test: bool = False) -> tuple[DataFrame, DataFrame | None, int]:
-    """Strategy R over whole files in ``ext``.
+WALKED = T.StructType([
+    *[T.StructField(c, t) for c, t in (("file_name", T.StringType()), ("version", T.LongType()), ("sid", T.LongType()))],
+    *[T.StructField(c, T.LongType()) for c in ("i", "j", "pi", "pj", "len")],
+    T.StructField("kind", T.StringType()),
+])
+
+
+def _walk_segment(length, i0, j0, starts, contents, news, cut, more):
+    """The greedy chain over one step. ``starts``/``contents``: old starts in order;
+    ``news``: content -> its next new starts in order; ``cut``: contents with
+    further new starts; ``more``: further old starts follow. Returns the blocks
+    (i, j, end of the block before) and the state to go on from (None: done)."""
+    out = []
+    for i, c in zip(starts, contents):
+        if i < i0:
+            continue
+        at = news.get(c, ())
+        k = bisect_left(at, j0)
+        if k == len(at):
+            if c in cut:  # its next new starts are not here: go on from this place
+                return out, (i0, j0, i)
+            continue
+        out.append((i, at[k], i0, j0))
+        i0, j0 = i + length, at[k] + length
+    return out, (i0, j0, starts[-1] + 1) if more and starts else None
+
 
-    Each round, for all open segments of all files at once: (1) the largest
-    ``k`` with a common window of ``2**k`` lines inside the segment; (2) the
-    exact length by descending the bits of ``[2**k, 2**(k+1))`` — the lowest
-    ``FINAL_BITS`` bits and the winner (smallest old start, then new start) in
-    one group-by; (3) split every segment at its winner. Lineage is cut once a
-    round with a reliable checkpoint.
+def _walk(batches):
+    """mapInPandas body over rows sorted by segment, side and position; a segment
+    cut by a batch boundary is carried over. Rows of kind B are blocks with the end
+    of the one before; kind S is the state in which a step ended (pi, pj) and the
+    old position (i) to look on from; kind E the state at the end of the chain."""
+    import numpy as np
+
+    cols = ["file_name", "version", "sid", "i", "j", "pi", "pj", "len", "kind"]
+
+    def run(pdf):
+        out = []
+        key = [pdf[c].to_numpy() for c in ("file_name", "version", "sid")]
+        change = np.ones(len(pdf), bool)
+        change[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+        side, pos = pdf["side"].to_numpy(), pdf["pos"].to_numpy()
+        nk, n2, cut = pdf["nk"].to_numpy(), pdf["n2"].to_numpy(), pdf["cut"].to_numpy()
+        length, i0, j0, more = (pdf[c].to_numpy() for c in ("len", "i0", "j0", "more"))
+        at = [*np.flatnonzero(change), len(pdf)]
+        for s, e in zip(at[:-1], at[1:]):
+            name = list(zip(nk[s:e].tolist(), n2[s:e].tolist()))
+            old = [(p, c) for p, c, d in zip(pos[s:e].tolist(), name, side[s:e].tolist()) if d == 0]
+            news, cuts = {}, set()
+            for p, c, d, x in zip(pos[s:e].tolist(), name, side[s:e].tolist(), cut[s:e].tolist()):
+                if d == 1:
+                    news.setdefault(c, []).append(p)
+                if x:
+                    cuts.add(c)
+            head, n = (key[0][s], int(key[1][s]), int(key[2][s])), int(length[s])
+            blocks, state = _walk_segment(n, int(i0[s]), int(j0[s]), [p for p, _ in old], [c for _, c in old], news, cuts,
+                                          bool(more[s]))
+            out += [(*head, i, j, pi, pj, n, "B") for i, j, pi, pj in blocks]
+            if state is not None:
+                out.append((*head, state[2], None, state[0], state[1], n, "S"))
+            else:
+                pi, pj = (blocks[-1][0] + n, blocks[-1][1] + n) if blocks else (int(i0[s]), int(j0[s]))
+                out.append((*head, None, None, pi, pj, n, "E"))
+        res = pd.DataFrame(out, columns=cols)
+        return res.astype({"i": "Int64", "j": "Int64"})
 
-    Returns ``(pieces, p_rows, rounds)``; ``p_rows`` are rows of segments that
-    fell to at most ``small`` lines a side (None if ``small`` is None), to be
-    finished by P. ``segment_chain_test`` also finishes, every round, open
-    segments whose matches form a chain (useful when splits leave unique
-    lines; it costs a few jobs per round, so it is off by default).
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        last = np.ones(len(pdf), bool)
+        for c in ("file_name", "version", "sid"):
+            v = pdf[c].to_numpy()
+            last &= v == v[-1]
+        first = int(np.argmin(last[::-1]))
+        first = len(pdf) - first if first else 0
+        carry = pdf.iloc[first:].reset_index(drop=True)
+        if first:
+            yield run(pdf.iloc[:first])
+    if carry is not None and len(carry):
+        yield run(carry)
+
+
+def _walk_step(rows: DataFrame) -> DataFrame:
+    return (rows.select(*SEG, "side", "pos", "nk", "n2", "cut", "len", "i0", "j0", "more")
+            .repartition(*SEG).sortWithinPartitions(*SEG, "side", "pos").mapInPandas(_walk, WALKED))
+
+
+def greedy_chain(cand: DataFrame, walk: int = WALK) -> DataFrame:
+    """Blocks and end state of the greedy chain of every segment.
+
+    ``cand``: ``SEG, len, blo, side, pos, nk, n2`` — all starts of common blocks of
+    the segment's greatest length. Returns WALKED rows of kinds B and E."""
+    size = _checkpoint(cand.groupBy(*SEG).agg(
+        F.count(F.when(F.col("side") == 0, 1)).alias("na"), F.count("*").alias("n")))
+    here = F.col("n") <= 5 * walk
+    whole = cand.join(size.where(here).select(*SEG), SEG, "left_semi").select(
+        "*", F.lit(False).alias("cut"), F.lit(False).alias("more"), F.col("sid").alias("i0"), F.col("blo").alias("j0"))
+    done = [_checkpoint(_walk_step(whole))]
+    large = size.where(~here).select(*SEG)
+    if large.isEmpty():
+        return done[0]
+    big = cand.join(large, SEG, "left_semi")
+    old = _checkpoint(rank_within(big.where(F.col("side") == 0), SEG, "pos", "r"))
+    new = _checkpoint(rank_within(big.where(F.col("side") == 1), [*SEG, "nk", "n2"], "pos", "r"))
+    state = big.select(*SEG, F.col("sid").alias("i0"), F.col("blo").alias("j0"), F.col("sid").alias("at")).distinct()
+    while True:
+        # The next ``walk`` old starts ...
+        o = old.join(state, SEG).where(F.col("pos") >= F.greatest("at", "i0"))
+        first = o.groupBy(*SEG).agg(F.min("r").alias("r0"), F.max("r").alias("r9"))
+        o = o.join(first, SEG).where(F.col("r") < F.col("r0") + walk).withColumn("more", F.col("r9") >= F.col("r0") + walk)
+        # ... and for each of their contents a bounded run of the next new starts.
+        want = o.groupBy(*SEG, "nk", "n2").agg((4 * F.count("*") + 16).alias("limit"))
+        n = new.join(want, [*SEG, "nk", "n2"]).join(state, SEG).where(F.col("pos") >= F.col("j0"))
+        run = n.groupBy(*SEG, "nk", "n2").agg(F.min("r").alias("r0"), F.max("r").alias("r9"))
+        n = n.join(run, [*SEG, "nk", "n2"]).where(F.col("r") < F.col("r0") + F.col("limit"))
+        more = o.select(*SEG, "more").distinct()
+        cols = [*SEG, "side", "pos", "nk", "n2", "len", "i0", "j0"]
+        rows = o.select(*cols, F.lit(False).alias("cut"), "more").unionByName(
+            n.withColumn("cut", F.col("r9") >= F.col("r0") + F.col("limit")).join(more, SEG).select(*cols, "cut", "more"))
+        got = _checkpoint(_walk_step(rows))
+        # Segments without any old start left end where they are.
+        ended = state.join(first.select(*SEG), SEG, "left_anti").join(big.select(*SEG, "len").distinct(), SEG)
+        done += [got.where(F.col("kind") != "S"), ended.select(
+            *SEG, F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.col("i0").alias("pi"),
+            F.col("j0").alias("pj"), "len", F.lit("E").alias("kind"))]
+        state = _checkpoint(got.where(F.col("kind") == "S").select(
+            *SEG, F.col("pi").alias("i0"), F.col("pj").alias("j0"), F.col("i").alias("at")))
+        if state.isEmpty():
+            return _checkpoint(_union_all(done))
+
+
+def _positions(seg: DataFrame) -> DataFrame:
+    """(KEYS, side, pos) of all positions of the segments, with the segment's bounds."""
+    sides = seg.select("*", F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("sid").alias("lo"), F.col("ahi").alias("hi")),
+        F.struct(F.lit(1).alias("side"), F.col("blo").alias("lo"), F.col("bhi").alias("hi")))).alias("s")).select(
+        *SEG, "ahi", "blo", "bhi", "top", "s.*")
+    chunks = sides.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo") - 1) / EXPLODE_CHUNK))))
+    return chunks.select(*SEG, "ahi", "blo", "bhi", "top", "side", F.explode(F.sequence(
+        F.col("lo") + F.col("c") * EXPLODE_CHUNK,
+        F.least(F.col("hi"), F.col("lo") + (F.col("c") + 1) * EXPLODE_CHUNK) - 1)).alias("pos"))
+
+
+def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tuple[DataFrame, int]:
+    """Rounds over the whole files in ``ext``; returns ``(pieces, rounds)``.
+
+    Each round, for all open segments of all files at once: (1) the largest ``k``
+    with a common window of ``2**k`` lines inside the segment; (2) the exact length
+    by descending the bits of ``[2**k, 2**(k+1))``; (3) the greedy chain of blocks of
+    that length; (4) the segments between them, with their names. Every step writes
+    its small result to the shared checkpoint folder.
     """
-    spark: SparkSession = tagged.sparkSession
-    t = tagged.join(ext.select(*KEYS), KEYS, "left_semi").select(*KEYS, "side", "pos", "vid")
+    t = tagged.join(ext.select(*KEYS), KEYS, "left_semi").select(*KEYS, "side", "pos", "vid", "ca", "cb")
     mx = ext.agg(F.max(F.least("la", "lb")).alias("m")).first()["m"] or 0
-    max_level = max(0, int(mx).bit_length() - 1)
-    names = _checkpoint(window_names(t, ext, max_level))
-
-    # Open segments carry their bounds on every member position; sid = alo.
-    mem = _checkpoint(t.join(ext, KEYS).select(
-        *KEYS, "side", "pos", F.lit(0).cast("long").alias("sid"), F.col("la").alias("ahi"),
-        F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi")))
-    seg = _checkpoint(ext.select(*KEYS, F.lit(0).cast("long").alias("sid"), F.col("la").alias("ahi"),
-                                 F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi")))
-    pieces: list[DataFrame] = []
-    p_rows: list[DataFrame] = []
+    names = _checkpoint(window_names(t, ext, max(0, int(mx).bit_length() - 1)))
+    zero = F.lit(0).cast("long")
+    seg = ext.select(*KEYS, zero.alias("sid"), F.col("la").alias("ahi"), zero.alias("blo"), F.col("lb").alias("bhi"),
+                     F.least("la", "lb").alias("top"))
+    opened = (F.col("ahi") > F.col("sid")) & (F.col("bhi") > F.col("blo"))
+    gap = lambda d: d.select(*KEYS, F.lit("G").alias("kind"), F.col("sid").alias("i1"), F.col("ahi").alias("i2"),
+                             F.col("blo").alias("j1"), F.col("bhi").alias("j2"))
+    pieces = [gap(seg.where(~opened & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo")))))]
+    seg = seg.where(opened)
     rounds = 0
     final_offsets = F.array(*[F.lit(d).cast("long") for d in range(1 << FINAL_BITS)])
+    # Names of the open positions whose window fits and is not too long to matter.
+    usable = _fits(_pow2(F.col("k"))) & (_pow2(F.col("k")) <= F.col("top"))
     while True:
-        if max_rounds is not None and rounds >= max_rounds:
-            break
-        if small is not None:
-            is_small = (F.col("ahi") - F.col("sid") <= small) & (F.col("bhi") - F.col("blo") <= small)
-            p_rows.append(
-                mem.join(seg.where(is_small).select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi")
-                .join(t, [*KEYS, "side", "pos"])
-                .select(*KEYS, F.col("sid").alias("alo"), "ahi", "blo", "bhi", "side", "pos", "vid"))
-            seg = seg.where(~is_small)
-            mem = mem.join(seg.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi")
-        # 0. Segments whose matches form a chain are finished without recursion.
-        if segment_chain_test and rounds > 0:
-            cb, cr = segment_chains(mem, t, seg)
-            cb = _checkpoint(cb)
-            if not cb.isEmpty():
-                pieces.append(_checkpoint(chain_pieces(cr.join(cb.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi"),
-                                                       cb, [*KEYS, "sid"])))
-                seg = seg.join(cb.select(*KEYS, "sid"), [*KEYS, "sid"], "left_anti")
-                mem = mem.join(seg.select(*KEYS, "sid"), [*KEYS, "sid"], "left_semi")
+        mn = _checkpoint(names.join(_positions(seg), [*KEYS, "side", "pos"]).where(usable)
+                         .select(*SEG, "ahi", "blo", "bhi", "side", "pos", "k", "n"))
+        names = mn.select(*KEYS, "side", "pos", "k", "n")
         # 1. Largest power of two with a common window inside the segment.
-        mn = mem.join(names, [*KEYS, "side", "pos"]).where(_fits(_pow2(F.col("k"))))
-        lv = (mn.groupBy(*KEYS, "sid", "k", "n").agg(
+        lv = (mn.groupBy(*SEG, "ahi", "blo", "bhi", "k", "n").agg(
             F.max(F.when(F.col("side") == 0, 1)).alias("ha"), F.max(F.when(F.col("side") == 1, 1)).alias("hb"))
             .where(F.col("ha").isNotNull() & F.col("hb").isNotNull())
-            .groupBy(*KEYS, "sid").agg(F.max("k").alias("k")))
-        state = _checkpoint(seg.join(lv, [*KEYS, "sid"]).withColumn("cur", _pow2(F.col("k"))))
+            .groupBy(*SEG, "ahi", "blo", "bhi").agg(F.max("k").alias("k")))
+        state = _checkpoint(lv.withColumn("cur", _pow2(F.col("k"))))
         top = state.agg(F.max("k")).first()[0]
         # Segments with no common line are finished: one gap each.
-        pieces.append(seg.join(state.select(*KEYS, "sid"), [*KEYS, "sid"], "left_anti").select(
-            *KEYS, F.lit("G").alias("kind"), F.col("sid").alias("i1"), F.col("ahi").alias("i2"),
-            F.col("blo").alias("j1"), F.col("bhi").alias("j2")))
+        pieces.append(gap(seg.join(state.select(*SEG), SEG, "left_anti")))
         if top is None:
             break
         rounds += 1
-        # Level-k names of the member positions of each open segment.
-        mk = (mem.join(state.select(*KEYS, "sid", "k"), [*KEYS, "sid"])
-              .join(names.withColumnRenamed("n", "nk"), [*KEYS, "side", "pos", "k"])
-              .select(*KEYS, "sid", "side", "pos", "nk"))
+        mk = (mn.join(state.select(*SEG, "k"), [*SEG, "k"]).select(*SEG, "side", "pos", F.col("n").alias("nk")))
         if top > FINAL_BITS:
-            # Read again by every bit step: write it once.
-            mk = _checkpoint(mk)
-        # 2a. High bits of the exact length, one job per bit.
+            mk = _checkpoint(mk)  # read again by every bit step
+        # 2. Exact length: high bits one job each, the low ones together.
         for m in range(top - 1, FINAL_BITS - 1, -1):
             trial = state.where(F.col("k") > m)
             ok = (_common(_candidates(mk, trial, F.array(F.lit(1 << m).cast("long"))))
-                  .select(*KEYS, "sid").distinct().withColumn("hit", F.lit(1 << m)))
-            state = _checkpoint(state.join(ok, [*KEYS, "sid"], "left")
+                  .select(*SEG).distinct().withColumn("hit", F.lit(1 << m)))
+            state = _checkpoint(state.join(ok, SEG, "left")
                                 .withColumn("cur", F.col("cur") + F.coalesce("hit", F.lit(0))).drop("hit"))
-        # 2b. Low bits and winner: longest, then smallest old start, then new start.
-        best = (_common(_candidates(mk, state, final_offsets))
-                .groupBy(*KEYS, "sid").agg(F.min(F.struct((-F.col("len")).alias("nl"), "ci", "cj")).alias("w")))
-        win = _checkpoint(best.join(state, [*KEYS, "sid"]).select(
-            *KEYS, "sid", "ahi", "blo", "bhi", F.col("w.ci").alias("bi"), F.col("w.cj").alias("bj"),
-            (-F.col("w.nl")).alias("bk")))
-        pieces.append(win.select(*KEYS, F.lit("B").alias("kind"), F.col("bi").alias("i1"),
-                                 (F.col("bi") + F.col("bk")).alias("i2"), F.col("bj").alias("j1"),
-                                 (F.col("bj") + F.col("bk")).alias("j2")))
-        # 3. Split: the two children of each winner.
-        left = win.select(*KEYS, F.col("sid"), F.col("bi").alias("ahi"), "blo", F.col("bj").alias("bhi"))
-        right = win.select(*KEYS, (F.col("bi") + F.col("bk")).alias("sid"), "ahi",
-                           (F.col("bj") + F.col("bk")).alias("blo"), "bhi")
-        kids = left.unionByName(right)
-        open_kid = (F.col("ahi") > F.col("sid")) & (F.col("bhi") > F.col("blo"))
-        pieces.append(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo"))))
-                      .select(*KEYS, F.lit("G").alias("kind"), F.col("sid").alias("i1"), F.col("ahi").alias("i2"),
-                              F.col("blo").alias("j1"), F.col("bhi").alias("j2")))
-        # Cheap projection of the written winners: no need to write it again.
+        comp = _candidates(mk, state, final_offsets)
+        both = _common(comp)
+        longest = both.groupBy(*SEG).agg(F.max("len").alias("len"))
+        kept = both.join(longest, [*SEG, "len"], "left_semi").select(*SEG, "len", "nk", "n2")
+        cand = _checkpoint(comp.join(kept, [*SEG, "len", "nk", "n2"]).join(state.select(*SEG, "blo"), SEG)
+                           .select(*SEG, "len", "blo", "side", "pos", "nk", "n2"))
+        # 3. All blocks of that length that the recursion takes.
+        won = greedy_chain(cand, walk)
+        blocks = won.where(F.col("kind") == "B")
+        pieces.append(blocks.select(*KEYS, F.lit("B").alias("kind"), F.col("i").alias("i1"), (F.col("i") + F.col("len")).alias("i2"),
+                                    F.col("j").alias("j1"), (F.col("j") + F.col("len")).alias("j2")))
+        # 4. What lies before each block and after the last; shorter blocks only.
+        before = blocks.select(*KEYS, F.col("pi").alias("sid"), F.col("i").alias("ahi"), F.col("pj").alias("blo"),
+                               F.col("j").alias("bhi"), "len")
+        after = won.where(F.col("kind") == "E").join(state.select(*SEG, "ahi", "bhi"), SEG).select(
+            *KEYS, F.col("pi").alias("sid"), "ahi", F.col("pj").alias("blo"), "bhi", "len")
+        kids = before.unionByName(after).withColumn("top", F.least(
+            F.col("len") - 1, F.col("ahi") - F.col("sid"), F.col("bhi") - F.col("blo"))).drop("len")
+        open_kid = opened & (F.col("top") > 0)
+        pieces.append(gap(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo"))))))
         seg = kids.where(open_kid)
-        w = win.select(*KEYS, "sid", "bi", "bj", "bk")
-        moved = mem.drop("ahi", "blo", "bhi").join(w, [*KEYS, "sid"])
-        p = F.col("pos")
-        lo_side = F.when(F.col("side") == 0, p < F.col("bi")).otherwise(p < F.col("bj"))
-        hi_side = F.when(F.col("side") == 0, p >= F.col("bi") + F.col("bk")).otherwise(p >= F.col("bj") + F.col("bk"))
-        moved = moved.where(lo_side | hi_side).withColumn(
-            "sid", F.when(lo_side, F.col("sid")).otherwise(F.col("bi") + F.col("bk")))
-        mem = _checkpoint(moved.select(*KEYS, "side", "pos", "sid").join(seg, [*KEYS, "sid"]))
-    allp = _union_all(pieces) or spark.createDataFrame([], PIECES_SCHEMA)
-    return allp, _union_all(p_rows), rounds
+    return _union_all(pieces), rounds
 
 
 # ---------------------------------------------------------------- driver
 
-def match_lines(L: DataFrame, strategy: str = "auto", small: int = DEFAULT_SMALL) -> MatchResult:
+def match_lines(L: DataFrame, strategy: str = "auto", walk: int = WALK) -> MatchResult:
     """Align old and new lines of every (file_name, version).
 
-    ``strategy``: ``auto`` (chain, else P for small files, else R that hands
-    segments to P once they are small), ``R`` (chain, then rounds to the end),
-    ``P`` (no chain shortcut: P for every small file; large files go through R
-    until their segments are small — P never receives an unbounded group).
+    ``strategy``: ``auto`` (files whose matches form a chain by ranks, all others
+    by rounds) or ``rounds`` (all files by rounds).
     """
-    if strategy not in ("auto", "R", "P"):
+    if strategy not in ("auto", "rounds"):
         raise ValueError(f"unknown strategy {strategy!r}")
     tagged, _, ext = prepare(L)
     tagged = _checkpoint(tagged)
-    ranked, cls = classify(tagged, ext, small)
-    cls = _checkpoint(cls)
-    ranked = _checkpoint(ranked)
-    if strategy == "P":
-        cls = cls.withColumn("path", F.when(
-            (F.col("la") <= small) & (F.col("lb") <= small), "small").otherwise(
-            F.when(F.col("path") == "chain", "chain").otherwise("large")))
-    out = chain_pieces(ranked, cls.where(F.col("path") == "chain").select(
-        *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
-        F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi")))
-    rounds = 0
-    if strategy == "R":
-        r_ext = cls.where(F.col("path") != "chain").select(*KEYS, "la", "lb")
-        if not r_ext.isEmpty():
-            rp, _, rounds = relational_rounds(tagged, r_ext, None)
-            out = out.unionByName(rp)
-    else:
-        small_ext = cls.where(F.col("path") == "small").select(*KEYS, "la", "lb")
-        rows = tagged.join(small_ext, KEYS).select(
+    parts, rounds = [], 0
+    if strategy == "auto":
+        ranked, cls = classify(tagged, ext)
+        cls, ranked = _checkpoint(cls), _checkpoint(ranked)
+        parts.append(chain_pieces(ranked, cls.where(F.col("path") == "chain").select(
             *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
-            F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi"), "side", "pos", "vid")
-        has_rows = not small_ext.isEmpty()
-        large_ext = cls.where(F.col("path") == "large").select(*KEYS, "la", "lb")
-        if not large_ext.isEmpty():
-            rp, p_rows, rounds = relational_rounds(tagged, large_ext, small)
-            out = out.unionByName(rp)
-            if p_rows is not None:
-                rows = rows.unionByName(p_rows)
-                has_rows = True
-        if has_rows:
-            out = out.unionByName(finish_small(rows))
+            F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi"))))
+        ext = cls.where(F.col("path") == "rounds").select(*KEYS, "la", "lb")
+    if not ext.isEmpty():
+        done, rounds = relational_rounds(tagged, ext, walk)
+        parts.append(done)
     # Blocks and gaps (one row each, far fewer than lines) are read by several
     # later steps: write them once.
+    out = _union_all(parts)
+    if out is None:
+        out = L.sparkSession.createDataFrame([], PIECES_SCHEMA)
     return MatchResult(_checkpoint(out), rounds)

@@ -140,16 +140,17 @@ def q_match_pairs(spark, sf):
 D_BLOCKS_SQL = O.with_(O.D_CTES, O.RECURSIVE_BLOCKS) + " select file_name, version, i, j, n from blk"
 
 
-def _blocks(strategy):
+def _blocks(strategy, **kw):
     def q(spark, sf):
         _, _, L = _d_sides(spark, sf)
-        return match_lines(L, strategy=strategy).blocks
+        return match_lines(L, strategy=strategy, **kw).blocks
     return q
 
 
 register("matching_blocks", D_BLOCKS_SQL)(_blocks("auto"))
-register("matching_blocks_r", D_BLOCKS_SQL)(_blocks("R"))
-register("matching_blocks_p", D_BLOCKS_SQL)(_blocks("P"))
+register("matching_blocks_r", D_BLOCKS_SQL)(_blocks("rounds"))
+# Steps of eight old starts: the state of a greedy chain is handed on many times.
+register("matching_blocks_p", D_BLOCKS_SQL)(_blocks("rounds", walk=8))
 
 
 @register("diff_opcodes", O.with_(O.D_CTES, O.RECURSIVE_BLOCKS, O.EXT, O.OPCODES)

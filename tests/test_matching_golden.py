@@ -39,10 +39,10 @@ def _expected(pairs):
             for f, (a, b) in pairs.items()}
 
 
-@pytest.mark.parametrize("strategy,small", [("auto", 4096), ("auto", 8), ("P", 4096), ("R", 4096)])
-def test_opcodes_equal_difflib(spark, data, strategy, small):
+@pytest.mark.parametrize("strategy,walk", [("auto", 1 << 17), ("rounds", 1 << 17), ("rounds", 1)])
+def test_opcodes_equal_difflib(spark, data, strategy, walk):
     pairs, old, new = data
-    m = match_lines(to_sides(old, new), strategy=strategy, small=small)
+    m = match_lines(to_sides(old, new), strategy=strategy, walk=walk)
     got = {}
     for r in m.opcodes.collect():
         got.setdefault(r.file_name, []).append((r.tag, r.i1, r.i2, r.j1, r.j2))
@@ -73,8 +73,18 @@ def test_repeated_lines_hot_value(spark):
     a = ["x"] * 300 + ["a"] + ["x"] * 50
     b = ["x"] * 120 + ["b"] + ["x"] * 260
     old, new = lines_df(spark, {"hot": a}), lines_df(spark, {"hot": b})
-    for strategy, small in (("R", 4096), ("auto", 64)):
-        m = match_lines(to_sides(old, new), strategy=strategy, small=small)
+    for walk in (1 << 17, 20):
+        m = match_lines(to_sides(old, new), strategy="rounds", walk=walk)
         got = sorted((r.tag, r.i1, r.i2, r.j1, r.j2) for r in m.opcodes.collect())
         exp = sorted(o for o in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if o[0] != "equal")
-        assert got == exp, strategy
+        assert got == exp, walk
+
+
+@pytest.mark.parametrize("n", [40, 400])
+def test_rounds_do_not_grow_with_lines(spark, n):
+    """All payload lines change, the brackets around them repeat: one round takes them all."""
+    a = [x for i in range(n) for x in ("{", f"old {i}")]
+    b = [x for i in range(n) for x in ("{", f"new {i}")]
+    m = match_lines(to_sides(lines_df(spark, {"f": a}), lines_df(spark, {"f": b})))
+    assert m.rounds == 1
+    assert sorted((r.i, r.j, r.n) for r in m.blocks.collect()) == [(2 * i, 2 * i, 1) for i in range(n)]
