@@ -3,18 +3,19 @@
 1. *Explode.* Each Arrow batch is cut into blocks of whole texts. The pattern
    splits the texts into words (pre-tokens). A block keeps, per text, the
    positions as a list of numbers into the block's distinct words, and gives off
-   the distinct words themselves, dealt into buckets by their hash. Both are
-   written as one table of packed rows, so a lost executor recomputes nothing
-   older, and a word that a block holds a thousand times is shuffled once.
-2. *Encode.* Words are shuffled by bucket, so equal words of all blocks meet in
-   one task, which merges each distinct word once.
+   the distinct words themselves, dealt into buckets by their hash. Positions and
+   words leave in one shuffle of packed rows, read by both steps below; a word that
+   a block holds a thousand times is shuffled once.
+2. *Encode.* Words are dealt by bucket, so equal words of all blocks meet in one
+   task, which merges each distinct word once.
 3. *Join back.* The ids go back to their blocks, are joined to the positions, and
    the ids of each text are put together in order of position.
 4. *Decode* joins ids with the table of token bytes (the vocabulary, 50,000 rows,
    of a fixed size, sent to every task).
 
 No task holds more than a block, or the distinct words of one bucket. Blocks have
-``BLOCK_CHARS`` characters, or one text if that is longer.
+``BLOCK_CHARS`` characters, or one text if that is longer. The input should be a
+stored table: a task that is run again must read its rows in the same order.
 
 Nulls and edge cases: a null or empty text has no ids and decodes to the empty
 text; repeated rows are encoded each; a null id stays null; special tokens'
@@ -39,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linecdc.llm.common import shuffle_parts
-from linecdc.session import materialize
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 STEP_WORDS = 200_000  # words put together at once
-PACKED = "kind int, block string, bucket int, ids array<long>, lens binary, data binary"
-KIND_WORDS, KIND_TEXTS = 0, 1
+# A row of texts has its block as the key, bucket -1, the texts' ids, the number of
+# words of each text, the words' ranks, and the bucket of every rank. A row of
+# words or of their ids has the bucket or the block as the key.
+PACKED = "key string, block string, bucket int, ids array<long>, lens binary, data binary, buckets binary"
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -128,11 +130,11 @@ def _blocks(batch: pa.RecordBatch, size: int) -> Iterator[tuple[list, list[str]]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kind, block, bucket, ids, lens, data = zip(*rows)
+    key, block, bucket, ids, lens, data, buckets = zip(*rows)
     return pa.RecordBatch.from_arrays([
-        pa.array(kind, pa.int32()), pa.array(block, pa.string()), pa.array(bucket, pa.int32()),
-        pa.array(ids, pa.list_(pa.int64())), pa.array(lens, pa.binary()), pa.array(data, pa.binary())],
-        names=["kind", "block", "bucket", "ids", "lens", "data"])
+        pa.array(key, pa.string()), pa.array(block, pa.string()), pa.array(bucket, pa.int32()),
+        pa.array(ids, pa.list_(pa.int64())), pa.array(lens, pa.binary()), pa.array(data, pa.binary()),
+        pa.array(buckets, pa.binary())], names=["key", "block", "bucket", "ids", "lens", "data", "buckets"])
 
 
 def explode_words(pattern: str, buckets: int, size: int = BLOCK_CHARS) -> Callable:
@@ -146,26 +148,24 @@ def explode_words(pattern: str, buckets: int, size: int = BLOCK_CHARS) -> Callab
                 seen: dict[str, int] = {}
                 seq = [np.fromiter((seen.setdefault(w, len(seen)) for w in find(t)), np.uint32) for t in texts]
                 flat = np.concatenate(seq)
-                # Words are numbered by bucket and, within it, from the most frequent.
+                # Ranks go from the most frequent word, equal ones by spelling: both pack well.
                 count = np.bincount(flat, minlength=len(seen))
-                words = [w.encode() for w in seen]
-                bucket = np.fromiter((_bucket_of(w, buckets) for w in words), np.int64, len(words))
-                by_count = np.empty(len(words), np.int64)
-                by_count[np.argsort(-count, kind="stable")] = np.arange(len(words))
-                order = np.lexsort((by_count, bucket))
-                # The block's own numbers go by frequency, which packs better.
+                words = list(seen)
+                spelling = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+                by_rank = spelling[np.argsort(-count[spelling], kind="stable")]
+                rank = np.empty(len(words), np.uint32)
+                rank[by_rank] = np.arange(len(words), dtype=np.uint32)
+                raw = [words[i].encode() for i in by_rank]
+                bucket = np.fromiter((_bucket_of(w, buckets) for w in raw), np.uint32, len(raw))
                 block = f"{part}-{k}"
                 k += 1
-                out = [(KIND_TEXTS, block, -1, ids, _pack(np.array([len(s) for s in seq], np.uint32)),
-                        _pack(by_count[flat].astype(np.uint32)))]
-                ends = np.flatnonzero(np.r_[bucket[order][1:] != bucket[order][:-1], True]) + 1 if len(order) else []
-                at = 0
-                for end in ends:
-                    own = order[at:end]
-                    lens, data = _pack_words([words[i] for i in own])
-                    # ids: the block's numbers of these words
-                    out.append((KIND_WORDS, block, int(bucket[own[0]]), by_count[own].tolist(), lens, data))
-                    at = end
+                out = [(block, block, -1, ids, _pack(np.array([len(s) for s in seq], np.uint32)),
+                        _pack(rank[flat]), _pack(bucket))]
+                order = np.argsort(bucket, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                    lens, data = _pack_words([raw[i] for i in own])
+                    b = int(bucket[own[0]])
+                    out.append((f"w{b}", block, b, None, lens, data, None))
                 yield _rows(out)
     return run
 
@@ -177,15 +177,16 @@ def encode_words(vocabulary, pattern: str) -> Callable:
         known: dict[bytes, list[int]] = {}  # the distinct words of this task's buckets
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                words = _unpack_words(r["lens"], r["data"])
+            for block, bucket, lens, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "lens", "data"))):
+                if bucket < 0:
+                    continue
+                words = _unpack_words(lens, data)
                 for w in words:
                     if w not in known:
                         known[w] = merge(w)
                 got = [known[w] for w in words]
-                out.append((KIND_WORDS, r["block"], r["bucket"], r["ids"],
-                            _pack(np.fromiter(map(len, got), np.uint32, len(got))),
-                            _pack(np.fromiter(chain.from_iterable(got), np.uint32))))
+                out.append((block, block, bucket, None, _pack(np.fromiter(map(len, got), np.uint32, len(got))),
+                            _pack(np.fromiter(chain.from_iterable(got), np.uint32)), None))
             if out:
                 yield _rows(out)
     return run
@@ -197,16 +198,20 @@ def _gather(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
     return values[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _texts_of_block(texts: list[dict], words: list[dict]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _texts_of_block(key: tuple, texts: pa.Table, words: pa.Table) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(text ids, ids, number of ids per text) in slices of about STEP_WORDS words."""
+    if key[0].as_py().startswith("w"):  # words on their way to be encoded
+        return
+    texts, words = texts.to_pylist(), sorted(words.to_pylist(), key=lambda w: w["bucket"])
     lens = [_unpack(w["lens"]).astype(np.int64) for w in words]
     flat = np.concatenate([_unpack(w["data"]) for w in words]) if words else np.empty(0, np.uint32)
     n = np.concatenate(lens) if lens else np.empty(0, np.int64)
-    number = np.concatenate([np.asarray(w["ids"], np.int64) for w in words]) if words else np.empty(0, np.int64)
-    start, count = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-    start[number], count[number] = np.cumsum(n) - n, n
     for t in texts:
         seq, per = _unpack(t["data"]).astype(np.int64), _unpack(t["lens"]).astype(np.int64)
+        # The words came by bucket, within it by rank.
+        rank = np.argsort(_unpack(t["buckets"]), kind="stable")
+        start, count = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+        start[rank], count[rank] = np.cumsum(n) - n, n
         ends = np.cumsum(per)
         at = 0
         while at < len(per):
@@ -229,7 +234,7 @@ def decode_bytes(vocabulary: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 def _id_lists(vocabulary) -> Callable:
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         out_id, out = [], []
-        for own, ids, n in _texts_of_block(texts.to_pylist(), words.to_pylist()):
+        for own, ids, n in _texts_of_block(key, texts, words):
             out_id += own
             out += np.split(ids.astype(np.int32), np.cumsum(n)[:-1])
         return pa.table({"doc_id": pa.array(out_id, pa.int64()), "ids": pa.array(out, pa.list_(pa.int32()))})
@@ -240,7 +245,7 @@ def _digests(vocabulary) -> Callable:
     def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for own, ids, n in _texts_of_block(texts.to_pylist(), words.to_pylist()):
+        for own, ids, n in _texts_of_block(key, texts, words):
             raw, size = decode_bytes(vocabulary.value, ids)
             sizes = np.r_[0, np.cumsum(size)]
             le, ends = ids.astype("<u4").view(np.uint8), np.r_[0, np.cumsum(n)]
@@ -258,10 +263,11 @@ def _encode(docs: DataFrame, path: str, pattern: str, finish: Callable, schema:
     buckets = buckets or 2 * shuffle_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocabulary = spark.sparkContext.broadcast(read_vocabulary(path))
-    packed = materialize(rows.mapInArrow(explode_words(pattern, buckets, size), PACKED), "bpe-words")
-    texts = packed.where(F.col("kind") == KIND_TEXTS)
-    words = packed.where(F.col("kind") == KIND_WORDS).repartition("bucket").mapInArrow(encode_words(vocabulary, pattern), PACKED)
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(finish(vocabulary), schema)
+    packed = rows.mapInArrow(explode_words(pattern, buckets, size), PACKED).repartition("key")
+    # Both read the one shuffle: a filter here would go below it and make two.
+    words = packed.mapInArrow(encode_words(vocabulary, pattern), PACKED)
+    words = words.toDF(*words.columns)
+    return packed.groupBy("key").cogroup(words.groupBy("key")).applyInArrow(finish(vocabulary), schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, buckets: int | None = None, size: int = BLOCK_CHARS) -> DataFrame:
