@@ -12,6 +12,8 @@ from linecdc.schema import EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPES, REQUIRED_CO
 CORRUPT = "_corrupt"
 _DECODE_SCHEMA = T.StructType(EVENT_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 LOG_COLUMNS = ("topic", "partition", "offset", "timestamp")
+# A dead letter keeps what it needs to be sent again.
+PAYLOAD = ("key", "value")
 
 
 def encode_value(df: DataFrame) -> Column:
@@ -26,7 +28,7 @@ def publish_frame(events: DataFrame) -> DataFrame:
                          F.encode(encode_value(events), "UTF-8").alias("value"))
 
 
-def decode(records: DataFrame, keep: tuple[str, ...] = LOG_COLUMNS) -> DataFrame:
+def decode(records: DataFrame, keep: tuple[str, ...] = (*PAYLOAD, *LOG_COLUMNS)) -> DataFrame:
     """C1-C3, lenient: bytes -> text -> struct with the fixed schema; unknown
     fields ignored, missing ones null. Malformed text keeps the raw text in
     ``_corrupt``. Log coordinates are kept for first-wins ordering."""
@@ -62,13 +64,17 @@ def validate(decoded: DataFrame) -> DataFrame:
     return decoded.withColumn("reason", _reason(decoded))
 
 
+def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """C8 on rows that ``validate`` has tagged: (valid events, dead letters)."""
+    keep = [c for c in LOG_COLUMNS if c in validated.columns]
+    payload = [c for c in PAYLOAD if c in validated.columns]
+    valid = validated.where(F.col("reason").isNull()).select(*EVENT_COLUMNS, *keep)
+    return valid, validated.where(F.col("reason").isNotNull()).select(*payload, "reason", *keep)
+
+
 def route(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every input row lands in exactly one side: (valid events, dead letters)."""
-    v = validate(decoded)
-    keep = [c for c in LOG_COLUMNS if c in decoded.columns]
-    valid = v.where(F.col("reason").isNull()).select(*EVENT_COLUMNS, *keep)
-    dlq = v.where(F.col("reason").isNotNull()).select("raw_value", "reason", *keep)
-    return valid, dlq
+    return split(validate(decoded))
 
 
 ALLOWED_KEYS = EVENT_COLUMNS

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linecdc.functions.text import event_id, iso_timestamp
+from linecdc.functions.text import base_name, event_id, iso_timestamp
 from linecdc.operators.matching import KEYS, MatchResult, match_lines
 from linecdc.operators.ordering import prefix_sum
-from linecdc.schema import DELETE, EVENT_COLUMNS, INSERT, UPDATE
+from linecdc.schema import DELETE, INSERT, UPDATE
 from linecdc.session import materialize
 
 # Rows one opcode is cut into before the per-line explode, so a huge opcode
@@ -68,7 +68,10 @@ def attach_values(changes: DataFrame, L: DataFrame) -> DataFrame:
 
 
 def events_from_changes(changes: DataFrame, detected_at: DataFrame | Column | None = None) -> DataFrame:
-    """Final event rows: EVENT columns + version + change_seq."""
+    """Final event rows: EVENT columns + version + change_seq + file_path.
+
+    Files are told apart by their whole name; a reader gives the path. The event
+    shows its last component (J11), its id is made from all of it."""
     if isinstance(detected_at, DataFrame):
         changes = changes.join(detected_at.select(*KEYS, "detected_at"), KEYS, "left")
         ts = F.col("detected_at")
@@ -78,9 +81,9 @@ def events_from_changes(changes: DataFrame, detected_at: DataFrame | Column | No
         ts = detected_at
     return changes.select(
         event_id(F.col("file_name"), F.col("version"), F.col("event_type"), F.col("line_number")).alias("event_id"),
-        "file_name", "old_value", "new_value", "event_type", "line_number",
+        base_name(F.col("file_name")).alias("file_name"), "old_value", "new_value", "event_type", "line_number",
         iso_timestamp(ts).alias("event_timestamp"),
-        F.col("version"), F.col("change_seq"),
+        F.col("version"), F.col("change_seq"), F.col("file_name").alias("file_path"),
     )
 
 
@@ -159,7 +162,8 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
     UPDATE overrides the text at its new position. Ranks are computed per
     position block, so a huge file is not gathered.
     """
-    ev = events.select("file_name", "version", "event_type", "line_number", "new_value")
+    name = F.col("file_path" if "file_path" in events.columns else "file_name").alias("file_name")
+    ev = events.select(name, "version", "event_type", "line_number", "new_value")
     dels = ev.where(F.col("event_type") == DELETE).select("file_name", "version", "line_number")
     ins = ev.where(F.col("event_type") == INSERT).select(
         "file_name", "version", F.col("line_number"), F.col("new_value").alias("line"))
@@ -184,8 +188,3 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
     kept = kept.join(upd, [*KEYS, "line_number"], "left").select(
         *KEYS, "line_number", F.coalesce("upd", "line").alias("line"))
     return kept.unionByName(ins.select(*KEYS, "line_number", "line"))
-
-
-def event_columns(df: DataFrame) -> DataFrame:
-    """The canonical 7 event columns, in order."""
-    return df.select(*EVENT_COLUMNS)

@@ -10,23 +10,39 @@ written again (first write wins).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from linecdc.operators.codec import decode, publish_frame, route, to_table_rows
+from linecdc.operators.codec import decode, publish_frame, split, to_table_rows, validate
 from linecdc.schema import EVENT_COLUMNS
+from linecdc.session import materialize
+
+
+# Batches up to this many ids (about 50 MB) go to the history's tasks; larger ones are shuffled with it.
+BROADCAST_IDS = 1_000_000
+
 
+def log_position(order: tuple[str, ...]) -> Column:
+    """One decimal that orders like two non-negative whole columns. Decimals are
+    updated in place by a hash aggregation; a struct would need a sort."""
+    first, second = (F.col(c).cast("decimal(38,0)") for c in order)
+    return (first * F.lit(Decimal(10**19)) + second).cast("decimal(38,0)")
 
-def first_wins(valid: DataFrame, order: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
-    """One row per event_id, the one with the smallest log position.
 
-    ``min_by`` is an aggregate with map-side partial aggregation: a hot id does
-    not gather its duplicates in one task. (``dropDuplicates`` keeps an
-    arbitrary row.)"""
-    other = [c for c in valid.columns if c != "event_id"]
-    agg = valid.groupBy("event_id").agg(
-        F.min_by(F.struct(*other), F.struct(*[F.col(c) for c in order])).alias("_r"))
-    return agg.select("event_id", *[F.col(f"_r.{c}").alias(c) for c in other])
+def first_wins(valid: DataFrame, order: tuple[str, str] = ("partition", "offset")) -> DataFrame:
+    """One row per event_id, the one with the smallest log position. Positions
+    name one record each; a record that is offered twice at one position counts once.
+
+    The least position per id is a hash aggregation over (id, number), partial on
+    the map side; whole rows are only joined to it."""
+    rows = valid.withColumn("_pos", log_position(order))
+    least = rows.groupBy("event_id").agg(F.min("_pos").alias("_pos"))
+    won = rows.join(least, ["event_id", "_pos"], "left_semi")
+    again = won.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select("event_id")
+    return (won.join(again, "event_id", "left_anti")
+            .unionByName(won.join(again, "event_id", "left_semi").dropDuplicates(["event_id"])).drop("_pos"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -42,41 +58,50 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def insert_if_absent(events: DataFrame, path: str, run_id: str, batch_id: int,
-                     loaded_at=None, order: tuple[str, ...] = ("partition", "offset")) -> dict:
+                     loaded_at=None, order: tuple[str, str] = ("partition", "offset")) -> dict:
     """Append ``events`` (valid, with log coordinates) once per event_id.
 
-    Returns counts ``offered, inserted, duplicate`` (F2), taken with
-    ``observe`` while the single write job runs. An empty batch writes nothing
-    (C12)."""
+    Returns counts ``offered, inserted, duplicate`` (F2). An empty batch writes
+    nothing (C12). ``order`` names the columns whose least value wins; without
+    them no row could be said to be first, so they are required.
+
+    The batch and its winners are written once and read from there. The history gives only
+    its key column, reduced to the batch's ids before anything is shuffled; rows are
+    stored in order of file and time, so lookups skip row groups."""
+    if missing := [c for c in order if c not in events.columns]:
+        raise ValueError(f"first write wins needs the columns {missing}")
     spark = events.sparkSession
-    if events.isEmpty():
+    events = materialize(events, "offered")
+    offered = events.count()
+    if not offered:
         return {"offered": 0, "inserted": 0, "duplicate": 0}
-    seen, kept = Observation(), Observation()
-    ev = events.observe(seen, F.count(F.lit(1)).alias("n"))
-    cols = [c for c in order if c in events.columns]
-    batch = first_wins(ev, tuple(cols)) if cols else ev.dropDuplicates(["event_id"])
+    batch = materialize(first_wins(events, order), "batch")
+    ids = batch.count()
     if _exists(spark, path):
-        # Only the key column of the other partitions is read (column pruning).
-        others = (spark.read.parquet(path)
-                  .where(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)))
-                  .select("event_id"))
-        batch = batch.join(others, "event_id", "left_anti")
+        own = batch.select("event_id")
+        hits = (spark.read.parquet(path)
+                .where(~((F.col("run_id") == run_id) & (F.col("batch_id") == batch_id))).select("event_id")
+                .join(F.broadcast(own) if ids <= BROADCAST_IDS else own, "event_id", "left_semi"))
+        batch = batch.join(hits.distinct(), "event_id", "left_anti")
     extra = [c for c in ("version", "change_seq") if c in batch.columns]
     rows = to_table_rows(batch.select(*EVENT_COLUMNS, *extra)).withColumn(
         "loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
     rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    rows = rows.observe(kept, F.count(F.lit(1)).alias("n"))
+    kept = Observation()
+    rows = (rows.repartitionByRange("file_name", "event_timestamp").sortWithinPartitions("file_name", "event_timestamp")
+            .observe(kept, F.count(F.lit(1)).alias("n")))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id", "batch_id").parquet(path))
-    offered, inserted = seen.get["n"], kept.get["n"]
+    inserted = kept.get["n"]
     return {"offered": offered, "inserted": inserted, "duplicate": offered - inserted}
 
 
 def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str, batch_id: int,
                 loaded_at=None) -> dict:
-    """B8 body: decode -> route -> first-wins -> insert-if-absent; invalid rows
-    to the dead-letter table. Nothing is collected."""
-    valid, dlq = route(decode(records))
+    """B8 body: decode once -> split -> first-wins -> insert-if-absent; invalid rows
+    to the dead-letter table. Returns counts (F2); nothing is collected."""
+    tagged = materialize(validate(decode(records)), "decoded")
+    valid, dlq = split(tagged)
     n_dlq = append_dlq(dlq, dlq_path, run_id, batch_id)
     counts = insert_if_absent(valid, table_path, run_id, batch_id, loaded_at)
     counts["invalid"] = n_dlq
@@ -84,39 +109,70 @@ def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str,
     return counts
 
 
+DLQ_COLUMNS = {"key": "binary", "value": "binary", "reason": "string", "topic": "string", "partition": "int",
+               "offset": "long", "timestamp": "timestamp"}
+
+
 def append_dlq(dlq: DataFrame, path: str, run_id: str, batch_id: int, status: str = "pending") -> int:
-    """B2: dead letters, kept with their reason and log position. Replays of
-    the same batch overwrite their own partition. Returns the row count
-    (observed during the write)."""
-    if dlq.isEmpty():
-        return 0
-    n = Observation()
-    rows = dlq.withColumn("status", F.lit(status)).withColumn("run_id", F.lit(run_id)).withColumn(
-        "batch_id", F.lit(batch_id).cast("long")).observe(n, F.count(F.lit(1)).alias("n"))
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id", "batch_id").parquet(path))
-    return n.get["n"]
+    """B2: dead letters of every path in one form: key and bytes as they came, the
+    reason, and the log position if there is one. Replays of the same batch
+    overwrite their own partition. Returns the row count."""
+    rows = dlq.select(*[(F.col(c) if c in dlq.columns else F.lit(None)).cast(t).alias(c) for c, t in DLQ_COLUMNS.items()])
+    rows = materialize(rows, "dlq-batch")
+    n = rows.count()
+    if n:
+        (rows.withColumn("status", F.lit(status)).withColumn("run_id", F.lit(run_id))
+         .withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("run_id", "batch_id").parquet(path))
+    return n
+
+
+def send_once(records: DataFrame, deliver) -> tuple[DataFrame, DataFrame]:
+    """(delivered, undelivered) of ``records(key, value)``. ``deliver(records)``
+    returns the records it could deliver; its plan runs once, into a status table,
+    and both sides are read from there."""
+    sent = materialize(deliver(records).select("key", "value").distinct(), "delivered")
+    same = records["key"].eqNullSafe(sent["key"]) & records["value"].eqNullSafe(sent["value"])
+    return sent, records.join(sent, same, "left_anti")
 
 
 def redrive(pending: DataFrame, deliver) -> tuple[DataFrame, DataFrame]:
     """Re-publish pending payloads keeping their key; entries whose
-    delivery fails again stay pending (pending anti-join delivered).
+    delivery fails again stay pending (pending anti-join delivered)."""
+    return send_once(materialize(pending, "pending"), deliver)
+
+
+def log_rows(records: DataFrame, topic: str, batch_id: int) -> DataFrame:
+    """``records(key, value)`` with log coordinates for a landing folder that stands
+    in for a topic: a writing task is a partition, offsets rise with batch and row."""
+    row = F.monotonically_increasing_id()
+    return records.select("key", "value", F.lit(topic).alias("topic"), F.shiftright(row, 33).cast("int").alias("partition"),
+                          (F.lit(batch_id << 33) + row.bitwiseAND(F.lit((1 << 33) - 1))).alias("offset"),
+                          F.current_timestamp().alias("timestamp"))
 
-    ``deliver(records) -> delivered records`` is the publish step (a Kafka or
-    table writer); it returns the records it could deliver."""
-    attempt = pending.select("key", "value", *[c for c in pending.columns if c not in ("key", "value")])
-    delivered = deliver(attempt)
-    still = attempt.join(delivered.select("key", "value"), ["key", "value"], "left_anti")
-    return delivered, still
+
+def log_writer(fmt: str, path: str | None = None, topic: str = "file-changes", batch_id: int = 0, **options):
+    """B1: a ``deliver`` that writes records to the log and returns them. ``kafka``
+    needs the connector on the cluster; ``parquet`` writes Kafka-shaped rows to the
+    folder ``path``, one partition per batch, so a replay writes the same again."""
+    if fmt not in ("kafka", "parquet"):
+        raise ValueError(f"unknown log format {fmt!r}")
+
+    def deliver(records: DataFrame) -> DataFrame:
+        if fmt == "kafka":
+            records.write.format("kafka").options(topic=topic, **options).save()
+        else:
+            (log_rows(records, topic, batch_id).withColumn("log_batch", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("log_batch").parquet(path))
+        return records
+    return deliver
 
 
 def publish(events: DataFrame, writer=None) -> DataFrame:
-    """B1: records to the log. ``writer(records)`` performs the write (Kafka
-    format needs its jar on the cluster); returns the records."""
+    """B1: records to the log through ``writer`` (see ``log_writer``); returns them."""
     rec = publish_frame(events)
-    if writer is not None:
-        writer(rec)
-    return rec
+    return writer(materialize(rec, "outbox")) if writer is not None else rec
 
 
 def snapshot_latest(snapshots: DataFrame) -> DataFrame:
@@ -136,14 +192,24 @@ def advance_snapshots(lines: DataFrame, path: str, run_id: str, batch_id: int) -
 
 
 def sink_writer(fmt: str = "parquet"):
-    """Writer by target format; unknown formats raise."""
+    """Writer by target format; unknown formats raise. A plain append to a
+    database would store a repeated id twice, so ``jdbc`` writes to a staging table
+    (``<dbtable>_staging``) from which the database inserts what is absent."""
     if fmt == "parquet":
         return lambda df, path: df.write.mode("append").parquet(path)
     if fmt == "jdbc":
-        return lambda df, opts: df.write.mode("append").format("jdbc").options(**opts).save()
+        return lambda df, opts: df.write.mode("overwrite").format("jdbc").options(
+            **{**opts, "dbtable": opts["dbtable"] + "_staging"}).save()
     raise ValueError(f"unknown sink format {fmt!r}")
 
 
+def merge_sql(table: str, staging: str) -> str:
+    """The statement that inserts the staged rows whose event_id is absent."""
+    cols = ", ".join([*EVENT_COLUMNS, "loaded_at"])
+    return (f"MERGE INTO {table} t USING {staging} s ON t.event_id = s.event_id "
+            f"WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({', '.join('s.' + c.strip() for c in cols.split(','))})")
+
+
 def compact_snapshots(spark: SparkSession, path: str, out_path: str) -> DataFrame:
     """B6 compaction: keep only the latest version of each file (G4), written to
     ``out_path`` as one partition; readers then switch to ``out_path``."""

@@ -191,7 +191,7 @@ recs as (
     from ef
   union all
   select src_id, cast(src_id % 4 as integer), cast(src_id // 4 + 1000000 as bigint), 'ok',
-         event_id, file_name, case when et <> 'INSERT' then cents end, 'should-not-overwrite',
+         event_id, file_name, case when et <> 'INSERT' then cents end, 'sent again',
          et, line_number, event_timestamp, ts
     from ef where src_id % 10 = 0),
 dec as (select "partition", "offset", kind, src_id, ts,

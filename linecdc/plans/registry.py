@@ -92,18 +92,18 @@ def q_file_baseline(spark, sf):
     return det.baseline
 
 
-@register("file_missing_as_deletes", O.with_(O.O_CTES) + """
-select {eid} event_id, file_name, line old_value, cast(null as varchar) new_value, 'DELETE' event_type,
-       line_number, {ts} event_timestamp
+@register("file_missing_as_deletes", O.o_events() + """
+select event_id, file_name, old_value, new_value, event_type, line_number, event_timestamp from events
+union all
+select {eid}, file_name, line, cast(null as varchar), 'DELETE', line_number, {ts}
   from o_lines where version = 1 and file_name not in (select file_name from o_lines where version = 2)
 """.format(eid=O.event_id_sql("file_name", "2", "'DELETE'", "line_number"), ts=O.version_ts("2")))
 def q_file_missing_as_deletes(spark, sf):
+    """All files: those in both versions are diffed, missing ones deleted."""
     lines = fx.order_lines(spark, sf, (1, 2))
     cur, snap = lines.where(F.col("version") == 2), lines.where(F.col("version") == 1)
-    gone = snap.select("file_name").distinct().join(cur.select("file_name").distinct(), "file_name", "left_anti")
-    det = detect_changes(cur.join(gone, "file_name", "left_semi"), snap.join(gone, "file_name", "left_semi"),
-                         _versions_time(lines.withColumn("version", F.lit(2).cast("long"))),
-                         missing_as_empty=True)
+    names = lines.select("file_name").distinct().withColumn("version", F.lit(2).cast("long"))
+    det = detect_changes(cur, snap, names.withColumn("detected_at", fx.version_time(F.col("version"))), missing_as_empty=True)
     return det.events.select(*EVENT_COLUMNS)
 
 
@@ -358,28 +358,19 @@ def q_batch_audit(spark, sf):
 
 
 @register("dlq_redrive", O.e_with() + """
-select event_id key, case when src_id % 49 = 0 then 'pending' when src_id % 7 = 0 then 'redriven'
-                          else 'delivered' end status from ef""")
+select event_id key, kind <> 'ok' unreadable, case when kind in ('null', 'malformed') then 'redriven' else 'pending' end status
+  from routed r join ef using (src_id) where r.reason is not null""".replace("event_id key", "ef.event_id key")
+          .replace("kind <> 'ok'", "kind in ('null', 'malformed')"))
 def q_dlq_redrive(spark, sf):
-    f = fx.event_fields(spark, sf)
-    rec = sink.publish(f.select(*EVENT_COLUMNS))
-    dlq_path = scratch_path(spark, "dlq")
-    first = rec.where(~_fails(7))
-    failed = rec.join(first.select("key"), "key", "left_anti").withColumn("reason", F.lit("undelivered"))
-    sink.append_dlq(failed, dlq_path, "run0", 0)
-    pending = spark.read.parquet(dlq_path).where(F.col("status") == "pending").select("key", "value")
-    delivered, still = sink.redrive(pending, lambda r: r.where(~_fails(49)))
-    status = (rec.select("key")
-              .join(delivered.select("key").withColumn("_r", F.lit(1)), "key", "left")
-              .join(still.select("key").withColumn("_p", F.lit(1)), "key", "left"))
-    return status.select(F.col("key").cast("string").alias("key"),
-                         F.when(F.col("_p") == 1, "pending").when(F.col("_r") == 1, "redriven")
-                         .otherwise("delivered").alias("status"))
-
-
-def _fails(mod: int):
-    """Simulated broker failure for a record (test harness for delivery)."""
-    return (F.substring(F.col("key").cast("string"), 2, 20).cast("long") % mod) == 0
+    """what a redrive of the sink's own dead letters sends, entry by entry."""
+    from linecdc.plans.streams import _repair
+    from linecdc.streaming.pipelines import redrive_dlq
+
+    table, dlq, topic = (scratch_path(spark, n) for n in ("table", "dlq", "topic"))
+    sink.write_batch(fx.log_records(spark, sf), table, dlq, "run0", 0)
+    state = redrive_dlq(spark, dlq, topic, _repair(spark, sf), "redrive", 0)
+    return state.select(F.col("key").cast("string").alias("key"), F.col("reason").isin("null_value", "malformed_json").alias("unreadable"),
+                        "status")
 
 
 @register("debounce", O.with_(O.N_CTES) + f"""

@@ -7,24 +7,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linecdc.operators import sink
+from linecdc.operators import codec, sink
 from linecdc.plans import oracle as O
-from linecdc.plans.registry import EV_OUT, TABLE_SQL_COLS, _fails, _table_cols, _versions_time, register
-from linecdc.schema import EVENT_COLUMNS
-from linecdc.session import scratch_path
+from linecdc.plans.registry import EV_OUT, TABLE_SQL_COLS, _table_cols, _versions_time, register
+from linecdc.session import materialize, scratch_path
 from linecdc.sources import fixtures as fx
 from linecdc.streaming import pipelines as P
 
 
+CLOSING = "(closing)"
+
+
 def _land(df, path: str, parts: int = 4) -> None:
     df.repartition(parts).write.mode("overwrite").parquet(path)
 
 
 @register("stream_to_table", O.e_with() + f"select {TABLE_SQL_COLS} from firsts")
 def q_stream_to_table(spark, sf):
+    """Values are compared, so within a batch the first of an id must win whatever
+    file it comes in; the batches follow the log, as a topic's do."""
     rec = fx.log_records(spark, sf)
     landing = scratch_path(spark, "landing")
-    # Originals land first, redeliveries later: later files are later batches.
     _land(rec.where(F.col("offset") < fx.REDELIVERY_OFFSET), landing + "/a")
     _land(rec.where(F.col("offset") >= fx.REDELIVERY_OFFSET), landing + "/b")
     table, dlq, audit = (scratch_path(spark, n) for n in ("table", "dlq", "audit"))
@@ -36,55 +39,102 @@ def q_stream_to_table(spark, sf):
     return _table_cols(sink.read_table(spark, table))
 
 
+def _version_rows(spark, sf, landing: str, parts: int):
+    """The O versions as a landing folder whose versions spread over several files."""
+    lines = fx.order_lines(spark, sf, (1, 2, 3))
+    sizes = lines.groupBy("file_name", "version").agg(F.count("*").alias("n_lines"))
+    lines = lines.join(sizes, ["file_name", "version"])
+    for v in (1, 2, 3):
+        _land(lines.where(F.col("version") == v), f"{landing}/v{v}", parts=parts)
+    return spark.read.parquet(f"{landing}/v1").schema
+
+
+def _diff_stream(spark, schema, landing: str, events: str, snaps: str, ckpt: str) -> None:
+    src = spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", 1).load(landing + "/*")
+    P.start_diff_stream(src, events, snaps, ckpt, detected_at_fn=_versions_time, available_now=True).awaitTermination()
+
+
 @register("stream_diff", O.o_events("") + " select * from events")
 def q_stream_diff(spark, sf):
-    lines = fx.order_lines(spark, sf, (1, 2, 3))
+    """One file a batch, two files a version: versions span batches."""
     landing = scratch_path(spark, "versions")
-    for v in (1, 2, 3):
-        _land(lines.where(F.col("version") == v), f"{landing}/v{v}", parts=2)
+    schema = _version_rows(spark, sf, landing, 2)
     events, snaps, ckpt = (scratch_path(spark, n) for n in ("events", "snap", "ckpt"))
-    schema = spark.read.parquet(f"{landing}/v1").schema
     for _ in range(2):
-        src = spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", 2).load(landing + "/*")
-        P.start_diff_stream(src, events, snaps, ckpt, detected_at_fn=_versions_time,
-                            available_now=True).awaitTermination()
+        _diff_stream(spark, schema, landing, events, snaps, ckpt)
     t = spark.read.parquet(events)
     return t.select(*[c for c in EV_OUT if c != "event_timestamp"],
                     F.date_format("event_timestamp", fx.ISO_FORMAT).alias("event_timestamp")).select(*EV_OUT)
 
 
+@register("end_to_end", O.o_events("") + " select {c} from events".format(
+    c="event_id, file_name, old_value, new_value, event_type, line_number, event_timestamp"))
+def q_end_to_end(spark, sf):
+    """Saved versions -> diff -> log -> change table, as three streams."""
+    landing = scratch_path(spark, "versions")
+    schema = _version_rows(spark, sf, landing, 2)
+    events, snaps, topic, dlq, table, bad = (scratch_path(spark, n) for n in ("events", "snap", "topic", "dlq", "table", "bad"))
+    _diff_stream(spark, schema, landing, events, snaps, scratch_path(spark, "ckpt"))
+    stored = spark.read.parquet(events)
+    text = F.date_format("event_timestamp", fx.ISO_FORMAT)
+    changes = (spark.readStream.format("parquet").schema(stored.schema).load(events)
+               .withColumn("event_timestamp", text))
+    P.start_publish_stream(changes, topic, dlq, scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
+    rows = P.log_source(spark, path=topic, schema=spark.read.parquet(topic).schema)
+    P.start_table_stream(rows, table, bad, scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
+    return _table_cols(sink.read_table(spark, table))
+
+
+def _repair(spark, sf):
+    """Entries without a readable payload are encoded anew from their source; an
+    event type out of domain is nothing to repair, such entries stay pending."""
+    f = fx.event_fields(spark, sf)
+    good = f.select(F.encode("event_id", "UTF-8").alias("key"), F.encode(codec.encode_value(f), "UTF-8").alias("new_value"))
+    return lambda pending: pending.where(F.col("reason").isin("null_value", "malformed_json")).join(good, "key")
+
+
 @register("publish_redrive_stream", O.e_with() + """
-select event_id key, case when src_id % 49 = 0 then 'pending' when src_id % 7 = 0 then 'redriven'
-                          else 'delivered' end status from ef""")
+select event_id key, case when event_id in (select event_id from firsts) then 'delivered'
+                          when et <> 'BAD' then 'redriven' else 'pending' end status from ef""")
 def q_publish_redrive_stream(spark, sf):
-    f = fx.event_fields(spark, sf).select(*EVENT_COLUMNS)
-    landing = scratch_path(spark, "events")
-    _land(f, landing)
-    topic, dlq, ckpt = (scratch_path(spark, n) for n in ("topic", "dlq", "ckpt"))
-    src = spark.readStream.format("parquet").schema(f.schema).option("maxFilesPerTrigger", 1).load(landing)
-    P.start_publish_stream(src, topic, dlq, ckpt, lambda r: r.where(~_fails(7)),
-                           available_now=True).awaitTermination()
-    state = P.redrive_dlq(spark, dlq, topic, lambda r: r.where(~_fails(49)), "redrive", 0)
-    first = spark.read.parquet(topic).where(F.col("run_id") == P.run_id_for(ckpt)).select("key").distinct()
-    out = first.withColumn("status", F.lit("delivered")).unionByName(state.select("key", "status"))
-    return out.select(F.col("key").cast("string").alias("key"), "status")
+    """The log's unreadable records go to the stream's DLQ, are repaired and redriven
+    with their key, and the second stream reads them back and stores what is new."""
+    rec = fx.log_records(spark, sf)
+    landing, topic, table, dlq = (scratch_path(spark, n) for n in ("landing", "topic", "table", "dlq"))
+    _land(rec, landing)
+    src = P.log_source(spark, path=landing, schema=rec.schema, max_per_trigger=1)
+    P.start_table_stream(src, table, dlq, scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
+    first = materialize(sink.read_table(spark, table).select("event_id"), "first")
+    for attempt in range(2):  # the second finds only what stays pending
+        P.redrive_dlq(spark, dlq, topic, _repair(spark, sf), "redrive", attempt)
+    back = P.log_source(spark, path=topic, schema=spark.read.parquet(topic).schema)
+    P.start_table_stream(back, table, dlq + "_again", scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
+    now = sink.read_table(spark, table).select("event_id")
+    status = F.when(F.col("_f"), "delivered").when(F.col("_n"), "redriven").otherwise("pending")
+    keys = rec.select(F.col("key").cast("string").alias("event_id")).distinct()
+    return (keys.join(first.withColumn("_f", F.lit(True)), "event_id", "left")
+            .join(now.withColumn("_n", F.lit(True)), "event_id", "left")
+            .select(F.col("event_id").alias("key"), status.alias("status")))
 
 
 @register("debounce_stream", O.with_(O.N_CTES, """
 sess as (select file_name, min(ts) s0, max(ts) s1, count(*) n_saves, arg_max(version, (ts, version)) version
            from ns group by file_name, sess)""") + f"""
-select file_name, strftime(s0, {O.ISO}) session_start, strftime(s1, {O.ISO}) session_end, n_saves, version
-  from sess where s1 + interval 10 minute <= (select max(ts) from events) - interval 10 minute""")
+select file_name, strftime(s0, {O.ISO}) session_start, strftime(s1, {O.ISO}) session_end, n_saves, version from sess""")
 def q_debounce_stream(spark, sf):
     """K5 as a stream: sessions are emitted (append mode) once the watermark,
-    the latest event time minus the gap, has passed their end."""
+    the latest event time minus the gap, has passed their end. A last notification
+    of a day later, as the watcher sends on closing, lets the open ones go."""
     notes = fx.notifications(spark, sf)
     landing, out, ckpt = (scratch_path(spark, n) for n in ("notes", "debounced", "ckpt"))
-    _land(notes, landing)
-    src = spark.readStream.format("parquet").schema(notes.schema).load(landing)
+    _land(notes, landing + "/a")
+    close = notes.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts")).select(
+        F.lit(CLOSING).alias("file_name"), "ts", F.lit(0).cast("long").alias("version"))
+    _land(close, landing + "/b", 1)
+    src = spark.readStream.format("parquet").schema(notes.schema).load(landing + "/*")
     q = (P.debounce_stream(src, "10 minutes").writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    d = spark.read.parquet(out)
+    d = spark.read.parquet(out).where(F.col("file_name") != CLOSING)
     return d.select("file_name", F.date_format("session_start", fx.ISO_FORMAT).alias("session_start"),
                     F.date_format("session_end", fx.ISO_FORMAT).alias("session_end"), "n_saves", "version")

@@ -2,14 +2,16 @@
 used for reliable checkpoints and scratch tables.
 
 On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared file
-system). Only when the session names none (unit tests, local runs) do we
-create a private one.
+system). Only when the session names none and runs in one process (unit
+tests, local runs) do we create a private one; elsewhere that is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -73,16 +75,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
-        # Unset: local runs and tests only. A cluster names a shared folder.
+    elif re.fullmatch(r"local(\[.*\])?", sc.master):
+        # Unset, in one process: local runs and tests.
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="linecdc-ckpt-"))
+    else:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers through the driver's file server, so
+    that they need no copy of it and no working directory of ours. Once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_linecdc_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="linecdc-py-"), "linecdc.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._linecdc_shipped = True
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/linecdc-scratch"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of the session's shared folder: at the end of a
+    job, when its result has been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for tables a job writes."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/linecdc-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "stage"):

@@ -17,13 +17,17 @@ from linecdc.functions.text import extension, splitlines
 
 
 def read_versions(spark: SparkSession, path: str, extensions: Sequence[str] | None = None,
-                  glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+                  glob: str | None = None, file_key=None) -> tuple[DataFrame, DataFrame]:
     """Read every file under ``path`` (non-recursive) as one version.
 
-    Returns ``(lines, rejected)``: ``lines(file_name, file_path, version,
+    Returns ``(lines, rejected)``: ``lines(file_name (the path), file_path, version,
     detected_at, line_number, line)`` and files that are not valid UTF-8
     ``(file_path, reason)``. ``extensions`` filters by lower-case extension
     (C9); ``glob`` is Spark's ``pathGlobFilter``.
+
+    ``file_name`` is the key by which versions are compared: the whole path (equal
+    base names in two folders are two files), or ``file_key`` of the path column,
+    for landing folders that give each save a path of its own.
     """
     r = spark.read.format("binaryFile")
     if glob:
@@ -31,7 +35,7 @@ def read_versions(spark: SparkSession, path: str, extensions: Sequence[str] | No
     files = r.load(path).select(
         F.col("path").alias("file_path"), "content",
         F.col("modificationTime").alias("detected_at"))
-    files = files.withColumn("file_name", F.regexp_extract("file_path", "([^/]*)$", 1))
+    files = files.withColumn("file_name", (file_key or (lambda path: path))(F.col("file_path")))
     if extensions:
         files = files.where(extension(F.col("file_path")).isin(*[e.lower() for e in extensions]))
     ok = F.is_valid_utf8(F.col("content"))
@@ -71,5 +75,5 @@ def read_large(spark: SparkSession, path: str) -> DataFrame:
     numbered = prefix_sum(raw, ["file_path"], "block_start", F.lit(1), "n", order=("rid", "sub"),
                           block_bits=0)
     return numbered.select(
-        F.regexp_extract("file_path", "([^/]*)$", 1).alias("file_name"), "file_path",
+        F.col("file_path").alias("file_name"), "file_path",
         (F.col("n") + 1).cast("long").alias("line_number"), "line")

@@ -29,7 +29,7 @@ DOC_MOD = 23
 TOPIC = "file-changes"
 N_LOG_PARTITIONS = 4
 REDELIVERY_OFFSET = 1_000_000
-REDELIVERED_VALUE = "should-not-overwrite"
+REDELIVERED_VALUE = "sent again"
 TYPE_MAP = {"signup": "INSERT", "purchase": "UPDATE", "view": "UPDATE", "click": "DELETE"}
 OUT_OF_DOMAIN_TYPE = "BAD"
 MALFORMED_MOD = 37

@@ -105,3 +105,28 @@ def test_snapshot_advance_and_compaction(spark):
     c = sink.compact_snapshots(spark, path, out)
     got = sorted((r.file_name, r.version, r.line_number, r.line) for r in c.collect())
     assert got == [("a", 2, 1, "1"), ("a", 2, 2, "3"), ("a", 2, 3, "4"), ("b", 1, 1, "x")]
+
+
+def test_order_columns_are_required(spark, table):
+    with pytest.raises(ValueError):
+        sink.insert_if_absent(spark.createDataFrame(EV, SCHEMA), table, "r", 0)
+
+
+def test_first_wins_counts_a_record_offered_twice_once(spark):
+    rows = [("a", "v", 0, 1), ("a", "v", 0, 1), ("b", "w", 2, 0)]
+    df = spark.createDataFrame(rows, "event_id string, new_value string, partition int, offset long")
+    assert sorted(tuple(r)[:2] for r in sink.first_wins(df).collect()) == [("a", "v"), ("b", "w")]
+
+
+def test_delivery_runs_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def deliver(records):
+        def touch(rows):
+            calls.add(1)
+            return rows
+        return spark.createDataFrame(records.rdd.coalesce(1).mapPartitions(touch), records.schema).where("key != cast('b' as binary)")
+
+    rec = spark.createDataFrame([(b"a", b"1"), (b"b", b"2"), (b"c", None)], "key binary, value binary")
+    sent, failed = sink.redrive(rec, deliver)
+    assert sent.count() == 2 and [bytes(r.key) for r in failed.collect()] == [b"b"] and calls.value == 1

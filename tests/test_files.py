@@ -3,6 +3,9 @@
 import os
 import tempfile
 
+import pytest
+
+from linecdc.functions.text import base_name
 from linecdc.operators.diff import diff_lines
 from linecdc.sources.files import read_versions
 
@@ -17,8 +20,8 @@ def test_read_and_diff_two_saves(spark):
         f.write("order_id=1,status=SHIPPED\norder_id=2,status=NEW")
     with open(os.path.join(d2, "bad.txt"), "wb") as f:
         f.write(b"ok\n\xff\n")
-    old, rej1 = read_versions(spark, d1, extensions=[".txt"])
-    new, rej2 = read_versions(spark, d2, extensions=[".txt", ".csv"])
+    old, rej1 = read_versions(spark, d1, extensions=[".txt"], file_key=base_name)
+    new, rej2 = read_versions(spark, d2, extensions=[".txt", ".csv"], file_key=base_name)
     assert [r.line for r in old.orderBy("line_number").collect()] == [
         "order_id=1,status=PENDING", "order_id=2,status=NEW"]
     assert rej1.count() == 0 and [r.reason for r in rej2.collect()] == ["bad_utf8"]
@@ -47,9 +50,30 @@ def test_read_large_numbers_lines_across_splits(spark):
     try:
         got = {}
         for r in read_large(spark, d).collect():
-            got.setdefault(r.file_name, []).append((r.line_number, r.line))
+            got.setdefault(os.path.basename(r.file_path), []).append((r.line_number, r.line))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [x for _, x in sorted(got["big.txt"])] == lines
     assert [n for n, _ in sorted(got["big.txt"])] == list(range(1, 20001))
     assert [x for _, x in sorted(got["small.txt"])] == "a\r\nb\x0bc\n\nd".splitlines()
+
+
+def test_equal_base_names_are_different_files(spark, tmp_path):
+    from linecdc.operators.diff import diff_versions
+
+    for d, text in (("x", "one\ntwo\n"), ("y", "other\nlines\nhere\n")):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "part-0.txt").write_text(text)
+    lines, _ = read_versions(spark, f"{tmp_path}/*")
+    assert lines.select("file_name").distinct().count() == 2
+    assert diff_versions(lines.select("file_name", "version", "line_number", "line")).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_off_local_mode(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from linecdc import session
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda *a: None), master="yarn")
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
