@@ -229,6 +229,8 @@ def leaves(members: DataFrame, depth: int = DEPTH, leaf: int = LEAF) -> DataFram
             here = here.join(above, "up", "left_semi")
         # Sets that reach a node twice (by hash collision) count once.
         here = here.select("sid", "node").distinct()
+        if d > 1:  # few by now, and read twice
+            here = materialize(here, "path-nodes")
         size = materialize(here.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1), "path-sizes")
         ends = size.where(F.col("size") <= leaf) if d < depth else size
         found.append(here.join(ends, "node"))
