@@ -27,11 +27,6 @@ def join_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def content_hash(lines: Column) -> Column:
-    """Hash of the line ARRAY, so a newline-style change alone is no change."""
-    return F.sha2(F.to_json(F.coalesce(lines, F.array().cast("array<string>"))), 256)
-
-
 def line_hash(line: Column) -> Column:
     """64-bit hash used as a join key; equality is always re-checked on the text."""
     return F.xxhash64(line)

@@ -1,4 +1,4 @@
-"""Read-side queries on the change table and counts (A6, C10, C13, F1-F3,
+"""Read-side queries on the change table and counts (A6, C10, C13, F1,
 H1) and the batch form of debounce (K5)."""
 
 from __future__ import annotations
@@ -42,35 +42,6 @@ def change_summary(events: DataFrame, by: tuple[str, ...] = ("file_name", "event
     return events.groupBy(*by).agg(F.count("*").alias("n_changes"))
 
 
-def batch_audit(routed: DataFrame, batch: Column | str = "batch_id",
-                order: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
-    """per batch — offered, invalid, duplicate and inserted rows, as a
-    sequence of insert-if-absent batches would count them: a valid record is
-    inserted when it is the first valid record of its id by (batch, log position).
-
-    ``routed`` has ``event_id`` and ``reason`` (null when valid) and the log
-    position columns."""
-    b = F.col(batch) if isinstance(batch, str) else batch
-    r = routed.withColumn("_batch", b)
-    valid = r.where(F.col("reason").isNull())
-    first = valid.groupBy("event_id").agg(
-        F.min(F.struct("_batch", *[F.col(c) for c in order])).alias("_w")).select(
-        F.col("_w._batch").alias("_batch"))
-    ins = first.groupBy("_batch").agg(F.count("*").alias("inserted"))
-    tot = r.groupBy("_batch").agg(
-        F.count("*").alias("offered"),
-        F.sum(F.when(F.col("reason").isNotNull(), 1).otherwise(0)).alias("invalid"))
-    return (tot.join(ins, "_batch", "left")
-            .select(F.col("_batch").alias("batch_id"), "offered", "invalid",
-                    (F.col("offered") - F.col("invalid") - F.coalesce("inserted", F.lit(0))).alias("duplicate"),
-                    F.coalesce("inserted", F.lit(0)).alias("inserted")))
-
-
-# Rows of one file per ordering block: 2**26 microseconds is about 67 seconds,
-# so even a hot file's burst is cut into many small window partitions.
-DEBOUNCE_BLOCK_BITS = 26
-
-
 def debounce(notes: DataFrame, gap_seconds: int, key: str = "file_name") -> DataFrame:
     """K5, batch: a burst of notifications of one file becomes one, with the
     last version. A session breaks where ``ts - previous ts > gap``.

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linecdc.operators.codec import decode, publish_frame, split, to_table_rows, validate
-from linecdc.schema import EVENT_COLUMNS
+from linecdc.schema import EVENT_COLUMNS, change_table_ddl
 from linecdc.session import materialize
 
 
@@ -52,6 +52,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def define_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The change table at ``path`` under a name in the catalog, with its
+    declared columns; partitions written so far are found."""
+    spark.sql(change_table_ddl(name, path))
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The change table (all partitions)."""
     return spark.read.parquet(path)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecdc.functions.text import ISO_FORMAT, base_name, extension, splitlines
+from linecdc.functions.text import ISO_FORMAT, base_name, extension, join_lines, splitlines
 from linecdc.operators import codec, query, sink
 from linecdc.operators.detect import detect_changes
 from linecdc.operators.diff import apply_changes, compare_versions, diff_lines, diff_versions, pair_versions
@@ -57,6 +57,13 @@ def q_split_lines(spark, sf):
         "doc_id", (F.col("p") + 1).cast("int").alias("line_number"), "line")
 
 
+@register("join_lines", "select doc_id, md5(text) text_md5 from documents")
+def q_join_lines(spark, sf):
+    """The lines of a text, joined again (the fixture's texts end without a newline)."""
+    d = fx.table(spark, sf, "documents")
+    return d.select("doc_id", F.md5(join_lines(splitlines(F.col("text"))).cast("binary")).alias("text_md5"))
+
+
 def _o12(spark, sf):
     lines = fx.order_lines(spark, sf, (1, 2))
     old = lines.where(F.col("version") == 1).withColumn("version", F.lit(2).cast("long"))
@@ -249,13 +256,19 @@ def q_decode_lenient(spark, sf):
     return d.select("partition", "offset", *EVENT_COLUMNS, F.col(codec.CORRUPT).isNotNull().alias("corrupt"))
 
 
-@register("decode_strict", O.e_with() + """
+@register("decode_strict", O.e_with("""
+g as (select *, md5(concat_ws(chr(1), 'file-changes', "partition", "offset")) h from recs)""") + """
 select "partition", "offset",
        case when kind = 'ok' then 'ok' else 'rejected' end status,
        case kind when 'null' then 'null_value' when 'malformed' then 'malformed_json'
-                 when 'extra' then 'unknown_key' end reason from recs""")
+                 when 'extra' then 'unknown_key' end reason,
+       case when kind in ('ok', 'extra') then event_id
+            else concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) end event_id,
+       case when kind in ('ok', 'extra') then file_name end file_name,
+       case when kind in ('ok', 'extra') then new_value end new_value, event_timestamp from g""")
 def q_decode_strict(spark, sf):
-    return codec.decode_strict(fx.log_records(spark, sf)).select("partition", "offset", "status", "reason")
+    return codec.decode_strict(fx.log_records(spark, sf)).select(
+        "partition", "offset", "status", "reason", "event_id", "file_name", "new_value", "event_timestamp")
 
 
 @register("validate_route", O.e_with() + """
@@ -299,16 +312,33 @@ def q_insert_if_absent(spark, sf):
 
 
 def _change_table(spark, sf) -> DataFrame:
-    """The change table as the sink leaves it (one batch, fixed load time),
-    written as Parquet and read back, so lookups push their filters into the scan."""
+    """The change table as the sink leaves it (two batches a day apart), written as
+    Parquet and read back, so lookups push their filters into the scan."""
     rec = fx.log_records(spark, sf)
     path, dlq = scratch_path(spark, "table"), scratch_path(spark, "dlq")
-    sink.write_batch(rec, path, dlq, "run0", 0, F.to_timestamp(F.lit("2024-03-01 00:00:00")))
+    again = F.col("offset") >= fx.REDELIVERY_OFFSET
+    for b, (rows, day) in enumerate(((rec.where(~again), "2024-03-01"), (rec.where(again), "2024-03-02"))):
+        sink.write_batch(rows, path, dlq, "run0", b, F.to_timestamp(F.lit(day + " 00:00:00")))
     return sink.read_table(spark, path)
 
 
+@register("change_table_sql", O.e_with() + f"""
+select {TABLE_SQL_COLS}, case when "offset" >= 1000000 then '2024-03-02' else '2024-03-01' end loaded from firsts""")
+def q_change_table_sql(spark, sf):
+    """The sink's table by its declared name and columns."""
+    rec = fx.log_records(spark, sf)
+    path, dlq = scratch_path(spark, "table"), scratch_path(spark, "dlq")
+    again = F.col("offset") >= fx.REDELIVERY_OFFSET
+    for b, (rows, day) in enumerate(((rec.where(~again), "2024-03-01"), (rec.where(again), "2024-03-02"))):
+        sink.write_batch(rows, path, dlq, "run0", b, F.to_timestamp(F.lit(day + " 00:00:00")))
+    name = "change_table_" + path.rsplit("-", 1)[-1][:12]
+    t = sink.define_table(spark, name, path)
+    return t.select("event_id", "file_name", "old_value", "new_value", "event_type", "line_number",
+                    _fmt_ts("event_timestamp"), F.date_format("loaded_at", "yyyy-MM-dd").alias("loaded"))
+
+
 @register("recent_changes", O.e_with() + f"""
-select {TABLE_SQL_COLS} from firsts order by ts desc, event_id limit 20""")
+select {TABLE_SQL_COLS} from firsts order by "offset" >= 1000000 desc, ts desc, event_id limit 20""")
 def q_recent_changes(spark, sf):
     return _table_cols(query.recent_changes(_change_table(spark, sf), 20))
 
@@ -331,10 +361,12 @@ def q_lookup_operation(spark, sf):
 
 @register("rename_vocabulary", O.e_with() + f"""
 select event_id, file_name file_path, old_value, new_value, event_type operation, line_number,
-       strftime(ts, {O.ISO}) detected_at from firsts""")
+       strftime(ts, {O.ISO}) detected_at,
+       case when "offset" >= 1000000 then '2024-03-02' else '2024-03-01' end ingested_at from firsts""")
 def q_rename_vocabulary(spark, sf):
-    t = _table_cols(_change_table(spark, sf))
-    return query.rename_vocabulary(t)
+    t = _change_table(spark, sf).drop("run_id", "batch_id")
+    return query.rename_vocabulary(t.withColumn("event_timestamp", F.date_format("event_timestamp", ISO_FORMAT))
+                                   .withColumn("loaded_at", F.date_format("loaded_at", "yyyy-MM-dd")))
 
 
 BATCH_SQL = ('case when "offset" >= 1000000 then 100 + ("offset" - 1000000) // 1000 '
@@ -350,11 +382,17 @@ select rb.b batch_id, count(*) offered, sum(case when reason is not null then 1
        coalesce(any_value(win.n), 0) inserted
   from rb left join win on win.b = rb.b group by rb.b""")
 def q_batch_audit(spark, sf):
-    v = codec.validate(codec.decode(fx.log_records(spark, sf)))
+    """the counts that the sink itself returns, batch after batch."""
     off = F.col("offset")
     b = F.when(off >= fx.REDELIVERY_OFFSET, 100 + F.floor((off - fx.REDELIVERY_OFFSET) / 1000)).otherwise(
         F.floor(off / 1000)).cast("long")
-    return query.batch_audit(v, b)
+    rec = fx.log_records(spark, sf).withColumn("_batch", b)
+    table, dlq = scratch_path(spark, "table"), scratch_path(spark, "dlq")
+    rows = []
+    for (n,) in sorted(tuple(r) for r in rec.select("_batch").distinct().collect()):
+        c = sink.write_batch(rec.where(F.col("_batch") == n).drop("_batch"), table, dlq, "run0", n)
+        rows.append((n, c["offered"], c["invalid"], c["duplicate"], c["inserted"]))
+    return spark.createDataFrame(rows, "batch_id long, offered long, invalid long, duplicate long, inserted long")
 
 
 @register("dlq_redrive", O.e_with() + """

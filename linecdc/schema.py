@@ -35,28 +35,6 @@ EVENT_SCHEMA = T.StructType([
 # Columns that must be present for a record to be valid.
 REQUIRED_COLUMNS = ("event_id", "file_name", "event_type", "event_timestamp")
 
-# Raw log record, as the Kafka source delivers it.
-LOG_SCHEMA = T.StructType([
-    T.StructField("key", T.BinaryType(), True),
-    T.StructField("value", T.BinaryType(), True),
-    T.StructField("topic", T.StringType(), True),
-    T.StructField("partition", T.IntegerType(), True),
-    T.StructField("offset", T.LongType(), True),
-    T.StructField("timestamp", T.TimestampType(), True),
-])
-
-# Change table: event columns, event_timestamp as a timestamp, load time.
-TABLE_SCHEMA = T.StructType([
-    T.StructField("event_id", T.StringType(), False),
-    T.StructField("file_name", T.StringType(), False),
-    T.StructField("old_value", T.StringType(), True),
-    T.StructField("new_value", T.StringType(), True),
-    T.StructField("event_type", T.StringType(), False),
-    T.StructField("line_number", T.IntegerType(), True),
-    T.StructField("event_timestamp", T.TimestampType(), False),
-    T.StructField("loaded_at", T.TimestampType(), True),
-])
-
 # Second vocabulary used by one DDL variant (C10): old name -> new name.
 ALT_VOCABULARY = {
     "file_name": "file_path",
@@ -65,20 +43,6 @@ ALT_VOCABULARY = {
     "loaded_at": "ingested_at",
 }
 
-# Reasons for routing a record to the dead-letter table, in the order tested.
-DLQ_REASONS = (
-    "null_value",
-    "bad_utf8",
-    "malformed_json",
-    "missing_event_id",
-    "missing_file_name",
-    "missing_event_type",
-    "missing_event_timestamp",
-    "bad_event_type",
-    "bad_timestamp",
-)
-
-
 def change_table_ddl(name: str, location: str | None = None) -> str:
     """CREATE TABLE for the change table (Parquet). Key, NOT NULL and CHECK are
     not enforced by Parquet; the sink and the validity predicate enforce them."""

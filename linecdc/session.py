@@ -27,36 +27,13 @@ _LOCAL_DEFAULTS = {
 }
 
 
-# Settings for a large cluster (100 TB of lines): many shuffle partitions that
-# AQE coalesces to ~256 MB, skew-join splitting for hot line values / files,
-# 256 MB scan splits. Applied by ``tune_for_scale`` only where unset.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.session.timeZone": "UTC",
-}
-
-
-def tune_for_scale(spark: SparkSession) -> None:
-    """Apply ``CLUSTER_CONF`` to runtime SQL settings the job did not set."""
-    for k, v in CLUSTER_CONF.items():
-        if spark.conf.get(k, None) in (None, ""):
-            spark.conf.set(k, v)
-
-
 def get_spark(master: str = "local[8]", app: str = "linecdc", shuffle_partitions: int = 8,
               extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench. Cluster jobs build their own session."""
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(_LOCAL_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("LINECDC_DRIVER_MEMORY", "16g"))
+    conf.setdefault("spark.driver.memory", os.environ.get("LINECDC_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

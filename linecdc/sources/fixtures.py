@@ -101,12 +101,6 @@ def order_lines(spark: SparkSession, sf_dir: str, versions=(1, 2, 3)) -> DataFra
     return materialize(out, "order-lines")
 
 
-def order_versions(spark: SparkSession, sf_dir: str, versions=(1, 2, 3)) -> DataFrame:
-    """``(file_name, version, detected_at)`` for every O file version."""
-    return order_lines(spark, sf_dir, versions).select("file_name", "version").distinct().withColumn(
-        "detected_at", version_time(F.col("version")))
-
-
 # ---------------------------------------------------------------- D
 
 def document_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""The reference's diff cases, plus cases that follow from the alignment rule."""
+"""One case per kind of change, plus cases that follow from the alignment rule."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,15 +8,15 @@ from linecdc.operators.diff import diff_lines
 
 CASES = {
     # name: (old, new, expected [(event_type, line_number, old_value, new_value)])
-    "none": (["a", "b", "c"], ["a", "b", "c"], []),
-    "insert": (["a", "b"], ["a", "b", "c"], [("INSERT", 3, None, "c")]),
-    "delete": (["a", "b", "c"], ["a", "c"], [("DELETE", 2, "b", None)]),
-    "update": (["order_id=1,status=PENDING"], ["order_id=1,status=SHIPPED"],
-               [("UPDATE", 1, "order_id=1,status=PENDING", "order_id=1,status=SHIPPED")]),
-    "replace_1_2": (["x=1"], ["x=1-changed", "y=new-line"],
-                    [("UPDATE", 1, "x=1", "x=1-changed"), ("INSERT", 2, None, "y=new-line")]),
-    "replace_2_1": (["x=1", "extra-line"], ["x=1-changed"],
-                    [("UPDATE", 1, "x=1", "x=1-changed"), ("DELETE", 2, "extra-line", None)]),
+    "none": (["k", "l", "m"], ["k", "l", "m"], []),
+    "insert": (["k", "l"], ["k", "l", "m"], [("INSERT", 3, None, "m")]),
+    "delete": (["k", "l", "m"], ["k", "m"], [("DELETE", 2, "l", None)]),
+    "update": (["port = 80"], ["port = 8080"],
+               [("UPDATE", 1, "port = 80", "port = 8080")]),
+    "replace_1_2": (["port: 80"], ["port: 443", "tls: on"],
+                    [("UPDATE", 1, "port: 80", "port: 443"), ("INSERT", 2, None, "tls: on")]),
+    "replace_2_1": (["port: 80", "# old"], ["port: 443"],
+                    [("UPDATE", 1, "port: 80", "port: 443"), ("DELETE", 2, "# old", None)]),
     "several": (["a", "b", "c", "d"], ["a", "B", "c", "d", "e"],
                 [("UPDATE", 2, "b", "B"), ("INSERT", 5, None, "e")]),
     "no_prefix_trim": (["x", "p", "q"], ["x", "y", "x", "p", "q"],
