@@ -37,4 +37,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op2_merkle_fingerprint": merkle.OP2_SQL,
+    "op6_shard_tree": shard_tree.OP6_SQL,
 }

@@ -103,3 +103,41 @@ def place(docs: DataFrame, shards: int = 24, blocks: int = SLOT_BLOCKS) -> DataF
 def op6_query(documents: DataFrame, shards: int = 24) -> DataFrame:
     return place(documents.select("doc_id", "text"), shards).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _sql_tree(key: str, tree: Tree, name: str) -> list[str]:
+    """Steps of ``assign`` as SQL columns ``name_region``, ``name_rack``, ``name_shard``."""
+    weight = lambda c: sum(map(weight, c.values())) if isinstance(c, dict) else float(c)
+    at, nodes, out = None, {"": tree}, []
+    for level in ("region", "rack", "shard"):
+        cases = []
+        for node, children in nodes.items():
+            draws = ", ".join(
+                f"{{'d': -ln((cast('0x' || md5({key} || '|{node}/{c}')[1:13] as bigint) + 0.5) / 4503599627370496.0) / {weight(w)}, "
+                f"'i': {i}, 'v': '{node}/{c}'}}" for i, (c, w) in enumerate(children.items()))
+            cases.append((node, f"list_min([{draws}])['v']"))
+        expr = cases[0][1] if at is None else "case " + at + "".join(f" when '{n}' then {e}" for n, e in cases) + " end"
+        at = f"{name}_{level}"
+        out.append(f"{expr} as {at}")
+        nodes = {f"{n}/{c}": w for n, children in nodes.items() for c, w in children.items()}
+    return out
+
+
+def op6_sql(shards: int = 24, blocks: int = SLOT_BLOCKS) -> str:
+    key = "coalesce(cast(doc_id as varchar), '')"
+    steps = list(zip(_sql_tree("k", layout(shards), "s"), _sql_tree("k", layout(shards + 1), "g")))
+    chain = "".join(f", l{i} as (select *, {a}, {b} from l{i - 1})" for i, (a, b) in enumerate(steps, 1))
+    return f"""
+with tbl as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda a, b: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end)) t),
+b as (select doc_id, {key} k, hex(encode(coalesce(text, ''))) h from documents),
+l0 as (select doc_id, k, length(h) // 2 + 8 as size, xor(list_reduce(
+         list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+         lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) as text_crc32,
+         cast('0x' || md5('block|' || k)[1:8] as bigint) % {blocks} as blk from b, tbl){chain}
+select doc_id, cast(size as bigint) size, text_crc32, 'key' as law, cast(split_part(s_shard, '/', 4) as integer) shard,
+       cast(row_number() over (partition by s_shard order by blk, doc_id, text_crc32, size) - 1 as bigint) slot,
+       cast(split_part(g_shard, '/', 4) as integer) grown_shard from l3"""
+
+
+OP6_SQL = op6_sql()
