@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-import zipfile
 import uuid
+import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -77,14 +79,29 @@ def ship_package(spark: SparkSession) -> None:
     sc._linecdc_shipped = True
 
 
-def scratch_root(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/linecdc-scratch"
+_SCOPE: ContextVar[str] = ContextVar("linecdc_scratch_scope", default="")
+
+
+def scratch_root(spark: SparkSession, scope: str | None = None) -> str:
+    scope = _SCOPE.get() if scope is None else scope
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/linecdc-scratch{'/' * bool(scope)}{scope}"
+
+
+@contextmanager
+def scratch_scope(name: str):
+    """Scratch tables made inside go to a folder of their own, which
+    ``drop_scratch`` deletes when what they led to has been written."""
+    token = _SCOPE.set(name)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of the session's shared folder: at the end of a
-    job, when its result has been written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+def drop_scratch(spark: SparkSession, scope: str = "") -> None:
+    """Delete the scratch tables of a scope (default: all of the session's shared
+    folder), at the end of a job whose result has been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark, scope))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
