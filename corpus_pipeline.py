@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a table; ``run`` writes it as Parquet under the shared checkpoint folder
 and reads it again as the next stage's input, so a lost executor repeats at most
-one stage. All stages but the last return the columns of ``documents``.
+one stage. A stage's scratch tables are dropped when another stage starts, as its
+result has been written by then. All stages but the last return the columns of
+``documents``.
 
 1. ``language_id`` drops documents in which no language can be told (no letter, no
    text, or a posterior under ``MIN_SCORE``).
@@ -21,18 +23,35 @@ A null text leaves at stage 1; extra columns pass through to stage 4.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecdc.llm import byte_bpe, chosen_path, language_id, secret_scan, soft_mixing
 from linecdc.llm.common import table
-from linecdc.session import ensure_checkpoint_dir, scratch_path
+from linecdc.session import drop_scratch, ensure_checkpoint_dir, scratch_path, scratch_scope
 
 MIN_SCORE = 0.5
 POWER = 0.8
 BROADCAST_ROWS = 1_000_000  # ids or finding lists (under 100 bytes each) up to which they go to the texts
 
 
+def _stage(fn: Callable) -> Callable:
+    """Runs a stage with a scratch folder of its own and drops the previous stage's."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sc = spark.sparkContext
+        if old := getattr(sc, "_corpus_stage", None):
+            drop_scratch(spark, old)
+        sc._corpus_stage = f"stage-{uuid.uuid4().hex}"
+        with scratch_scope(sc._corpus_stage):
+            return fn(spark, docs, sf_dir)
+    return run_stage
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     while name.lower() in (c.lower() for c in docs.columns):
@@ -45,6 +64,7 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(language_id.train_split(docs))
     said = _free(docs, "said")
@@ -52,6 +72,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.where((F.col(said)["lang_pred"] != "und") & (F.col(said)["score"] >= MIN_SCORE)).select(docs.columns)
 
 
+@_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = chosen_path.join_sets(docs.select("doc_id", "text"))
     path = scratch_path(spark, "kept-ids")
@@ -64,6 +85,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.select(docs.columns)
 
 
+@_stage
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ledger = secret_scan.Ledger(spark, scratch_path(spark, "secret-ledger"))
     ledger.scan(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
@@ -78,6 +100,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return out.select(docs.columns)
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = soft_mixing.lang_quality(docs, table(spark, sf_dir, "labels"))
     m = soft_mixing.mix(docs.select("doc_id", "text"), labelled, power=POWER, floor=1.0)
@@ -89,6 +112,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.join(rates, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)
 
 
+@_stage
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.op10_query(docs)
 
@@ -108,9 +132,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     ensure_checkpoint_dir(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, root = table(spark, sf_dir, "documents"), scratch_path(spark, "corpus-pipeline")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = f"{root}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
