@@ -9,7 +9,9 @@ makes just that rule run again, on each distinct blob once.
 
 Nulls and edge cases: a null text is the empty text; empty texts and texts
 without a finding have no finding rows (and an empty span list after the join);
-rows that repeat a path, version and text give one finding each, not two; other
+rows that repeat a path, version and text give one finding each, not two; a null
+path or version is a holder like any other (OP1_SQL, which joins on the plain id,
+shows no findings in rows without one); other
 columns of the input, whatever their names, are not looked at; an empty input
 gives empty tables. Positions are code points, end exclusive.
 
@@ -137,7 +139,9 @@ class Ledger:
         version, blob) joined with nothing yet: give it to ``by_path``."""
         keyed = blobs_of(versions)
         todo = unseen(keyed, self.scanned(), rules)
-        texts = keyed.join(todo, ["blob", "path", "version"])
+        k, t = keyed.alias("k"), todo.alias("t")
+        holder = F.col("k.path").eqNullSafe(F.col("t.path")) & F.col("k.version").eqNullSafe(F.col("t.version"))
+        texts = k.join(t, (F.col("k.blob") == F.col("t.blob")) & holder).select("k.blob", "t.kinds", "k.text")
         find(texts, rules).write.mode("append").parquet(f"{self.root}/findings")
         done = todo.select("blob", F.explode("kinds").alias("kind")).join(
             F.broadcast(self.spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, rule_version int")),

@@ -48,6 +48,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert S.op1_query(docs.limit(0)).collect() == []
 
 
+def test_null_ids(spark):
+    rows = [(None, TEXTS[3]), (5, TEXTS[3]), (None, TEXTS[6]), (None, TEXTS[6]), (None, None), (7, TEXTS[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.op1_query(docs).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["base_sha256"]) for r in got), key=key) == sorted(
+        ((i, hashlib.sha256(brute(t).encode()).hexdigest()) for i, t in rows), key=key)
+    assert sum(r["n_hex"] for r in got) == 6
+    paths = docs.select(F.col("doc_id").alias("path"), F.lit(None).cast("int").alias("version"), "text")
+    assert sorted(len(r["found"]) for r in S.scan_documents(paths).collect()) == [0, 0, 2, 2, 3, 3]
+
+
 def test_ledger_scans_only_unseen_pairs(spark):
     ledger = S.Ledger(spark, scratch_path(spark, "ledger"))
     v0 = spark.createDataFrame([("a", 0, TEXTS[3]), ("b", 0, "nothing")], "path string, version int, text string")
