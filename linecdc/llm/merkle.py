@@ -4,10 +4,16 @@ A text is cut at blank lines into sections, a section at line ends into
 paragraphs. A paragraph's hash is the sha256 of its text, a section's of its
 paragraphs' hashes, the root's of its sections' hashes (each level with a prefix
 of its own). The cuts lose nothing, so roots are equal exactly when texts are.
-Where roots differ, ``differing`` walks down: sections with unequal hashes, then
-the unequal paragraphs in them, locate the edit. Below the paragraphs lie runs
-of up to six words (cut earlier after punctuation) as 64-bit hashes; the
-likeness of two trees is the share of their distinct runs that both have.
+Where roots differ, ``differing`` walks down: branches are aligned by hash, so
+one that was put in shifts no other; sections with unequal hashes, then the
+unequal paragraphs in them, locate the edit. Below each paragraph lie its
+``leaf_runs``: runs of up to six words (cut earlier after punctuation), and windows
+of six code points where there are no spaces, as 64-bit hashes; ``alike`` is the
+share of their distinct runs that two trees both have.
+
+``near_edited`` and ``near_next`` of op2_query are as OP2_SQL states them, from
+``runs``: word runs of the whole text with line ends as spaces, beside the tree. They
+are low for near copies without end punctuation or spaces; ``alike`` is not.
 
 Nulls and edge cases: a null text is the empty text, whose tree is one section
 with one empty paragraph; two trees without words are alike 1.0 if their roots
@@ -24,6 +30,8 @@ from linecdc.llm.common import shuffle_parts, text_or_empty
 
 # Up to five words that don't end in punctuation, then one more; or left-over spaces.
 RUN = r" *(?:[^ ]*[^ .!?,;:] +){0,5}[^ ]+| +"
+# A stretch without spaces that is taken in windows of code points, not as a word.
+LONG, WINDOW = r"[^ ]{25,}", r"(?s)(?=(.{6}))"
 
 
 def paragraph_hashes(text: Column) -> Column:
@@ -49,6 +57,17 @@ def runs(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.trim(w))))
 
 
+def leaf_runs(text: Column) -> Column:
+    """Distinct 64-bit hashes of the runs inside each paragraph."""
+    lines = F.split(text, "\n", -1)
+    words = F.flatten(F.transform(lines, lambda p: F.regexp_extract_all(
+        F.regexp_replace(p, LONG, " "), F.lit(RUN), F.lit(0))))
+    stretches = F.flatten(F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(LONG), F.lit(0))))
+    windows = F.flatten(F.transform(stretches, lambda x: F.regexp_extract_all(x, F.lit(WINDOW), F.lit(1))))
+    whole = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
+    return F.array_distinct(F.transform(F.concat(whole, windows), lambda w: F.xxhash64(w)))
+
+
 def likeness(a_runs: Column, b_runs: Column, a_root: Column, b_root: Column) -> Column:
     both = F.size(F.array_intersect(a_runs, b_runs)).cast("double")
     either = F.size(a_runs) + F.size(b_runs) - both
@@ -56,27 +75,76 @@ def likeness(a_runs: Column, b_runs: Column, a_root: Column, b_root: Column) ->
 
 
 def tree(docs: DataFrame) -> DataFrame:
-    """(doc_id, root, sections, paragraphs) of every document."""
-    t = docs.select("doc_id", paragraph_hashes(text_or_empty()).alias("paragraphs"))
+    """(doc_id, root, sections, paragraphs, leaves) of every document."""
+    t = docs.select("doc_id", paragraph_hashes(text_or_empty()).alias("paragraphs"), leaf_runs(text_or_empty()).alias("leaves"))
     t = t.withColumn("sections", section_hashes(F.col("paragraphs")))
-    return t.select("doc_id", root_hash(F.col("sections")).alias("root"), "sections", "paragraphs")
+    return t.select("doc_id", root_hash(F.col("sections")).alias("root"), "sections", "paragraphs", "leaves")
+
+
+def alike(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, likeness) of the trees of equal doc_ids, by their leaves."""
+    a, b = old.alias("a"), new.alias("b")
+    return a.join(b, F.col("a.doc_id") == F.col("b.doc_id")).select("a.doc_id", likeness(
+        F.col("a.leaves"), F.col("b.leaves"), F.col("a.root"), F.col("b.root")).alias("likeness"))
+
+
+def _align(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side, at, h, gap, ...), side 0 old and 1 new, at a struct of section and
+    paragraph, with: ``kept`` if both sides have the branch (the n-th of a hash is the
+    n-th of that hash on the other side), the kept one ``after`` which it comes, and
+    whether a section starts in between."""
+    n = nodes.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "side", "h").orderBy("at")))
+    n = n.withColumn("kept", F.count("*").over(Window.partitionBy(*keys, "h", "nth")) == 2)
+    before = Window.partitionBy(*keys, "side").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kept"), F.struct("h", "nth", "at.section")), True).over(before)
+    return (n.withColumn("last", last).withColumn("after", F.struct("last.h", F.col("last.nth").alias("nth")))
+            .withColumn("starts", F.col("last.section") != F.col("at.section")))
+
+
+def _changes(aligned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, section, paragraph, change) of aligned branches; what is not kept is paired
+    in order behind the same kept branch."""
+    c = F.col
+    place = [*keys, "gap", "kept", "after"]
+    n = aligned.withColumn("left", F.row_number().over(Window.partitionBy(*place, "side").orderBy("at")))
+    slot = F.when(c("kept"), F.struct("h", "nth")).otherwise(F.struct("after.h", "after.nth")).alias("slot")
+    side = lambda s, name: F.max(F.when(c("side") == s, F.struct("at", "after", "starts"))).alias(name)
+    open_only = lambda x: F.when(~c("kept"), x)
+    both = n.groupBy(*keys, "kept", slot, open_only(c("gap")).alias("gap"), open_only(c("left")).alias("left")).agg(
+        side(0, "a"), side(1, "b"))
+    same = c("a.after").eqNullSafe(c("b.after")) & c("a.starts").eqNullSafe(c("b.starts"))
+    change = (F.when(c("kept"), F.when(~same, "moved")).when(c("a").isNull(), "added").when(c("b").isNull(), "removed")
+              .otherwise("changed"))
+    at = F.coalesce("a.at", "b.at")
+    return (both.withColumn("change", change).where(c("change").isNotNull())
+            .select(*keys, at["section"].alias("section"), at["paragraph"].alias("paragraph"), "change"))
 
 
 def differing(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, section, paragraph, change) where the trees of equal doc_ids
-    differ, from 0; only sections with unequal hashes are opened."""
+    """(doc_id, section, paragraph, change) where the trees of equal doc_ids differ, once
+    for each pair of roots; only sections with unequal hashes are opened, and their
+    paragraphs are aligned by hash across them. Places count from 0, in the new text
+    for what was added and in the old one otherwise. ``moved``: an equal branch comes
+    after another equal branch than before, or a section bound between the two came
+    or went (paragraph null: a whole section)."""
     o = old.select("doc_id", F.col("root").alias("r0"), F.col("sections").alias("s0"), F.col("paragraphs").alias("p0"))
     n = new.select("doc_id", F.col("root").alias("r1"), F.col("sections").alias("s1"), F.col("paragraphs").alias("p1"))
-    both = o.join(n, "doc_id").where(F.col("r0") != F.col("r1"))
-    sec = (both.select("doc_id", F.posexplode(F.arrays_zip("s0", "s1", "p0", "p1")).alias("section", "x"))
-           .where(~F.col("x.s0").eqNullSafe(F.col("x.s1"))))
-    none = F.array().cast("array<string>")
-    par = sec.select("doc_id", "section", F.posexplode(F.arrays_zip(
-        F.coalesce("x.p0", none).alias("a"), F.coalesce("x.p1", none).alias("b"))).alias("paragraph", "y"))
-    return (par.where(~F.col("y.a").eqNullSafe(F.col("y.b")))
-            .select("doc_id", "section", "paragraph",
-                    F.when(F.col("y.a").isNull(), "added").when(F.col("y.b").isNull(), "removed")
-                    .otherwise("changed").alias("change")))
+    both = o.join(n, "doc_id").where(F.col("r0") != F.col("r1")).dropDuplicates(["doc_id", "r0", "r1"])
+    doc, none = ["doc_id", "r0", "r1"], F.lit(None)
+
+    def side(i: int) -> DataFrame:
+        z = F.posexplode(F.arrays_zip(F.col(f"s{i}").alias("h"), F.col(f"p{i}").alias("p"))).alias("section", "z")
+        gap = none.cast("struct<h:string,nth:int>").alias("gap")
+        # Sections are branches of one level: no bound lies between them.
+        at = F.struct("section", none.cast("int").alias("paragraph")).alias("at")
+        return both.select(*doc, F.lit(i).alias("side"), z).select(*doc, "side", at, "z.h", "z.p", gap)
+
+    sections = _align(side(0).unionByName(side(1)), doc).withColumn("starts", F.lit(False))
+    paragraphs = (sections.where(~F.col("kept"))
+                  .select(*doc, "side", "at.section", F.col("after").alias("gap"), F.posexplode("p").alias("paragraph", "h"))
+                  .select(*doc, "side", F.struct("section", "paragraph").alias("at"), "h", "gap"))
+    return (_changes(_align(paragraphs, doc), doc).unionByName(_changes(sections.where("kept"), doc))
+            .select("doc_id", "section", "paragraph", "change"))
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:

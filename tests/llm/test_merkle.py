@@ -49,3 +49,27 @@ def test_differing_branches_locate_edits(spark):
     new = spark.createDataFrame([(1, "a\nB\n\nc"), (2, "same\ntext")], "doc_id long, text string")
     got = {tuple(r) for r in M.differing(M.tree(old), M.tree(new)).collect()}
     assert got == {(1, 0, 1, "changed"), (1, 1, 1, "removed")}
+
+
+def test_differing_aligns_by_hash(spark):
+    pairs = [("a\nb\nc\n\nd\ne", "x\n\na\nnew\nb\nC\n\nd\ne"), ("a\n\nb\n\nc", "c\n\na\n\nb"), ("a\na\nb", "a\nb"),
+             ("p\nq\nr\n\ns", "p\nnew\nq\nr\n\nt\n\ns"), ("a\nb", "a\n\nb"), ("u\n\nk", "k\n\nv")]
+    old, new = (spark.createDataFrame([(i, p[side]) for i, p in enumerate(pairs)], "doc_id long, text string") for side in (0, 1))
+    got = {tuple(r) for r in M.differing(M.tree(old), M.tree(new)).collect()}
+    of = lambda i: {g[1:] for g in got if g[0] == i}
+    assert of(0) == {(0, 0, "added"), (1, 1, "added"), (0, 2, "changed")}
+    assert of(1) == {(0, None, "moved"), (2, None, "moved")}
+    assert of(2) == {(0, 1, "removed")}
+    assert of(3) == {(0, 1, "added"), (1, 0, "added")}
+    assert of(4) == {(0, 1, "moved")}
+    assert of(5) == {(0, 0, "removed"), (1, 0, "added")}
+
+
+def test_near_copies_of_lists_and_spaceless_texts(spark):
+    lines = "\n".join(f"item {i} of the list" for i in range(500))
+    spaceless = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(4000))
+    old = spark.createDataFrame([(1, lines), (2, spaceless), (3, "a b"), (4, "")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "word\n" + lines), (2, spaceless[:3000] + "".join(chr(0xAC00 + i) for i in range(1000))),
+                                 (3, "c d"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["likeness"] for r in M.alike(M.tree(old), M.tree(new)).collect()}
+    assert got[1] == 500 / 501 and 0.55 < got[2] < 0.65 and (got[3], got[4]) == (0.0, 1.0)
