@@ -147,17 +147,18 @@ def sketch_of(tokens: np.ndarray, k: int = SKETCH) -> np.ndarray:
     return (mix(least) >> _U(48)).astype(np.uint16)
 
 
-def share(threshold: float, depth: int) -> float:
-    """Chance that one run brings two sets at the threshold together at ``depth``:
-    survival of a branching process with 2 / (1 + threshold) children on average."""
-    gone, mean = 0.0, 2 / (1 + threshold)
+def share(depth: int) -> float:
+    """Least chance that one run brings two sets at the threshold together at ``depth``:
+    survival of a branching process with one child on average, as where one set holds
+    the other (sets of equal size share 2 / (1 + threshold) picks)."""
+    gone = 0.0
     for _ in range(depth):
-        gone = math.exp(-mean * (1 - gone))
+        gone = math.exp(gone - 1)
     return 1 - gone
 
 
-def runs_for(target: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
-    return math.ceil(math.log(1 - target) / math.log(1 - share(threshold, depth)))
+def runs_for(target: float, depth: int = DEPTH) -> int:
+    return math.ceil(math.log(1 - target) / math.log(1 - share(depth)))
 
 
 def _picks(tokens: np.ndarray, nodes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +413,7 @@ def join_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, tar
               depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, class_id, n_links) of (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(runs_for(target, threshold, depth), threshold, n, depth), SIGNED), "path-sets")
+    signed = materialize(rows.mapInArrow(_sign(runs_for(target, depth), threshold, n, depth), SIGNED), "path-sets")
     members = materialize(
         signed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
                                   F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "path-members")

@@ -95,6 +95,18 @@ def test_recall_of_the_paths():
     assert met >= 297
 
 
+def test_recall_of_contained_sets():
+    """As above where one set holds the other, against the target."""
+    rng = np.random.default_rng(2)
+    n, missed, runs = 6000, 0, C.runs_for(C.TARGET)
+    for _ in range(n):
+        x = C.mix(rng.integers(0, 2**63, 200).astype(np.uint64))
+        a, b = C.paths_of(x, runs, 0.8)[-1][1], C.paths_of(x[:160], runs, 0.8)[-1][1]
+        missed += len(np.intersect1d(a, b)) == 0
+    allowed = n * (1 - C.TARGET)
+    assert missed <= allowed + 2 * allowed**0.5
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
