@@ -10,8 +10,8 @@ result has been written by then. All stages but the last return the columns of
 1. ``language_id`` drops documents in which no language can be told (no letter, no
    text, or a posterior under ``MIN_SCORE``).
 2. ``near_duplicates`` keeps of each class of near copies (Jaccard of word 5-grams
-   of 0.8 or more) the document with the least doc_id. Rows that repeat a
-   document count once.
+   of 0.8 or more) one row: the document with the least doc_id (null last), of
+   several texts under that id one. Rows that repeat a document count once.
 3. ``secrets`` masks the secrets that the blob ledger finds; no document goes.
 4. ``mixing`` repeats documents so that the domains' expected words reach shares to
    the power ``POWER``: every document stays at least once, those of rare domains
@@ -74,14 +74,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = chosen_path.join_sets(docs.select("doc_id", "text"))
-    path = scratch_path(spark, "kept-ids")
-    classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(one := _free(docs, "kept"))).write.parquet(path)
+    one, key = _free(docs, "kept"), _free(docs, "text_key")
+    path = scratch_path(spark, "kept-rows")
+    chosen_path.heads(docs.select("doc_id", "text")).select(
+        F.col("doc_id").alias(one), F.col("h").alias(key), F.col("copies").alias("n")).write.parquet(path)
     kept = spark.read.parquet(path)
-    ids = kept.distinct()
-    out = docs.join(_small(ids), docs["doc_id"].cast("long").eqNullSafe(ids[one]), "left_semi")
-    if kept.count() != ids.count():  # rows that repeat a document
-        out = out.dropDuplicates(["doc_id", "text"])
+    rows = kept.drop("n")
+    text_key = chosen_path.text_key(docs["text"])
+    out = docs.join(_small(rows), docs["doc_id"].cast("long").eqNullSafe(rows[one]) & (text_key == rows[key]), "left_semi")
+    if not kept.where("n > 1").isEmpty():  # rows that repeat a document
+        out = out.withColumn(key, chosen_path.text_key(F.col("text"))).dropDuplicates(["doc_id", key])
     return out.select(docs.columns)
 
 

@@ -42,7 +42,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linecdc.llm.components import components
@@ -190,7 +190,7 @@ def paths_of(tokens: np.ndarray, runs: int, threshold: float, depth: int = DEPTH
     return out
 
 
-SIGNED = ("doc_id long, sid binary, n int, sketch binary, "
+SIGNED = ("doc_id long, h long, sid binary, n int, sketch binary, "
           "paths array<struct<depth:int,up:bigint,node:bigint>>")
 
 
@@ -214,9 +214,9 @@ def _sign(runs: int, threshold: float, n: int, depth: int) -> Callable:
                 col = lambda i: np.concatenate([x[i] for x in flat]).view(np.int64) if flat else np.empty(0, np.int64)  # noqa: E731,B023
                 values = pa.StructArray.from_arrays([pa.array(depths), pa.array(col(1)), pa.array(col(2))], fields=list(path_type))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()),
+                    [batch.column(0), batch.column(2), pa.array(sids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(length, pa.int32()), values)],
-                    names=["doc_id", "sid", "n", "sketch", "paths"])
+                    names=["doc_id", "h", "sid", "n", "sketch", "paths"])
     return run
 
 
@@ -409,11 +409,28 @@ def _blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
             .drop("other"))
 
 
-def join_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, target: float = TARGET,
-              depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def join_sets(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, class_id, n_links) of (doc_id, text)."""
+    return join_rows(docs, **limits).select("doc_id", "class_id", "n_links")
+
+
+def heads(docs: DataFrame, **limits) -> DataFrame:
+    """(doc_id, h, copies): one text of each class, by its least doc_id (null last) and
+    then its least text_key h, and the number of rows that have both."""
+    alike = join_rows(docs, **limits).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    return alike.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "h", "copies")).alias("x")).select("x.doc_id", "x.h", "x.copies")
+
+
+def join_rows(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, target: float = TARGET,
+              depth: int = DEPTH, leaf: int = LEAF, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, h, root, class_id, n_links) of (doc_id, text): h is text_key, root names the class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(runs_for(target, depth), threshold, n, depth), SIGNED), "path-sets")
+    signed = materialize(rows.withColumn("h", text_key(F.col("text"))).mapInArrow(_sign(runs_for(target, depth), threshold, n, depth), SIGNED), "path-sets")
     members = materialize(
         signed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
                                   F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "path-members")
@@ -447,8 +464,8 @@ def join_sets(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, tar
                .select("sid", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                        F.coalesce("root", "sid").alias("root")))
     least = classes.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return (signed.select("doc_id", "sid").join(classes.join(least, "root").select("sid", "class_id", "n_links"), "sid")
-            .select("doc_id", "class_id", "n_links"))
+    return (signed.select("doc_id", "h", "sid").join(classes.join(least, "root").select("sid", "root", "class_id", "n_links"), "sid")
+            .select("doc_id", "h", "root", "class_id", "n_links"))
 
 
 def _tokens(n: int) -> Callable:

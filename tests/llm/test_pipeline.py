@@ -51,6 +51,21 @@ def test_nulls_repeats_and_empty(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_near_copies_under_one_id_and_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(words))
+    other = " ".join(f"o{i}" for i in range(100))
+    rows = [(5, near()), (5, near(0)), (5, other), (9, other + " end"), (5, other), (3, "three " + near()),
+            (None, "alone " + other[::-1]), (None, other[::-1]), (None, other[::-1]), (None, "own text"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long")
+    got = P.near_duplicate_stage(spark, docs, SF).collect()
+    assert [r["text"] for r in got if r["doc_id"] == 3] == ["three " + near()]
+    assert [r["text"] for r in got if r["doc_id"] == 5] == [other]
+    nulls = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(nulls) == 2 and "own text" in nulls
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 3, 5, 7]
+
+
 def test_registered():
     names = list(E.queries())
     for n in range(1, 11):
