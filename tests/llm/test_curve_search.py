@@ -36,6 +36,19 @@ def test_recall_against_brute_force(spark):
     assert [v for _, v in sorted(hundred)] == [7, *range(101, 110)]  # ties go to the smaller id
 
 
+def test_recall_of_a_sampled_fit(spark, monkeypatch):
+    monkeypatch.setattr(C, "SAMPLE", 600)  # a tenth of the table
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = C.op8_query(frame(spark, np.arange(6000), x)).collect()
+    hit = 0
+    for q in range(0, 6000, 100):
+        got = {r["vec_id"] for r in rows if r["query_id"] == q}
+        hit += len(got & {w[0] for w in brute(np.arange(6000), x.astype(float), q, 10)})
+    assert hit / 600 >= 0.9
+
+
 def test_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0]), (300, None), (400, [float("nan"), 1.0]),
             (500, [1.0, None]), (600, [1.0, 2.0, 3.0]), (700, []), (5, [0.0, 2.0]), (None, [1.0, 1.0]), (800, [float("inf"), 0.0])]
