@@ -15,7 +15,8 @@ decoded, white space in a block becomes one space, blocks are trimmed and joined
 by one line end in page order.
 
 Nulls and edge cases: a null or empty html, or one without text, gives the empty
-text; a null url is the host ``""``, whose pages vote together; broken markup
+text; a url that is null or not absolute has no host, so its
+page is read by its own best container; broken markup
 (unclosed tags or comments, stray end tags, text without tags) is read as a
 browser would, roughly; repeated rows give repeated rows; extra columns are not
 looked at. A page is one row, so one page's memory is the bound.
@@ -265,9 +266,9 @@ def host_of(url) -> F.Column:
 
 
 def host_paths(pages: DataFrame, paths: int = PATHS) -> DataFrame:
-    """(host, ranked): each host's paths by votes, ties by path."""
+    """(host, ranked): each host's paths by votes, ties by path; pages without a host have no vote."""
     votes = (pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-             .mapInPandas(_votes, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes")))
+             .where("host <> ''").mapInPandas(_votes, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes")))
     order = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
     top = votes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths)
     return top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("r")).select(

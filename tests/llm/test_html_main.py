@@ -44,3 +44,12 @@ def test_edge_cases(spark):
     assert got == sorted([(1, "", 0), (2, "", 0), (3, "plain text, no tags", 19), (4, "unclosed bold", 13), (4, "unclosed bold", 13), (5, "", 0),
                           (6, "a < b & c &unknown; <", 21), (7, "", 0), (8, ("w " * 20), 399_999), (0, "", 0)])
     assert H.op4_query(pages.limit(0)).collect() == []
+
+
+def test_pages_without_a_host_do_not_vote_together(spark):
+    story = "This is the story of the page. " * 20
+    usual = f"<body><div><p>{story}</p></div></body>"
+    odd = f"<body><div>Menu</div><section><p>{story}</p></section></body>"
+    rows = [(i, None, usual) for i in range(6)] + [(6, "page.html", odd), (7, None, odd)]
+    got = {r["page_id"]: r["text"] for r in H.op4_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(story.strip() in got[i] for i in range(8)) and "Menu" not in got[6] + got[7]
