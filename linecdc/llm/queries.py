@@ -17,6 +17,7 @@ from linecdc.llm import (
     shard_tree,
     soft_mixing,
     toxicity,
+    vector_codes,
 )
 from linecdc.llm.common import table
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curve_search": lambda s, d: curve_search.op8_query(table(s, d, "embeddings")),
     "op9_language_id": lambda s, d: language_id.op9_query(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.op10_query(table(s, d, "documents")),
+    "op12_vector_codes": lambda s, d: vector_codes.op12_query(table(s, d, "embeddings")),
 }
 
 # The others are no SQL: they are tested against brute force in tests/llm.
@@ -38,4 +40,5 @@ ORACLE: dict[str, str] = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op2_merkle_fingerprint": merkle.OP2_SQL,
     "op6_shard_tree": shard_tree.OP6_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
