@@ -10,6 +10,7 @@ from linecdc.llm import (
     byte_bpe,
     chosen_path,
     curve_search,
+    fit_packing,
     html_main,
     language_id,
     merkle,
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": lambda s, d: language_id.op9_query(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.op10_query(table(s, d, "documents")),
     "op12_vector_codes": lambda s, d: vector_codes.op12_query(table(s, d, "embeddings")),
+    "op13_fit_packing": lambda s, d: fit_packing.op13_query(table(s, d, "documents")),
 }
 
 # The others are no SQL: they are tested against brute force in tests/llm.
