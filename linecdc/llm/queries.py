@@ -17,6 +17,7 @@ from linecdc.llm import (
     secret_scan,
     shard_tree,
     soft_mixing,
+    spelling,
     toxicity,
     vector_codes,
 )
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curve_search": lambda s, d: curve_search.op8_query(table(s, d, "embeddings")),
     "op9_language_id": lambda s, d: language_id.op9_query(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: byte_bpe.op10_query(table(s, d, "documents")),
+    "op11_spelling_groups": lambda s, d: spelling.op11_query(table(s, d, "documents")),
     "op12_vector_codes": lambda s, d: vector_codes.op12_query(table(s, d, "embeddings")),
     "op13_fit_packing": lambda s, d: fit_packing.op13_query(table(s, d, "documents")),
 }
@@ -42,5 +44,6 @@ ORACLE: dict[str, str] = {
     "op1_secret_scan": secret_scan.OP1_SQL,
     "op2_merkle_fingerprint": merkle.OP2_SQL,
     "op6_shard_tree": shard_tree.OP6_SQL,
+    "op11_spelling_groups": spelling.OP11_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
 }
