@@ -1,9 +1,8 @@
-"""Text files as ordered line rows.
-
-A landing folder holds immutable file versions; each file read is one version
-whose number is its modification time (microseconds, monotone per path).
-Spark's file source does not re-read a modified path, so in streaming use a
-new path per saved version.
+"""Text files that fit a row, as ordered line rows, through Spark's binary file
+source (A1, C9, J1, J11): for stores that only Spark's readers open. A landing folder
+holds immutable file versions; each file read is one version whose number is its
+modification time (microseconds). ``sources.versions`` reads files of any size, and
+new versions of a path as a stream.
 """
 
 from __future__ import annotations
@@ -48,32 +47,3 @@ def read_versions(spark: SparkSession, path: str, extensions: Sequence[str] | No
         "file_name", "file_path", "version", "detected_at",
         (F.col("p") + 1).cast("int").alias("line_number"), "line")
     return lines, rejected
-
-
-# Fixed value: the terminators of str.splitlines beyond the \n, \r, \r\n that
-# the Hadoop line reader already splits on.
-EXTRA_TERMINATORS = "[\\u000B\\u000C\\u001C\\u001D\\u001E\\u0085\\u2028\\u2029]"
-
-
-def read_large(spark: SparkSession, path: str) -> DataFrame:
-    """A1 for files of any size: ``lines(file_name, file_path, line_number, line)``.
-
-    Lines come from ``spark.read.text`` (split-parallel: each file block is a
-    task), the other ``splitlines`` terminators split them further, and line
-    numbers are block offsets plus the position inside the block — a running
-    count over ``(file, block_start)`` windows, each bounded by the split size.
-    One difference from ``str.splitlines``: a file whose very last character is
-    one of the extra terminators (not a newline) yields one trailing empty line.
-    """
-    from linecdc.operators.ordering import prefix_sum
-
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("rid"),
-        F.posexplode(F.split("value", EXTRA_TERMINATORS, -1)).alias("sub", "line"))
-    numbered = prefix_sum(raw, ["file_path"], "block_start", F.lit(1), "n", order=("rid", "sub"),
-                          block_bits=0)
-    return numbered.select(
-        F.col("file_path").alias("file_name"), "file_path",
-        (F.col("n") + 1).cast("long").alias("line_number"), "line")

@@ -36,28 +36,6 @@ def F_lit2():
     return F.lit(2).cast("long")
 
 
-def test_read_large_numbers_lines_across_splits(spark):
-    from linecdc.sources.files import read_large
-
-    d = tempfile.mkdtemp(prefix="linecdc-big-")
-    lines = [f"line {i} " + "x" * (i % 50) for i in range(20000)]
-    with open(os.path.join(d, "big.txt"), "w") as f:
-        f.write("\n".join(lines) + "\n")
-    with open(os.path.join(d, "small.txt"), "w", newline="") as f:
-        f.write("a\r\nb\x0bc\n\nd")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 * 1024))  # many splits
-    try:
-        got = {}
-        for r in read_large(spark, d).collect():
-            got.setdefault(os.path.basename(r.file_path), []).append((r.line_number, r.line))
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert [x for _, x in sorted(got["big.txt"])] == lines
-    assert [n for n, _ in sorted(got["big.txt"])] == list(range(1, 20001))
-    assert [x for _, x in sorted(got["small.txt"])] == "a\r\nb\x0bc\n\nd".splitlines()
-
-
 def test_equal_base_names_are_different_files(spark, tmp_path):
     from linecdc.operators.diff import diff_versions
 
