@@ -49,7 +49,7 @@ from linecdc.session import scratch_path
 
 CAPACITY, END_ID = 2048, 0
 GROUP, SLACK = 16_384, 16
-KNOWN, KEPT_CHARS = 250_000, 128  # words, and runs, that a worker keeps (twice as many at most), and their length
+KNOWN, KEPT_CHARS = 500_000, 128  # words and runs that a worker keeps (at most twice as many), and their length
 SLICE = 1_000_000  # characters from which a text is encoded in slices of words
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, gap int"
 
@@ -92,11 +92,16 @@ class Words:
         one.normalizer = normalizers.Sequence([])
         one.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         find = regex.compile(json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.words = _Kept(lambda w: array("I", one.encode(w, add_special_tokens=False).ids).tobytes())
-        self.runs = _Kept(lambda r: b"".join(map(self.words.__getitem__, find(r))))
+
+        def make(run: str) -> bytes:
+            if run.isalpha() or len(parts := find(run)) == 1:
+                return array("I", one.encode(run, add_special_tokens=False).ids).tobytes()
+            return b"".join(map(self.known.__getitem__, parts))
+
+        self.known = _Kept(make)
 
     def _join(self, runs: list[str]) -> bytes:
-        return b"".join(map(self.runs.__getitem__, runs))
+        return b"".join(map(self.known.__getitem__, runs))
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
