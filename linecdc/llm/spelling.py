@@ -46,7 +46,7 @@ LETTERS = "A-Za-z\\u00C0-\\u00FF"  # after lower-casing A-Z: 26 + 64 letters
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_LENGTH, MIN_COUNT, DROP_EVERY, TIMES = 7, 2, 31, 10
 SEGMENTS, MOST = 3, 8192
-CHUNK, QUERIES = 65_536, 16_384  # rows scanned at once, and words among them
+CHUNK, STATES = 65_536, 400_000  # rows scanned at once, and states of the scan
 LISTS = "m int, lo int, hi int, key string, gap string, wid long, n long"
 
 
@@ -112,10 +112,8 @@ def one_edit(gaps: list[str], group: np.ndarray, g: np.ndarray) -> tuple[np.ndar
     end_of = np.r_[first[1:], len(gaps)][np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
     first_of = first[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
     lcp = _lcp(flat, start, size, group)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     asking = np.flatnonzero((size == g) & (end_of - first_of > 1))
-    for at in range(0, len(asking), QUERIES):
-        out += _scan(asking[at:at + QUERIES], flat, start, size, g, lcp, first_of, end_of)
+    out = _scan(asking, flat, start, size, g, lcp, first_of, end_of) if len(asking) else []
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -137,39 +135,45 @@ def _lcp(flat: np.ndarray, start: np.ndarray, size: np.ndarray, group: np.ndarra
 
 def _scan(asking, flat, start, size, g, lcp, first_of, end_of) -> list[tuple[np.ndarray, np.ndarray]]:
     """The words ``asking`` against their lists, depth by depth. A state is a word, the
-    range of gaps with the same first d letters, and the row's cells d - 1, d, d + 1."""
-    q, low, high = asking, first_of[asking], end_of[asking]
-    row = np.empty((len(q), 3), np.int8)
+    range of gaps with the same first d letters, and the row's cells d - 1, d, d + 1.
+    States that would lead to more than ``STATES`` at once are taken one half after the other."""
+    row = np.empty((len(asking), 3), np.int8)
     row[:] = (9, 0, 1)
-    live, d, out = np.arange(len(size)), 0, []
-    while len(q):
-        # A gap that ends here is the first of its range (gaps are distinct).
-        done = (size[low] == d) & ((g[q] == d) & (row[:, 1] == 1) | (g[q] == d - 1) & (row[:, 0] == 1))
-        if done.any():
-            out.append((q[done], low[done]))
-        live = live[size[live] > d]  # gaps with a letter at d
-        heads = live[lcp[live] <= d]  # the first gap of every longer prefix
-        a, b = np.searchsorted(heads, low), np.searchsorted(heads, high)
-        n = b - a
-        pick = np.repeat(np.arange(len(q)), n)
-        child = a[pick] + np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
-        if not len(pick):
-            break
-        here = heads[child]
-        nxt = np.r_[heads, len(size)][child + 1]
-        stop = np.minimum(nxt, high[pick])
-        x, asked, old = flat[start[here] + d], q[pick], row[pick]
-        letter = lambda j: np.where((j >= 0) & (j < g[asked]),
-                                    flat[np.minimum(start[asked] + np.maximum(j, 0), len(flat) - 1)], 0)
-        depth = np.full(len(pick), d, np.int64)
-        new = np.empty((len(pick), 3), np.int8)
-        new[:, 0] = np.minimum(old[:, 0] + (letter(depth - 1) != x), old[:, 1] + 1)
-        new[:, 1] = np.minimum(np.minimum(old[:, 1] + (letter(depth) != x), old[:, 2] + 1), new[:, 0] + 1)
-        new[:, 2] = np.minimum(old[:, 2] + (letter(depth + 1) != x), new[:, 1] + 1)
-        for k, over in enumerate((d > g[asked], d + 1 > g[asked], d + 2 > g[asked])):
-            new[over, k] = 9
-        keep = new.min(1) <= 1
-        q, low, high, row, d = asked[keep], here[keep], stop[keep], new[keep], d + 1
+    todo, out = [(asking, first_of[asking], end_of[asking], row, 0, np.arange(len(size)))], []
+    while todo:
+        q, low, high, row, d, live = todo.pop()
+        while len(q):
+            live = live[size[live] > d]  # gaps with a letter at d
+            heads = live[lcp[live] <= d]  # the first gap of every longer prefix
+            a = np.searchsorted(heads, low)
+            n = np.searchsorted(heads, high) - a
+            upto = np.cumsum(n)
+            if upto[-1] > STATES and len(q) > 1:
+                h = min(max(1, int(np.searchsorted(upto, upto[-1] // 2))), len(q) - 1)
+                todo.append((q[h:], low[h:], high[h:], row[h:], d, live))
+                q, low, high, row = q[:h], low[:h], high[:h], row[:h]
+                continue
+            if not upto[-1]:
+                break
+            pick = np.repeat(np.arange(len(q)), n)
+            child = a[pick] + np.arange(len(pick)) - (upto - n)[pick]
+            here, asked, old = heads[child], q[pick], row[pick]
+            stop = np.minimum(np.r_[heads, len(size)][child + 1], high[pick])
+            x, length, base = flat[start[here] + d], g[asked], start[asked]
+            letter = lambda j: flat[base + np.clip(j, 0, length - 1)]  # noqa: E731  (cells outside are never below 2)
+            new = np.empty((len(pick), 3), np.int8)
+            new[:, 0] = np.minimum(old[:, 0] + (letter(d - 1) != x), old[:, 1] + 1)
+            new[:, 1] = np.minimum(np.minimum(old[:, 1] + (letter(d) != x), old[:, 2] + 1), new[:, 0] + 1)
+            new[:, 2] = np.minimum(old[:, 2] + (letter(d + 1) != x), new[:, 1] + 1)
+            for k in range(3):
+                new[d + k > length, k] = 9
+            d += 1
+            keep = new.min(1) <= 1
+            q, low, high, row = asked[keep], here[keep], stop[keep], new[keep]
+            # A gap that ends here is the first of its range (gaps are distinct).
+            done = (size[low] == d) & ((g[q] == d) & (row[:, 1] == 1) | (g[q] == d - 1) & (row[:, 0] == 1))
+            if done.any():
+                out.append((q[done], low[done]))
     return out
 
 

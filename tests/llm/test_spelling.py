@@ -52,9 +52,11 @@ def rows(df):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 2), st.text("abc", max_size=5)), min_size=1, max_size=60), st.integers(1, 4))
-def test_scan_of_lists(items, length):
+@given(st.lists(st.tuples(st.integers(0, 2), st.text("abc", max_size=5)), min_size=1, max_size=60), st.integers(1, 4),
+       st.sampled_from([1, 7, 400_000]))
+def test_scan_of_lists(items, length, states):
     """Every pair one edit apart, of gaps with ``length`` and one more letter, once from each side."""
+    S.STATES = states
     items = sorted({(k, t) for k, t in items if len(t) in (length, length + 1)})
     if not items:
         return
