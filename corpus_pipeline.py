@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from linecdc.llm import byte_bpe, chosen_path, language_id, secret_scan, soft_mixing
 from linecdc.llm.common import table
-from linecdc.session import drop_scratch, ensure_checkpoint_dir, scratch_path, scratch_scope
+from linecdc.session import drop_scratch, prepare_session, scratch_path, scratch_scope
 
 MIN_SCORE = 0.5
 POWER = 0.8
@@ -43,6 +43,7 @@ def _stage(fn: Callable) -> Callable:
     """Runs a stage with a scratch folder of its own and drops the previous stage's."""
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare_session(spark)
         sc = spark.sparkContext
         if old := getattr(sc, "_corpus_stage", None):
             drop_scratch(spark, old)
@@ -133,7 +134,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     docs, root = table(spark, sf_dir, "documents"), scratch_path(spark, "corpus-pipeline")
     for name, stage in STAGES:
         path = f"{root}/{name}"

@@ -7,6 +7,8 @@ with, so ``(file_name, version)`` keys one comparison.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from linecdc.session import materialize
 # Rows one opcode is cut into before the per-line explode, so a huge opcode
 # (a whole file deleted) is spread over many tasks.
 EXPLODE_CHUNK = 1 << 16
+# Changed files (a name and a number each) up to which they go to the lines' tasks.
+BROADCAST_FILES = 500_000
+# Two independent hashes of a digest.
+DIGEST_SEEDS = (1, 2)
 
 
 def to_sides(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -92,11 +98,15 @@ def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column |
                match: MatchResult | None = None) -> DataFrame:
     """Events turning ``old`` into ``new`` for every (file_name, version).
 
-    Identical line lists produce no event (their alignment has no gap).
+    Identical line lists produce no event (their alignment has no gap). A row without a
+    line number says that a version has no lines.
     """
+    old, new = (side.where(F.col("line_number").isNotNull()) for side in (old, new))
     if match is None:
-        # C11 ahead of matching: equal line lists need no alignment.
-        changed = compare_versions(old, new).where(F.col("changed")).select(*KEYS)
+        # C11 ahead of matching: lines of unchanged files leave before any shuffle.
+        changed = materialize(compare_versions(old, new).where(F.col("changed")).select(*KEYS), "changed")
+        if changed.count() <= BROADCAST_FILES:
+            changed = F.broadcast(changed)
         old = old.join(changed, KEYS, "left_semi")
         new = new.join(changed, KEYS, "left_semi")
     L = to_sides(old, new)
@@ -119,18 +129,36 @@ def version_pairs(lines: DataFrame) -> DataFrame:
     return v.withColumn("prev_version", F.lag("version").over(w))
 
 
-def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """C11/J10, exact: per (file_name, version) present on either side, whether
-    the two line lists are equal. A positional full outer join — no file is
-    gathered, and a newline-style change alone (same lines) is no change."""
-    o = old.select(*KEYS, "line_number", F.col("line").alias("ol"))
-    n = new.select(*KEYS, "line_number", F.col("line").alias("nl"))
-    j = o.join(n, [*KEYS, "line_number"], "full_outer")
-    return j.groupBy(*KEYS).agg(
-        F.sum(F.when(F.col("ol").eqNullSafe(F.col("nl")) & F.col("ol").isNotNull(), 0).otherwise(1))
-        .alias("n_diff"),
-        F.count("ol").alias("old_lines"), F.count("nl").alias("new_lines"),
-    ).withColumn("changed", F.col("n_diff") > 0)
+def sequence_digest(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``keys, n, d1, d2``: the number of lines and two sums, over independent
+    64-bit hashes of (position, line). A line's place is part of its hash, so the sums
+    can be added up in any order and in parts: every task sends one row a list, however
+    long, and digests of parts of a list add up to that of the whole."""
+    h = [F.xxhash64(F.lit(seed), F.col("line_number").cast("long"), "line").cast("decimal(38,0)") for seed in DIGEST_SEEDS]
+    return lines.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h[0]).alias("d1"), F.sum(h[1]).alias("d2"))
+
+
+def compare_versions(old: DataFrame, new: DataFrame, proof: bool = False) -> DataFrame:
+    """Per (file_name, version) present on either side, whether the two line
+    lists differ. A newline-style change alone (same lines) is no change. Digests decide
+    (two different lists agree with a chance of about 2^-128); no line is shuffled. With
+    ``proof``, lists of equal digests are also compared line by line."""
+    d = sequence_digest(old.select(*KEYS, "line_number", "line", F.lit(0).alias("side")).unionByName(
+        new.select(*KEYS, "line_number", "line", F.lit(1).alias("side"))), [*KEYS, "side"])
+    own = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    sizes = [F.coalesce(own("n", side), F.lit(0)).cast("long").alias(name) for side, name in ((0, "old_lines"), (1, "new_lines"))]
+    differ = ~(own("d1", 0).eqNullSafe(own("d1", 1)) & own("d2", 0).eqNullSafe(own("d2", 1)) & own("n", 0).eqNullSafe(own("n", 1)))
+    both = d.groupBy(*KEYS).agg(*sizes, differ.alias("changed"))
+    if not proof:
+        return both
+    both = materialize(both, "digests")
+    same = both.where(~F.col("changed")).select(*KEYS)
+    o = old.join(same, KEYS, "left_semi").select(*KEYS, "line_number", F.col("line").alias("ol"))
+    n = new.join(same, KEYS, "left_semi").select(*KEYS, "line_number", F.col("line").alias("nl"))
+    wrong = (o.join(n, [*KEYS, "line_number"], "full_outer").where(~F.col("ol").eqNullSafe(F.col("nl")))
+             .select(*KEYS, F.lit(True).alias("wrong")).distinct())
+    return both.join(wrong, KEYS, "left").select(
+        *KEYS, "old_lines", "new_lines", (F.col("changed") | F.coalesce("wrong", F.lit(False))).alias("changed"))
 
 
 def pair_versions(lines: DataFrame, missing_as_empty: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -59,6 +59,8 @@ SIDE_SHIFT = 40
 SEG = [*KEYS, "sid"]
 # Old starts that one step of the greedy chain walks.
 WALK = 1 << 17
+# Positions of a content that lie in one list: those of one range of 2**12 lines.
+PAIR_BLOCK_BITS = 12
 # Rows that a segment is cut into before its positions are listed.
 EXPLODE_CHUNK = 1 << 16
 
@@ -138,6 +140,38 @@ def prepare(L: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tagged, values.drop("h", "line"), ext
 
 
+def factorised_pairs(tagged: DataFrame) -> DataFrame:
+    """All match pairs of every file, as position lists: ``KEYS, vid, side, block,
+    positions`` for every content that both sides have. Any old and any new position of
+    one content are a pair, so the table has one entry a line, not one a pair; lists are
+    cut by position block, so a line repeated through a huge file fills many rows."""
+    common = tagged.where((F.col("ca") > 0) & (F.col("cb") > 0))
+    return common.groupBy(*KEYS, "vid", "side", F.shiftright("pos", PAIR_BLOCK_BITS).alias("block")).agg(
+        F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def pair_counts(factors: DataFrame) -> DataFrame:
+    """``KEYS, n_pairs, n_contents``, from list lengths alone."""
+    n = lambda side: F.sum(F.when(F.col("side") == side, F.size("positions")).otherwise(0))
+    per = factors.groupBy(*KEYS, "vid").agg(n(0).alias("na"), n(1).alias("nb"))
+    return per.groupBy(*KEYS).agg(F.sum(F.col("na").cast("decimal(38,0)") * F.col("nb")).cast("decimal(38,0)").alias("n_pairs"),
+                                  F.count("*").alias("n_contents"))
+
+
+def pairs_in_range(factors: DataFrame, i1: int, i2: int, j1: int, j2: int) -> DataFrame:
+    """``KEYS, i, j``: the pairs with old position in [i1, i2) and new in [j1, j2), as
+    zero-based positions. Blocks outside are skipped unopened; the old positions are
+    expanded and joined to the new lists, so no more than the asked-for rectangle is made."""
+    def side(s, lo, hi):
+        block = F.col("block").between(lo >> PAIR_BLOCK_BITS, (hi - 1) >> PAIR_BLOCK_BITS)
+        inside = F.filter("positions", lambda x: (x >= lo) & (x < hi))
+        return factors.where((F.col("side") == s) & block).select(*KEYS, "vid", inside.alias("p")).where(F.size("p") > 0)
+
+    old = side(0, i1, i2).select(*KEYS, "vid", F.explode("p").alias("i"))
+    new = side(1, j1, j2)
+    return old.join(new, [*KEYS, "vid"]).select(*KEYS, "i", F.explode("p").alias("j"))
+
+
 def unique_pairs(tagged: DataFrame) -> DataFrame:
     """Match pairs of lines that occur exactly once on each side (1:1, bounded).
 

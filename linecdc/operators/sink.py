@@ -10,9 +10,7 @@ written again (first write wins).
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linecdc.operators.codec import decode, publish_frame, split, to_table_rows, validate
@@ -24,25 +22,15 @@ from linecdc.session import materialize
 BROADCAST_IDS = 1_000_000
 
 
-def log_position(order: tuple[str, ...]) -> Column:
-    """One decimal that orders like two non-negative whole columns. Decimals are
-    updated in place by a hash aggregation; a struct would need a sort."""
-    first, second = (F.col(c).cast("decimal(38,0)") for c in order)
-    return (first * F.lit(Decimal(10**19)) + second).cast("decimal(38,0)")
-
+def first_wins(valid: DataFrame, order: tuple[str, ...] = ("partition", "offset")) -> DataFrame:
+    """One row per event_id, the one with the smallest log position. A row without a
+    position comes last, so an id is kept even if none of its rows has one. Rows at one
+    position are ordered by a hash of their columns, so a replay keeps the same one.
 
-def first_wins(valid: DataFrame, order: tuple[str, str] = ("partition", "offset")) -> DataFrame:
-    """One row per event_id, the one with the smallest log position. Positions
-    name one record each; a record that is offered twice at one position counts once.
-
-    The least position per id is a hash aggregation over (id, number), partial on
-    the map side; whole rows are only joined to it."""
-    rows = valid.withColumn("_pos", log_position(order))
-    least = rows.groupBy("event_id").agg(F.min("_pos").alias("_pos"))
-    won = rows.join(least, ["event_id", "_pos"], "left_semi")
-    again = won.groupBy("event_id").agg(F.count("*").alias("n")).where("n > 1").select("event_id")
-    return (won.join(again, "event_id", "left_anti")
-            .unionByName(won.join(again, "event_id", "left_semi").dropDuplicates(["event_id"])).drop("_pos"))
+    The row number is limited to 1, so Spark drops the other rows of an id before the
+    exchange already: one exchange, and a hot id sends one row a task."""
+    first = Window.partitionBy("event_id").orderBy(*[F.asc_nulls_last(c) for c in order], F.xxhash64(*valid.columns))
+    return valid.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -73,18 +61,18 @@ def insert_if_absent(events: DataFrame, path: str, run_id: str, batch_id: int,
     nothing (C12). ``order`` names the columns whose least value wins; without
     them no row could be said to be first, so they are required.
 
-    The batch and its winners are written once and read from there. The history gives only
-    its key column, reduced to the batch's ids before anything is shuffled; rows are
-    stored in order of file and time, so lookups skip row groups."""
+    The winners are written once, counted on the way, and read from there. The history
+    gives only its key column, reduced to the batch's ids before anything is shuffled;
+    rows are stored in order of file and time, so lookups skip row groups."""
     if missing := [c for c in order if c not in events.columns]:
         raise ValueError(f"first write wins needs the columns {missing}")
     spark = events.sparkSession
-    events = materialize(events, "offered")
-    offered = events.count()
-    if not offered:
-        return {"offered": 0, "inserted": 0, "duplicate": 0}
-    batch = materialize(first_wins(events, order), "batch")
+    seen = Observation()
+    batch = materialize(first_wins(events.observe(seen, F.count(F.lit(1)).alias("n")), order), "batch")
     ids = batch.count()
+    if not ids:
+        return {"offered": 0, "inserted": 0, "duplicate": 0}
+    offered = seen.get["n"]
     if _exists(spark, path):
         own = batch.select("event_id")
         hits = (spark.read.parquet(path)
@@ -160,20 +148,26 @@ def log_rows(records: DataFrame, topic: str, batch_id: int) -> DataFrame:
                           F.current_timestamp().alias("timestamp"))
 
 
-def log_writer(fmt: str, path: str | None = None, topic: str = "file-changes", batch_id: int = 0, **options):
-    """B1: a ``deliver`` that writes records to the log and returns them. ``kafka``
-    needs the connector on the cluster; ``parquet`` writes Kafka-shaped rows to the
-    folder ``path``, one partition per batch, so a replay writes the same again."""
+def log_writer(fmt: str, path: str | None = None, topic: str = "file-changes", batch_id: int = 0, writer: str = "",
+               accepts: Column | None = None, **options):
+    """B1: a ``deliver`` that writes records to the log and returns those that arrived.
+    ``kafka`` takes the connector's options; with ``acks=all`` and retries a write that
+    fails in the end raises, the batch is replayed, and the table's key makes that
+    harmless. ``parquet`` writes rows of Kafka's form to the folder ``path``, in a
+    partition of the writer and batch, so a replay writes the same again. Records that
+    do not meet the condition ``accepts`` are refused: neither sent nor returned."""
     if fmt not in ("kafka", "parquet"):
         raise ValueError(f"unknown log format {fmt!r}")
 
     def deliver(records: DataFrame) -> DataFrame:
+        taken = records if accepts is None else records.where(F.coalesce(accepts, F.lit(False)))
         if fmt == "kafka":
-            records.write.format("kafka").options(topic=topic, **options).save()
+            sure = {"kafka.acks": "all", "kafka.retries": "5", **options}
+            taken.write.format("kafka").options(topic=topic, **sure).save()
         else:
-            (log_rows(records, topic, batch_id).withColumn("log_batch", F.lit(batch_id)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("log_batch").parquet(path))
-        return records
+            (log_rows(taken, topic, batch_id).withColumn("writer", F.lit(writer)).withColumn("log_batch", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("writer", "log_batch").parquet(path))
+        return taken
     return deliver
 
 
@@ -199,23 +193,66 @@ def advance_snapshots(lines: DataFrame, path: str, run_id: str, batch_id: int) -
      .partitionBy("run_id", "batch_id").parquet(path))
 
 
-def sink_writer(fmt: str = "parquet"):
-    """Writer by target format; unknown formats raise. A plain append to a
-    database would store a repeated id twice, so ``jdbc`` writes to a staging table
-    (``<dbtable>_staging``) from which the database inserts what is absent."""
-    if fmt == "parquet":
-        return lambda df, path: df.write.mode("append").parquet(path)
-    if fmt == "jdbc":
-        return lambda df, opts: df.write.mode("overwrite").format("jdbc").options(
-            **{**opts, "dbtable": opts["dbtable"] + "_staging"}).save()
-    raise ValueError(f"unknown sink format {fmt!r}")
+def sink_writer(target: str, targets: dict[str, dict]):
+    """The writer of a named target, ``write(events, run_id, batch_id) -> counts``.
+    ``targets`` maps names to a format and its options:
+
+    * ``parquet``: ``path``; insert-if-absent into the change table there;
+    * ``merge``: ``table``, in a catalog whose tables take row-level commands; the
+      batch's first rows are the source of one MERGE (B5);
+    * ``jdbc``: a Spark JDBC writer's options; the batch's first rows go to
+      ``<dbtable>_staging``, and ``execute`` (a function of the statement) runs the
+      MERGE in the database.
+
+    An unknown name or format raises."""
+    if target not in targets:
+        raise ValueError(f"unknown target {target!r}; known: {sorted(targets)}")
+    options = dict(targets[target])
+    fmt = options.pop("format", "parquet")
+
+    def rows(events: DataFrame) -> DataFrame:
+        return materialize(to_table_rows(first_wins(events).select(*EVENT_COLUMNS)).withColumn(
+            "loaded_at", F.current_timestamp()), "staged")
+
+    def parquet(events: DataFrame, run_id: str, batch_id: int) -> dict:
+        return insert_if_absent(events, options["path"], run_id, batch_id)
+
+    def merge(events: DataFrame, run_id: str, batch_id: int) -> dict:
+        staged = rows(events)
+        staged.createOrReplaceTempView("linecdc_staged")
+        events.sparkSession.sql(merge_sql(options["table"], "linecdc_staged"))
+        return {"offered": staged.count()}
+
+    def jdbc(events: DataFrame, run_id: str, batch_id: int) -> dict:
+        opts = {k: v for k, v in options.items() if k not in ("execute", "dbtable")}
+        staged, staging = rows(events), options["dbtable"] + "_staging"
+        staged.write.mode("overwrite").format("jdbc").options(**opts, dbtable=staging).save()
+        options["execute"](merge_sql(options["dbtable"], staging))
+        return {"offered": staged.count()}
+
+    writers = {"parquet": parquet, "merge": merge, "jdbc": jdbc}
+    if fmt not in writers:
+        raise ValueError(f"unknown sink format {fmt!r}; known: {sorted(writers)}")
+    return writers[fmt]
 
 
 def merge_sql(table: str, staging: str) -> str:
     """The statement that inserts the staged rows whose event_id is absent."""
-    cols = ", ".join([*EVENT_COLUMNS, "loaded_at"])
-    return (f"MERGE INTO {table} t USING {staging} s ON t.event_id = s.event_id "
-            f"WHEN NOT MATCHED THEN INSERT ({cols}) VALUES ({', '.join('s.' + c.strip() for c in cols.split(','))})")
+    cols = [*EVENT_COLUMNS, "loaded_at"]
+    return (f"MERGE INTO {table} AS t USING {staging} AS s ON t.event_id = s.event_id "
+            f"WHEN NOT MATCHED THEN INSERT ({', '.join(cols)}) VALUES ({', '.join('s.' + c for c in cols)})")
+
+
+def target_batch_writer(target: str, targets: dict[str, dict], dlq_path: str, run_id: str):
+    """B9 as a ``foreachBatch`` body: decode, dead letters, and the target's writer."""
+    write_to = sink_writer(target, targets)
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        valid, dlq = split(materialize(validate(decode(batch_df)), "decoded"))
+        append_dlq(dlq, dlq_path, run_id, batch_id)
+        if not valid.isEmpty():
+            write_to(valid, run_id, batch_id)
+    return write
 
 
 def compact_snapshots(spark: SparkSession, path: str, out_path: str) -> DataFrame:

@@ -35,15 +35,14 @@ o_base as (select o_orderkey k, o_custkey % 16 f, o_orderstatus st,
 o_s2 as (select *, case when h >= 5 and h < 15 and f <> 0 then 'X' else st end st2
          from o_base where f <> 1 and (h >= 5 or f = 0)),
 o_l as (
-  select f, 1 v, k, 0 sub, concat('order_id=', k, ',status=', st, ',amount_cents=', c) line
+  select f, 1 v, k, 0 sub, concat('#', k, ' ', st, ' ', c) line
     from o_base where f <> 2
-  union all select f, 2, k, 0, concat('order_id=', k, ',status=', st2, ',amount_cents=', c) from o_s2
-  union all select f, 2, k, 1, concat('order_id=', k, ',status=NEW') from o_base
+  union all select f, 2, k, 0, concat('#', k, ' ', st2, ' ', c) from o_s2
+  union all select f, 2, k, 1, concat('#', k, ' NEW') from o_base
     where f not in (0, 1) and h >= 15 and h < 20
-  union all select f, 3, k, 0, concat('order_id=', k, ',status=',
-      case when h3 >= 5 and h3 < 15 and f <> 0 then 'X' else st2 end, ',amount_cents=', c)
+  union all select f, 3, k, 0, concat('#', k, ' ', case when h3 >= 5 and h3 < 15 and f <> 0 then 'X' else st2 end, ' ', c)
     from o_s2 where h3 >= 5 or f = 0
-  union all select f, 3, k, 1, concat('order_id=', k, ',status=NEW') from o_s2
+  union all select f, 3, k, 1, concat('#', k, ' NEW') from o_s2
     where f not in (0, 1) and h3 >= 15 and h3 < 20),
 o_lines as (select concat('orders_', f, '.txt') file_name, cast(v as bigint) version,
        cast(row_number() over (partition by f, v order by k, sub) as integer) line_number, line from o_l)

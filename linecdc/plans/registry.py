@@ -17,7 +17,8 @@ from linecdc.functions.text import ISO_FORMAT, base_name, extension, join_lines,
 from linecdc.operators import codec, query, sink
 from linecdc.operators.detect import detect_changes
 from linecdc.operators.diff import apply_changes, compare_versions, diff_lines, diff_versions, pair_versions
-from linecdc.operators.matching import KEYS, match_lines, prepare, unique_pairs
+from linecdc.operators.matching import (KEYS, factorised_pairs, match_lines, pair_counts, pairs_in_range, prepare,
+                                        unique_pairs)
 from linecdc.plans import oracle as O
 from linecdc.session import scratch_path
 from linecdc.sources import fixtures as fx
@@ -144,6 +145,26 @@ def q_match_pairs(spark, sf):
     return unique_pairs(tagged)
 
 
+@register("match_pair_counts", O.with_(O.D_CTES, """
+c as (select file_name, version, line, sum(1 - side) na, sum(side) nb from L group by all)""") + """
+select file_name, version, cast(sum(na * nb) as bigint) n_pairs, count(*) n_contents from c where na > 0 and nb > 0
+ group by file_name, version""")
+def q_match_pair_counts(spark, sf):
+    """How many pairs of equal lines each comparison has, from the position lists."""
+    tagged, _, _ = prepare(_d_sides(spark, sf)[2])
+    return pair_counts(factorised_pairs(tagged)).withColumn("n_pairs", F.col("n_pairs").cast("long"))
+
+
+@register("match_pairs_range", O.with_(O.D_CTES) + """
+select a.file_name, a.version, a.pos i, b.pos j from L a join L b
+    on a.file_name = b.file_name and a.version = b.version and a.line = b.line
+ where a.side = 0 and b.side = 1 and a.pos < 64 and b.pos >= 8 and b.pos < 40""")
+def q_match_pairs_range(spark, sf):
+    """All pairs of old lines 0 to 63 and new lines 8 to 39, repeated lines included."""
+    tagged, _, _ = prepare(_d_sides(spark, sf)[2])
+    return pairs_in_range(factorised_pairs(tagged), 0, 64, 8, 40)
+
+
 D_BLOCKS_SQL = O.with_(O.D_CTES, O.RECURSIVE_BLOCKS) + " select file_name, version, i, j, n from blk"
 
 
@@ -369,32 +390,6 @@ def q_rename_vocabulary(spark, sf):
                                    .withColumn("loaded_at", F.date_format("loaded_at", "yyyy-MM-dd")))
 
 
-BATCH_SQL = ('case when "offset" >= 1000000 then 100 + ("offset" - 1000000) // 1000 '
-             'else "offset" // 1000 end')
-
-
-@register("batch_audit", O.e_with(f"""
-rb as (select *, cast({BATCH_SQL} as bigint) b from routed),
-win as (select b, count(*) n from (select b, row_number() over (partition by event_id order by b, "partition", "offset") rn
-                                      from rb where reason is null) where rn = 1 group by b)""") + """
-select rb.b batch_id, count(*) offered, sum(case when reason is not null then 1 else 0 end) invalid,
-       count(*) - sum(case when reason is not null then 1 else 0 end) - coalesce(any_value(win.n), 0) duplicate,
-       coalesce(any_value(win.n), 0) inserted
-  from rb left join win on win.b = rb.b group by rb.b""")
-def q_batch_audit(spark, sf):
-    """the counts that the sink itself returns, batch after batch."""
-    off = F.col("offset")
-    b = F.when(off >= fx.REDELIVERY_OFFSET, 100 + F.floor((off - fx.REDELIVERY_OFFSET) / 1000)).otherwise(
-        F.floor(off / 1000)).cast("long")
-    rec = fx.log_records(spark, sf).withColumn("_batch", b)
-    table, dlq = scratch_path(spark, "table"), scratch_path(spark, "dlq")
-    rows = []
-    for (n,) in sorted(tuple(r) for r in rec.select("_batch").distinct().collect()):
-        c = sink.write_batch(rec.where(F.col("_batch") == n).drop("_batch"), table, dlq, "run0", n)
-        rows.append((n, c["offered"], c["invalid"], c["duplicate"], c["inserted"]))
-    return spark.createDataFrame(rows, "batch_id long, offered long, invalid long, duplicate long, inserted long")
-
-
 @register("dlq_redrive", O.e_with() + """
 select event_id key, kind <> 'ok' unreadable, case when kind in ('null', 'malformed') then 'redriven' else 'pending' end status
   from routed r join ef using (src_id) where r.reason is not null""".replace("event_id key", "ef.event_id key")

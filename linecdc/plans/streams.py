@@ -5,14 +5,19 @@ returns the sink table."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
+from linecdc.functions.text import base_name
 from linecdc.operators import codec, sink
 from linecdc.plans import oracle as O
 from linecdc.plans.registry import EV_OUT, TABLE_SQL_COLS, _table_cols, _versions_time, register
 from linecdc.session import materialize, scratch_path
 from linecdc.sources import fixtures as fx
+from linecdc.sources import versions as V
 from linecdc.streaming import pipelines as P
+from linecdc.streaming import stateful as S
 
 
 CLOSING = "(closing)"
@@ -79,7 +84,7 @@ def q_end_to_end(spark, sf):
     text = F.date_format("event_timestamp", fx.ISO_FORMAT)
     changes = (spark.readStream.format("parquet").schema(stored.schema).load(events)
                .withColumn("event_timestamp", text))
-    P.start_publish_stream(changes, topic, dlq, scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
+    P.start_publish_stream(changes, dlq, scratch_path(spark, "ckpt"), "parquet", topic, available_now=True).awaitTermination()
     rows = P.log_source(spark, path=topic, schema=spark.read.parquet(topic).schema)
     P.start_table_stream(rows, table, bad, scratch_path(spark, "ckpt"), available_now=True).awaitTermination()
     return _table_cols(sink.read_table(spark, table))
@@ -138,3 +143,175 @@ def q_debounce_stream(spark, sf):
     d = spark.read.parquet(out).where(F.col("file_name") != CLOSING)
     return d.select("file_name", F.date_format("session_start", fx.ISO_FORMAT).alias("session_start"),
                     F.date_format("session_end", fx.ISO_FORMAT).alias("session_end"), "n_saves", "version")
+
+
+# ---------------------------------------------------------------- files and keyed state
+
+FILE_RANGE = 32 * 1024
+# Fixed value: the terminators of str.splitlines as a regular expression of the oracle.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+@register("read_lines_ranges", f"""
+with p as (select doc_id, concat('part_', doc_id % 8, '.txt') file_name,
+                  string_split_regex(coalesce(text, ''), '{LINE_ENDS}') s from documents),
+l as (select file_name, doc_id, unnest(generate_series(1, len(s))) k, unnest(s) line from p)
+select file_name, cast(count(*) over (partition by file_name) as bigint) n_lines,
+       cast(row_number() over (partition by file_name order by doc_id, k) as bigint) line_number, line from l""")
+def q_read_lines_ranges(spark, sf):
+    """A1: the documents as eight files, each text ended by one of the terminators, read
+    in byte ranges of 32 KB whose cuts fall anywhere."""
+    folder = scratch_path(spark, "files")
+    docs = fx.table(spark, sf, "documents")
+    end = F.element_at(F.array(*map(F.lit, fx.TERMINATORS)), (F.col("doc_id") % len(fx.TERMINATORS)).cast("int") + 1)
+    fx.save_files(docs.select(F.concat(F.lit("part_"), (F.col("doc_id") % 8).cast("string"), F.lit(".txt")).alias("file_name"),
+                              F.col("doc_id").alias("ord"), F.concat(F.coalesce("text", F.lit("")), end).alias("piece")), folder)
+    lines, _ = V.read_files(spark, folder, extensions=[".txt"], range_bytes=FILE_RANGE, file_key=base_name)
+    return lines.select("file_name", "n_lines", "line_number", "line")
+
+
+@register("file_versions_stream", O.with_(O.O_CTES) + """
+select file_name, cast(dense_rank() over (partition by file_name order by version) as integer) save, cast(line_number as bigint) line_number,
+       line from o_lines""")
+def q_file_versions_stream(spark, sf):
+    """A3: every version of the order files is saved over the one before, at the same
+    path; a trigger after each save, and one more that finds nothing new."""
+    folder, lines_path, ckpt = (scratch_path(spark, n) for n in ("watched", "lines", "ckpt"))
+    lines = fx.order_lines(spark, sf)
+    end = F.element_at(F.array(*map(F.lit, fx.TERMINATORS)), F.pmod(F.col("line_number") + F.col("version"), F.lit(len(fx.TERMINATORS))).cast("int") + 1)
+    for v in (1, 2, 3, None):
+        if v:
+            fx.save_files(lines.where(F.col("version") == v).select(
+                "file_name", F.col("line_number").alias("ord"), F.concat("line", end).alias("piece")), folder)
+        V.start_version_stream(spark, folder, lines_path, ckpt, extensions=[".txt"], range_bytes=FILE_RANGE, file_key=base_name,
+                               available_now=True).awaitTermination()
+    stored = V.stored_versions(spark, lines_path)
+    return stored.join(V.saves(stored), ["file_name", "version"]).select("file_name", "save", "line_number", "line")
+
+
+@register("debounce_timer_stream", O.with_(O.N_CTES) + f"""
+select file_name, strftime(min(ts), {O.ISO}) session_start, strftime(max(ts), {O.ISO}) session_end,
+       count(*) n_saves, arg_max(version, (ts, version)) version from nt group by file_name, version % 2""")
+def q_debounce_timer_stream(spark, sf):
+    """K5 on a timer: two waves of notifications; the second comes when the first one's
+    bursts have fired, which they do without any later event."""
+    notes = materialize(fx.notifications(spark, sf), "notes")
+    landing, out = scratch_path(spark, "notes"), scratch_path(spark, "debounced")
+    src = spark.readStream.format("parquet").schema(notes.schema).load(landing + "/*")
+    wave = lambda k: notes.where(F.col("version") % 2 == k)
+    _land(wave(0), f"{landing}/0", 1)
+    q = (S.debounce_on_timer(src, 2000).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch_path(spark, "ckpt")).outputMode("append").trigger(processingTime="500 milliseconds").start())
+    try:
+        want = 0
+        for k in (0, 1):
+            if k:
+                _land(wave(k), f"{landing}/{k}", 1)
+            want += wave(k).select("file_name").distinct().count()
+            _wait_for_rows(spark, q, out, want)
+    finally:
+        q.stop()
+    d = spark.read.schema(S.BURST).parquet(out)
+    return d.select("file_name", F.date_format("session_start", fx.ISO_FORMAT).alias("session_start"),
+                    F.date_format("session_end", fx.ISO_FORMAT).alias("session_end"), "n_saves", "version")
+
+
+def _wait_for_rows(spark, query, path: str, n: int, seconds: float = 300) -> None:
+    """Until a running stream's sink has ``n`` rows."""
+    end = time.time() + seconds
+    while not sink._exists(spark, path + "/_spark_metadata") or spark.read.schema(S.BURST).parquet(path).count() < n:
+        if not query.isActive or time.time() > end:
+            raise RuntimeError(f"the stream ended or stood still before {n} rows: {query.exception()}")
+        time.sleep(0.5)
+
+
+@register("stream_diff_state", O.o_events("") + " select * from events")
+def q_stream_diff_state(spark, sf):
+    """K6 with the lines in keyed state: as ``stream_diff``, no table of pending rows or
+    snapshots is read."""
+    landing = scratch_path(spark, "versions")
+    schema = _version_rows(spark, sf, landing, 2)
+    events, dlq, ckpt = (scratch_path(spark, n) for n in ("events", "dlq", "ckpt"))
+    for _ in range(2):
+        src = spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", 1).load(landing + "/*")
+        S.start_keyed_diff_stream(src, events, dlq, ckpt, detected_at_fn=_versions_time, available_now=True).awaitTermination()
+    t = spark.read.parquet(events)
+    return t.select(*[c for c in EV_OUT if c != "event_timestamp"],
+                    F.date_format("event_timestamp", fx.ISO_FORMAT).alias("event_timestamp")).select(*EV_OUT)
+
+
+# ---------------------------------------------------------------- delivery, targets, audit
+
+@register("publish_failures", O.o_events("") + """
+select event_id, case when ascii(event_id) % 4 = 0 then 'redriven' when ascii(event_id) % 4 = 1 then 'pending' else 'delivered' end status,
+       case when ascii(event_id) % 4 = 1 then 0 else 1 end n_log from events""")
+def q_publish_failures(spark, sf):
+    """A log that refuses half of the stream's records at first, then a redrive
+    that it accepts but for a quarter of all; what is in the log, and how often."""
+    landing, events, snaps, topic, dlq = (scratch_path(spark, n) for n in ("versions", "events", "snap", "topic", "dlq"))
+    _diff_stream(spark, _version_rows(spark, sf, landing, 2), landing, events, snaps, scratch_path(spark, "ckpt"))
+    stored = spark.read.parquet(events)
+    changes = (spark.readStream.format("parquet").schema(stored.schema).load(events)
+               .withColumn("event_timestamp", F.date_format("event_timestamp", fx.ISO_FORMAT)))
+    kind = F.ascii(F.col("key").cast("string")) % 4
+    ckpt = scratch_path(spark, "ckpt")
+    for _ in range(2):
+        P.start_publish_stream(changes, dlq, ckpt, "parquet", topic, accepts=kind >= 2, available_now=True).awaitTermination()
+    same = lambda pending: pending.withColumn("new_value", F.col("value"))
+    for attempt in range(2):
+        P.redrive_dlq(spark, dlq, topic, same, "redrive", attempt, accepts=kind != 1)
+    log = spark.read.parquet(topic).groupBy(F.col("key").cast("string").alias("event_id")).agg(
+        F.count("*").alias("n_log"), F.max(F.col("writer") == "redrive").alias("again"))
+    status = F.when(F.col("n_log").isNull(), "pending").when(F.col("again"), "redriven").otherwise("delivered")
+    return stored.select("event_id").join(log, "event_id", "left").select(
+        "event_id", status.alias("status"), F.coalesce("n_log", F.lit(0)).cast("int").alias("n_log"))
+
+
+@register("target_sink", O.e_with() + f"select {TABLE_SQL_COLS} from firsts")
+def q_target_sink(spark, sf):
+    """The stream's table chosen by the name of its target."""
+    rec = fx.log_records(spark, sf)
+    landing, table, dlq, ckpt = (scratch_path(spark, n) for n in ("landing", "table", "dlq", "ckpt"))
+    _land(rec.where(F.col("offset") < fx.REDELIVERY_OFFSET), landing + "/a", 1)
+    _land(rec.where(F.col("offset") >= fx.REDELIVERY_OFFSET), landing + "/b", 1)
+    targets = {"dev": {"format": "parquet", "path": table}, "prod": {"format": "jdbc", "dbtable": "change_events"}}
+    src = P.log_source(spark, path=landing + "/*", schema=rec.schema, max_per_trigger=1)
+    write = sink.target_batch_writer("dev", targets, dlq, P.run_id_for(spark, ckpt))
+    src.writeStream.foreachBatch(write).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return _table_cols(sink.read_table(spark, table))
+
+
+BATCH_SQL = ('case when "offset" >= 1000000 then 100 + ("offset" - 1000000) // 1000 '
+             'else "offset" // 1000 end')
+
+
+@register("batch_audit", O.e_with(f"""
+rb as (select *, dense_rank() over (order by cast({BATCH_SQL} as bigint)) - 1 b from routed),
+win as (select b, count(*) n from (select b, row_number() over (partition by event_id order by b, "partition", "offset") rn
+                                      from rb where reason is null) where rn = 1 group by b)""") + """
+select rb.b batch_id, count(*) offered, sum(case when reason is not null then 1 else 0 end) invalid,
+       count(*) - sum(case when reason is not null then 1 else 0 end) - coalesce(any_value(win.n), 0) duplicate,
+       coalesce(any_value(win.n), 0) inserted
+  from rb left join win on win.b = rb.b group by rb.b""")
+def q_batch_audit(spark, sf):
+    """one stream whose batches are a thousand offsets each; the counts come from a
+    listener and the table."""
+    off = F.col("offset")
+    b = F.when(off >= fx.REDELIVERY_OFFSET, 100 + F.floor((off - fx.REDELIVERY_OFFSET) / 1000)).otherwise(F.floor(off / 1000))
+    rec = fx.log_records(spark, sf)
+    landing, table, dlq, audit, ckpt = (scratch_path(spark, n) for n in ("landing", "table", "dlq", "audit", "ckpt"))
+    (rec.withColumn("b", b.cast("int")).repartition("b").sortWithinPartitions("partition", "offset")
+     .write.partitionBy("b").parquet(landing))
+    fx.in_order(spark, landing, "b")
+    listener = P.AuditListener(spark, audit)
+    spark.streams.addListener(listener)
+    try:
+        src = P.log_source(spark, path=landing + "/*", schema=rec.schema, max_per_trigger=1)
+        run = P.run_id_for(spark, ckpt)
+        q = P.start_table_stream(P.observed_records(src), table, dlq, ckpt, available_now=True)
+        listener.runs[str(q.id)] = run
+        q.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(listener)
+    return P.batch_audit(spark, audit, table).drop("run_id")

@@ -45,6 +45,24 @@ def get_spark(master: str = "local[8]", app: str = "linecdc", shuffle_partitions
     return spark
 
 
+# Rows of an Arrow batch to a Python worker: texts may have thousands of characters, and
+# both sides hold a batch several times.
+ARROW_ROWS = 1000
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """What every registered query needs of a session that somebody else has built: the
+    shared folder, the package on the executors, UTC, and bounded Arrow batches (a
+    smaller number that is set already is left)."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting a private one only if unset."""
     sc = spark.sparkContext

@@ -39,6 +39,9 @@ EXTRA_KEY_MOD = 53
 REDELIVERY_MOD = 10
 N_LOG_FILES = 20
 VERSION_EPOCH = "2024-02-01 00:00:00"
+# Line ends of written files (of those of str.splitlines, all but a lone \r, which
+# would join with a following text's \n).
+TERMINATORS = ("\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,13 +53,48 @@ def version_time(version_col):
     return F.timestamp_add("DAY", (version_col - 1).cast("int"), F.to_timestamp(F.lit(VERSION_EPOCH)))
 
 
+def save_files(pieces: DataFrame, folder: str) -> None:
+    """Files of (file_name, ord, piece): the pieces of a file one after the other, written
+    by one task a file and put in place whole."""
+    from linecdc.sources.versions import filesystem
+
+    def write(rows):
+        fs, root = filesystem(folder)
+        fs.create_dir(root)
+        out, name = None, None
+
+        def close():
+            if out is not None:
+                out.close()
+                fs.move(f"{root}/.{name}.new", f"{root}/{name}")
+
+        for r in rows:
+            if r["file_name"] != name:
+                close()
+                name = r["file_name"]
+                out = fs.open_output_stream(f"{root}/.{name}.new")
+            out.write(r["piece"].encode())
+        close()
+
+    pieces.repartition("file_name").sortWithinPartitions("file_name", "ord").foreachPartition(write)
+
+
+def in_order(spark: SparkSession, path: str, column: str) -> None:
+    """Sets the modification times of a table's files by its partition column, so that a
+    file stream reads its partitions in that order."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, f"{column}=*/part-*"))]
+    base = jvm.java.lang.System.currentTimeMillis() - 86_400_000
+    for f in found:
+        fs.setTimes(f, base + 1000 * int(f.getParent().getName().split("=")[1]), -1)
+
+
 # ---------------------------------------------------------------- O
 
 def _line(k, status, cents=None):
-    parts = [F.lit("order_id="), k.cast("string"), F.lit(",status="), status]
-    if cents is not None:
-        parts += [F.lit(",amount_cents="), cents.cast("string")]
-    return F.concat(*parts)
+    return F.concat_ws(" ", F.concat(F.lit("#"), k.cast("string")), status, *([] if cents is None else [cents.cast("string")]))
 
 
 def order_lines(spark: SparkSession, sf_dir: str, versions=(1, 2, 3)) -> DataFrame:

@@ -1,4 +1,9 @@
-"""One case per kind of change, plus cases that follow from the alignment rule."""
+"""Cases derived from the alignment rule: every gap of up to three lines on either side, at
+the start, in the middle and at the end of a file, and lists in which the rule has to
+choose (ties, repeated lines, moved blocks). The expected events come from a model that
+tries every block."""
+
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,24 +11,53 @@ from pyspark.sql import functions as F
 from conftest import lines_df
 from linecdc.operators.diff import diff_lines
 
-CASES = {
-    # name: (old, new, expected [(event_type, line_number, old_value, new_value)])
-    "none": (["k", "l", "m"], ["k", "l", "m"], []),
-    "insert": (["k", "l"], ["k", "l", "m"], [("INSERT", 3, None, "m")]),
-    "delete": (["k", "l", "m"], ["k", "m"], [("DELETE", 2, "l", None)]),
-    "update": (["port = 80"], ["port = 8080"],
-               [("UPDATE", 1, "port = 80", "port = 8080")]),
-    "replace_1_2": (["port: 80"], ["port: 443", "tls: on"],
-                    [("UPDATE", 1, "port: 80", "port: 443"), ("INSERT", 2, None, "tls: on")]),
-    "replace_2_1": (["port: 80", "# old"], ["port: 443"],
-                    [("UPDATE", 1, "port: 80", "port: 443"), ("DELETE", 2, "# old", None)]),
-    "several": (["a", "b", "c", "d"], ["a", "B", "c", "d", "e"],
-                [("UPDATE", 2, "b", "B"), ("INSERT", 5, None, "e")]),
-    "no_prefix_trim": (["x", "p", "q"], ["x", "y", "x", "p", "q"],
-                       [("INSERT", 1, None, "x"), ("INSERT", 2, None, "y")]),
-    "empty_to_lines": ([], ["a", "b"], [("INSERT", 1, None, "a"), ("INSERT", 2, None, "b")]),
-    "lines_to_empty": (["a", "b"], [], [("DELETE", 1, "a", None), ("DELETE", 2, "b", None)]),
-    "empty_string_line": ([""], ["a", ""], [("INSERT", 1, None, "a")]),
+
+def blocks(old, new, a, b, c, d):
+    """Longest common block of old[a:b] and new[c:d], the earliest in old, then in new;
+    then the same on either side."""
+    best = max(((n, -i, -j) for i in range(a, b) for j in range(c, d) for n in range(1, min(b - i, d - j) + 1)
+                if old[i:i + n] == new[j:j + n]), default=None)
+    if best is None:
+        return []
+    n, i, j = best[0], -best[1], -best[2]
+    return blocks(old, new, a, i, c, j) + [(i, j, n)] + blocks(old, new, i + n, b, j + n, d)
+
+
+def model(old, new):
+    """Events of the gaps: pairs are updates, what is left over on one side is deleted or inserted."""
+    out, i, j = [], 0, 0
+    for bi, bj, n in [*blocks(old, new, 0, len(old), 0, len(new)), (len(old), len(new), 0)]:
+        for k in range(max(bi - i, bj - j)):
+            if i + k < bi and j + k < bj:
+                out.append(("UPDATE", j + k + 1, old[i + k], new[j + k]))
+            elif i + k < bi:
+                out.append(("DELETE", i + k + 1, old[i + k], None))
+            else:
+                out.append(("INSERT", j + k + 1, None, new[j + k]))
+        i, j = bi + n, bj + n
+    return out
+
+
+def gap(na, nb, head, tail):
+    """Lists that share ``head`` lines before and ``tail`` lines after a gap of na and nb lines."""
+    around = lambda middle: [f"head {k}" for k in range(head)] + middle + [f"tail {k}" for k in range(tail)]
+    return around([f"was {k}" for k in range(na)]), around([f"is {k}" for k in range(nb)])
+
+
+CASES = {f"gap_{na}_{nb}_{place}": gap(na, nb, head, tail) for na, nb in product(range(4), repeat=2)
+         for place, head, tail in (("start", 0, 2), ("middle", 2, 3), ("end", 3, 0), ("all", 0, 0))}
+CASES |= {
+    "two_gaps": (["u", "v", "w", "x", "y", "z"], ["u", "V", "w", "x", "z", "zz"]),
+    "tie_in_old": (["r", "s", "t", "r", "s"], ["r", "s"]),
+    "tie_in_new": (["r", "s"], ["q", "r", "s", "t", "r", "s"]),
+    "alternating": (["{", "}"] * 4, ["}", "{"] * 3),
+    "doubled_lines": (["m", "n", "o"], ["m", "m", "n", "n", "o", "o"]),
+    "moved_block": (["a1", "a2", "b1", "b2", "b3"], ["b1", "b2", "b3", "a1", "a2"]),
+    "moved_line": (["one", "two", "three", "four"], ["two", "three", "one", "four"]),
+    "all_equal_lines": (["="] * 5, ["="] * 3),
+    "nothing_in_common": (["g", "h"], ["i", "j", "k"]),
+    "no_prefix_trim": (["x", "p", "q"], ["x", "y", "x", "p", "q"]),
+    "empty_string_line": ([""], ["a", ""]),
 }
 
 
@@ -40,9 +74,8 @@ def events(spark):
 
 @pytest.mark.parametrize("name", sorted(CASES))
 def test_case(events, name):
-    exp = CASES[name][2]
     rows = sorted(events.get(name, []), key=lambda r: r.change_seq)
-    assert [(r.event_type, r.line_number, r.old_value, r.new_value) for r in rows] == exp
+    assert [(r.event_type, r.line_number, r.old_value, r.new_value) for r in rows] == model(*CASES[name])
     # Invariants: null pattern by type, ids unique, change order 1..n.
     for r in rows:
         assert (r.old_value is None) == (r.event_type == "INSERT")

@@ -13,22 +13,22 @@ from linecdc.sources.files import read_versions
 def test_read_and_diff_two_saves(spark):
     d1, d2 = tempfile.mkdtemp(prefix="linecdc-t1-"), tempfile.mkdtemp(prefix="linecdc-t2-")
     with open(os.path.join(d1, "sample.txt"), "w", newline="") as f:
-        f.write("order_id=1,status=PENDING\r\norder_id=2,status=NEW\r\n")
+        f.write("host = alpha\r\nport = 7070\r\n")
     with open(os.path.join(d1, "skip.bin"), "wb") as f:
         f.write(b"\xff\xfe")
     with open(os.path.join(d2, "sample.txt"), "w", newline="") as f:
-        f.write("order_id=1,status=SHIPPED\norder_id=2,status=NEW")
+        f.write("host = beta\nport = 7070")
     with open(os.path.join(d2, "bad.txt"), "wb") as f:
         f.write(b"ok\n\xff\n")
     old, rej1 = read_versions(spark, d1, extensions=[".txt"], file_key=base_name)
     new, rej2 = read_versions(spark, d2, extensions=[".txt", ".csv"], file_key=base_name)
     assert [r.line for r in old.orderBy("line_number").collect()] == [
-        "order_id=1,status=PENDING", "order_id=2,status=NEW"]
+        "host = alpha", "port = 7070"]
     assert rej1.count() == 0 and [r.reason for r in rej2.collect()] == ["bad_utf8"]
     o = old.select("file_name", "line_number", "line").withColumn("version", F_lit2())
     n = new.select("file_name", "line_number", "line").withColumn("version", F_lit2())
     ev = diff_lines(o, n).collect()
-    assert [(r.event_type, r.line_number, r.new_value) for r in ev] == [("UPDATE", 1, "order_id=1,status=SHIPPED")]
+    assert [(r.event_type, r.line_number, r.new_value) for r in ev] == [("UPDATE", 1, "host = beta")]
 
 
 def F_lit2():
