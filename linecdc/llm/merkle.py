@@ -1,19 +1,18 @@
 """Document fingerprints: a Merkle tree over sections and paragraphs.
 
-A text is cut at blank lines into sections, a section at line ends into
-paragraphs. A paragraph's hash is the sha256 of its text, a section's of its
-paragraphs' hashes, the root's of its sections' hashes (each level with a prefix
-of its own). The cuts lose nothing, so roots are equal exactly when texts are.
-Where roots differ, ``differing`` walks down: branches are aligned by hash, so
-one that was put in shifts no other; sections with unequal hashes, then the
-unequal paragraphs in them, locate the edit. Below each paragraph lie its
-``leaf_runs``: runs of up to six words (cut earlier after punctuation), and windows
-of six code points where there are no spaces, as 64-bit hashes; ``alike`` is the
-share of their distinct runs that two trees both have.
-
-``near_edited`` and ``near_next`` of op2_query are as OP2_SQL states them, from
-``runs``: word runs of the whole text with line ends as spaces, beside the tree. They
-are low for near copies without end punctuation or spaces; ``alike`` is not.
+A text is cut at blank lines into sections, a section at line ends into paragraphs, a
+paragraph into runs of up to six words (cut earlier after punctuation). The runs are the
+leaves: a paragraph's hash is the sha256 of its runs' hashes, a section's of its
+paragraphs' hashes, the root's of its sections' hashes (the upper levels with a prefix of
+their own). The cuts lose nothing, so roots are equal exactly when texts are. Where roots
+differ, ``differing`` walks down: branches are aligned by hash, so one that was put in
+shifts no other; sections with unequal hashes, then the unequal paragraphs in them,
+locate the edit.
+
+Likeness is read off the leaves: the share of the distinct leaves of two trees that both
+have. A run with a stretch of 25 code points or more without a space (a text in a script
+without spaces, a long path) counts with all its windows of six code points instead, so
+an edit inside it leaves the rest alike.
 
 Nulls and edge cases: a null text is the empty text, whose tree is one section
 with one empty paragraph; two trees without words are alike 1.0 if their roots
@@ -30,13 +29,20 @@ from linecdc.llm.common import shuffle_parts, text_or_empty
 
 # Up to five words that don't end in punctuation, then one more; or left-over spaces.
 RUN = r" *(?:[^ ]*[^ .!?,;:] +){0,5}[^ ]+| +"
-# A stretch without spaces that is taken in windows of code points, not as a word.
-LONG, WINDOW = r"[^ ]{25,}", r"(?s)(?=(.{6}))"
+# A stretch without spaces that counts by windows of code points, not as a word.
+STRETCH, WINDOW = 25, 6
 
 
-def paragraph_hashes(text: Column) -> Column:
-    """array (sections) of array (paragraphs) of sha256."""
-    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
+def runs(text: Column) -> Column:
+    """array (sections) of array (paragraphs) of array (runs), which together are the text."""
+    paragraph = lambda p: F.regexp_extract_all(p, F.lit(RUN), F.lit(0))
+    return F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
+
+
+def paragraph_hashes(parts: Column) -> Column:
+    """array (sections) of array (paragraphs) of sha256, of ``runs``."""
+    leaf = lambda r: F.sha2(r, 256)
+    return F.transform(parts, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(F.transform(p, leaf), ""), 256)))
 
 
 def section_hashes(paragraphs: Column) -> Column:
@@ -47,25 +53,16 @@ def root_hash(sections: Column) -> Column:
     return F.sha2(F.concat(F.lit("root:"), F.array_join(sections, "")), 256)
 
 
-def fingerprint(text: Column) -> Column:
-    return root_hash(section_hashes(paragraph_hashes(text)))
-
-
-def runs(text: Column) -> Column:
-    """Distinct 64-bit hashes of the word runs of all lines."""
-    words = F.regexp_extract_all(F.translate(text, "\n", " "), F.lit(RUN), F.lit(0))
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.trim(w))))
+def fingerprint(parts: Column) -> Column:
+    return root_hash(section_hashes(paragraph_hashes(parts)))
 
 
-def leaf_runs(text: Column) -> Column:
-    """Distinct 64-bit hashes of the runs inside each paragraph."""
-    lines = F.split(text, "\n", -1)
-    words = F.flatten(F.transform(lines, lambda p: F.regexp_extract_all(
-        F.regexp_replace(p, LONG, " "), F.lit(RUN), F.lit(0))))
-    stretches = F.flatten(F.transform(lines, lambda p: F.regexp_extract_all(p, F.lit(LONG), F.lit(0))))
-    windows = F.flatten(F.transform(stretches, lambda x: F.regexp_extract_all(x, F.lit(WINDOW), F.lit(1))))
-    whole = F.filter(F.transform(words, lambda w: F.trim(w)), lambda w: w != "")
-    return F.array_distinct(F.transform(F.concat(whole, windows), lambda w: F.xxhash64(w)))
+def leaves(parts: Column) -> Column:
+    """Distinct 64-bit hashes of the leaves, without the spaces around them."""
+    windows = lambda r: F.regexp_extract_all(r, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), F.lit(1))
+    own = lambda r: F.when(F.rlike(r, F.lit(rf"[^ ]{{{STRETCH}}}")), windows(F.trim(r))).otherwise(F.array(F.trim(r)))
+    each = F.flatten(F.transform(F.flatten(F.flatten(parts)), own))
+    return F.array_distinct(F.transform(F.filter(each, lambda x: x != ""), lambda x: F.xxhash64(x)))
 
 
 def likeness(a_runs: Column, b_runs: Column, a_root: Column, b_root: Column) -> Column:
@@ -76,7 +73,8 @@ def likeness(a_runs: Column, b_runs: Column, a_root: Column, b_root: Column) ->
 
 def tree(docs: DataFrame) -> DataFrame:
     """(doc_id, root, sections, paragraphs, leaves) of every document."""
-    t = docs.select("doc_id", paragraph_hashes(text_or_empty()).alias("paragraphs"), leaf_runs(text_or_empty()).alias("leaves"))
+    t = docs.select("doc_id", runs(text_or_empty()).alias("runs"))
+    t = t.select("doc_id", paragraph_hashes(F.col("runs")).alias("paragraphs"), leaves(F.col("runs")).alias("leaves"))
     t = t.withColumn("sections", section_hashes(F.col("paragraphs")))
     return t.select("doc_id", root_hash(F.col("sections")).alias("root"), "sections", "paragraphs", "leaves")
 
@@ -175,7 +173,9 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     else:
         at = F.lit(0)
     d = d.withColumn("at", at)
-    is_bound = F.array_contains(F.lit(bounds), F.col("key")) if bounds else F.lit(False)
+    # A bound opens the range that it lies in.
+    is_bound = F.element_at(F.lit(bounds), F.greatest(F.col("at"), F.lit(1))) == F.col("key") if bounds else F.lit(False)
+    is_bound = is_bound & (F.col("at") > 0)
     place = lambda r, tail: F.struct(r.cast("int").alias("range"), F.lit(tail).alias("tail"))
     copies = F.array_compact(F.array(
         place(F.col("at"), 0), F.when(is_bound, place(F.col("at") - 1, 1)),
@@ -192,23 +192,32 @@ def op2_query(documents: DataFrame) -> DataFrame:
          .withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 4)"),
                                         F.expr("substring(next_text, 1, int(char_length(text) div 4))")))
          .select("doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                 fingerprint(F.col("text")).alias("fingerprint"),
-                 fingerprint(F.col("edited")).alias("edited_fingerprint"),
-                 fingerprint(F.col("next_text")).alias("next_fingerprint"),
-                 runs(F.col("text")).alias("a"), runs(F.col("edited")).alias("b"), runs(F.col("next_text")).alias("c")))
+                 *[runs(F.col(x)).alias(y) for x, y in (("text", "a"), ("edited", "b"), ("next_text", "c"))]))
+    d = d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"),
+                 fingerprint(F.col("b")).alias("edited_fingerprint"), fingerprint(F.col("c")).alias("next_fingerprint"),
+                 *[leaves(F.col(x)).alias(x) for x in "abc"])
     c = F.col
     return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                     likeness(c("a"), c("b"), c("fingerprint"), c("edited_fingerprint")).alias("near_edited"),
-                    likeness(c("a"), c("c"), c("fingerprint"), c("next_fingerprint")).alias("near_next"))
+                    likeness(c("a"), c("c"), c("fingerprint"), c("next_fingerprint")).alias("near_next"),
+                    F.size("a").cast("long").alias("n_leaves"))
 
 
-def _sql_root(t: str) -> str:
-    return (f"sha256('root:' || array_to_string(list_transform(string_split({t}, chr(10) || chr(10)), lambda s: sha256('section:' || "
-            f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))")
+def _sql_runs(t: str) -> str:
+    return (f"list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), "
+            f"lambda p: regexp_extract_all(p, '{RUN}')))")
 
 
-def _sql_runs(t: str) -> str:
-    return f"list_distinct(list_transform(regexp_extract_all(translate({t}, chr(10), ' '), '{RUN}'), lambda x: trim(x, ' ')))"
+def _sql_root(x: str) -> str:
+    paragraph = "sha256(array_to_string(list_transform(p, lambda r: sha256(r)), ''))"
+    return (f"sha256('root:' || array_to_string(list_transform({x}, lambda s: sha256('section:' || "
+            f"array_to_string(list_transform(s, lambda p: {paragraph}), ''))), ''))")
+
+
+def _sql_leaves(x: str) -> str:
+    windows = f"list_transform(range(length(trim(r, ' ')) - {WINDOW - 1}), lambda i: substr(trim(r, ' '), i + 1, {WINDOW}))"
+    own = f"case when regexp_matches(r, '[^ ]{{{STRETCH}}}') then {windows} else [trim(r, ' ')] end"
+    return f"list_distinct(list_filter(flatten(list_transform(flatten(flatten({x})), lambda r: {own})), lambda y: y <> ''))"
 
 
 def _sql_like(x: str, y: str, rx: str, ry: str) -> str:
@@ -222,7 +231,8 @@ with t as (select doc_id, coalesce(text, '') text from documents),
 w as (select doc_id, text, length(text) n, coalesce(lead(text) over (order by doc_id, text),
              first_value(text) over (order by doc_id, text)) nx from t),
 e as (select doc_id, n, text, nx, substring(text, 1, n - n // 4) || substring(nx, 1, n // 4) ed from w),
-f as (select doc_id, n, sha256(ed) es, {_sql_root('text')} r, {_sql_root('ed')} er, {_sql_root('nx')} nr,
-             {_sql_runs('text')} a, {_sql_runs('ed')} b, {_sql_runs('nx')} c from e)
+p as (select doc_id, n, sha256(ed) es, {_sql_runs('text')} a, {_sql_runs('ed')} b, {_sql_runs('nx')} c from e),
+f as (select doc_id, n, es, {_sql_root('a')} r, {_sql_root('b')} er, {_sql_root('c')} nr,
+             {_sql_leaves('a')} a, {_sql_leaves('b')} b, {_sql_leaves('c')} c from p)
 select doc_id, cast(n as bigint) n_chars, es edited_sha256, r fingerprint, er edited_fingerprint,
-       {_sql_like('a', 'b', 'r', 'er')} near_edited, {_sql_like('a', 'c', 'r', 'nr')} near_next from f"""
+       {_sql_like('a', 'b', 'r', 'er')} near_edited, {_sql_like('a', 'c', 'r', 'nr')} near_next, cast(len(a) as bigint) n_leaves from f"""

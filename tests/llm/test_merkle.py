@@ -1,6 +1,8 @@
 import hashlib
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from linecdc.llm import merkle as M
 
@@ -66,10 +68,39 @@ def test_differing_aligns_by_hash(spark):
 
 
 def test_near_copies_of_lists_and_spaceless_texts(spark):
+    """Of trees, and of the query's own columns: the next document as near copy."""
     lines = "\n".join(f"item {i} of the list" for i in range(500))
+    code = "\n".join(f"    x{i} = f(y{i}, {i * i})  # step" for i in range(300))
     spaceless = "".join(chr(0x4E00 + i * 7919 % 20000) for i in range(4000))
-    old = spark.createDataFrame([(1, lines), (2, spaceless), (3, "a b"), (4, "")], "doc_id long, text string")
-    new = spark.createDataFrame([(1, "word\n" + lines), (2, spaceless[:3000] + "".join(chr(0xAC00 + i) for i in range(1000))),
-                                 (3, "c d"), (4, None)], "doc_id long, text string")
+    pairs = [(lines, "word\n" + lines), (spaceless, spaceless[:3000] + "".join(chr(0xAC00 + i) for i in range(1000))),
+             (code, code.replace("    x7 = ", "    z7 = ").replace("x100 ", "x100  ")), ("a b", "c d"), ("", None)]
+    old, new = (spark.createDataFrame([(i, p[side]) for i, p in enumerate(pairs)], "doc_id long, text string") for side in (0, 1))
     got = {r["doc_id"]: r["likeness"] for r in M.alike(M.tree(old), M.tree(new)).collect()}
-    assert got[1] == 500 / 501 and 0.55 < got[2] < 0.65 and (got[3], got[4]) == (0.0, 1.0)
+    assert got[0] == 500 / 501 and 0.55 < got[1] < 0.65 and got[2] > 0.95 and (got[3], got[4]) == (0.0, 1.0)
+    docs = spark.createDataFrame([(2 * i + side, t) for i, p in enumerate(pairs) for side, t in enumerate(p)], "doc_id long, text string")
+    near = {r["doc_id"]: r["near_next"] for r in M.op2_query(docs).collect()}
+    assert {i: near[2 * i] for i in range(5)} == got
+
+
+def leaves_of(text):
+    """The leaves in plain Python."""
+    out = set()
+    for line in (text or "").split("\n"):
+        for run in re.findall(M.RUN, line):
+            word = run.strip(" ")
+            out |= {word[i:i + M.WINDOW] for i in range(len(word) - M.WINDOW + 1)} if re.search("[^ ]{25}", run) else {word}
+    return out - {""}
+
+
+def test_leaves_against_a_plain_version(spark):
+    texts = [t for _, t in ROWS] + ["", " \n  \n\n ", "a  b   c. d\n" * 3, "q" * 30 + " end. " + "é" * 24 + "\n" + "z" * 25, "one, two; three: four\n\n\nfive"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees = M.tree(docs).join(docs, "doc_id").select("doc_id", "root", F.size("leaves").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in trees} == {i: len(leaves_of(t)) for i, t in enumerate(texts)}
+    near = {r["doc_id"]: r for r in M.op2_query(docs).collect()}
+    for i in range(len(texts) - 1):
+        a, b = leaves_of(texts[i]), leaves_of(texts[i + 1])
+        want = 1.0 if (texts[i] or "") == (texts[i + 1] or "") else len(a & b) / len(a | b) if a | b else 0.0
+        assert near[i]["near_next"] == pytest.approx(want)
+    same = spark.createDataFrame([(0, "a b\nc"), (1, "a b\n c"), (2, "a  b\nc"), (3, "a b\n\nc"), (4, "a b c"), (5, "a b\nc ")], "doc_id long, text string")
+    assert M.tree(same).select("root").distinct().count() == 6  # the cuts lose nothing
