@@ -1,3 +1,8 @@
+import time
+import tracemalloc
+
+import pytest
+
 from linecdc.llm import html_main as H
 
 NAV = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News, sport, more</a></li></ul></nav>'
@@ -53,3 +58,82 @@ def test_pages_without_a_host_do_not_vote_together(spark):
     rows = [(i, None, usual) for i in range(6)] + [(6, "page.html", odd), (7, None, odd)]
     got = {r["page_id"]: r["text"] for r in H.op4_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(story.strip() in got[i] for i in range(8)) and "Menu" not in got[6] + got[7]
+
+
+def paragraphs(n, word="story"):
+    return [f"Part {i} of the {word}, told at length, with commas and words that go on for a while, as articles do. " * 2 + "End."
+            for i in range(n)]
+
+
+def p(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+@pytest.mark.parametrize("name", ["legal-news", "search-engine-review", "notice-board", "story social-history", "share-holders sponsor"])
+def test_a_class_name_is_no_veto(name):
+    lines = paragraphs(5)
+    for inner in (p(lines), f"<div>{p(lines)}</div>"):
+        src = page(NAV + f'<div class="{name}">{inner}</div><div class="ad">Buy now.</div><div class="cookie-notice">We use cookies.</div>')
+        assert H.extract(src, [])[0].split("\n") == lines
+
+
+def test_running_text_inside_an_article_stays_whatever_its_class():
+    lines, related = paragraphs(4), paragraphs(2, "related work")
+    src = page(f'<article><h1>Head</h1>{p(lines)}<div class="related-work">{p(related)}</div><div class="related">'
+               '<p><a href="/1">Another story, also read</a></p></div><div class="newsletter">Sign up now.</div></article>')
+    assert H.extract(src, [])[0].split("\n") == ["Head", *lines, *related]
+
+
+def test_comments_go_unless_they_are_all_there_is():
+    lines, replies = paragraphs(3), paragraphs(9, "reply")
+    src = page(f'<div class="post">{p(lines)}</div><div class="comments">{p(replies)}</div>')
+    assert H.extract(src, ["/div.post"])[0].split("\n") == lines
+    alone = page(f'<div class="comment-piece">{p(lines)}</div>')
+    assert H.extract(alone, [])[0].split("\n") == lines
+
+
+def test_formulas_are_text():
+    src = page("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> they say.</p></article>")
+    assert H.extract(src, [])[0] == "Energy is E=mc2 they say."
+
+
+HOSTILE = {
+    "stray end tags": "<i>" * 20000 + "</b>" * 20000 + "text",
+    "hidden end tags": "<b><div>" + "<i>" * 15000 + "</b>" * 15000 + "text",
+    "nested": "<div class='a b c'>" * 8000 + "text" + "</div>" * 8000,
+    "raw never closed": "<svg>" * 20000 + "text",
+    "list items": "<ul><li>" * 12000 + "text",
+    "articles": "<div><article>" * 7000 + "text",
+    "comments": "<div class=comment>" * 6000 + "text",
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_broken_markup_takes_linear_time_and_memory(name):
+    tracemalloc.start()
+    began = time.process_time()
+    text, path = H.extract(HOSTILE[name], [])
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 4 and peak < 100e6  # tracing makes it several times slower
+    assert text in ("text", "")
+
+
+def test_a_host_of_ten_templates(spark):
+    """Every page yields its article, by the path of its template, also where comments outweigh it."""
+    rows, want = [], {}
+    for i in range(60):
+        k = "abcdefghij"[i % 10]
+        lines = paragraphs(1 if i < 10 else 3, f"page {i}")
+        noise = p(paragraphs(12, "crowd")) if i < 10 else ""
+        rows.append((i, f"https://many.example/{i}", page(f'{NAV}<div class="tpl-{k}"><div class="body-{k}">{p(lines)}</div>'
+                                                          f'<div class="talk">{noise}</div></div>')))
+        want[i] = "\n".join(lines)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in H.op4_query(pages).collect()} == want
+
+
+def test_a_large_host_table_is_dealt_with_salt(spark, monkeypatch):
+    monkeypatch.setattr(H, "MOST_HOSTS", 0)
+    test_consensus_overrules_an_odd_page(spark)
+    test_edge_cases(spark)
