@@ -80,16 +80,20 @@ def insert_if_absent(events: DataFrame, path: str, run_id: str, batch_id: int,
                 .join(F.broadcast(own) if ids <= BROADCAST_IDS else own, "event_id", "left_semi"))
         batch = batch.join(hits.distinct(), "event_id", "left_anti")
     extra = [c for c in ("version", "change_seq") if c in batch.columns]
-    rows = to_table_rows(batch.select(*EVENT_COLUMNS, *extra)).withColumn(
-        "loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
+    inserted = write_partition(batch.select(*EVENT_COLUMNS, *extra), path, run_id, batch_id, loaded_at)
+    return {"offered": offered, "inserted": inserted, "duplicate": offered - inserted}
+
+
+def write_partition(events: DataFrame, path: str, run_id: str, batch_id: int, loaded_at=None) -> int:
+    """Events as the change table's partition of a batch, in order of file and time; their number."""
+    rows = to_table_rows(events).withColumn("loaded_at", loaded_at if loaded_at is not None else F.current_timestamp())
     rows = rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("long"))
     kept = Observation()
     rows = (rows.repartitionByRange("file_name", "event_timestamp").sortWithinPartitions("file_name", "event_timestamp")
             .observe(kept, F.count(F.lit(1)).alias("n")))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("run_id", "batch_id").parquet(path))
-    inserted = kept.get["n"]
-    return {"offered": offered, "inserted": inserted, "duplicate": offered - inserted}
+    return kept.get["n"]
 
 
 def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str, batch_id: int,

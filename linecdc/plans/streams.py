@@ -315,3 +315,61 @@ def q_batch_audit(spark, sf):
     finally:
         spark.streams.removeListener(listener)
     return P.batch_audit(spark, audit, table).drop("run_id")
+
+
+@register("stream_dedup_state", O.e_with() + f"select {TABLE_SQL_COLS} from firsts")
+def q_stream_dedup_state(spark, sf):
+    """K7: as ``stream_to_table``, with the ids seen so far in state; run twice on one checkpoint."""
+    rec = fx.log_records(spark, sf)
+    landing, table, dlq, ckpt = (scratch_path(spark, n) for n in ("landing", "table", "dlq", "ckpt"))
+    _land(rec.where(F.col("offset") < fx.REDELIVERY_OFFSET), landing + "/a")
+    _land(rec.where(F.col("offset") >= fx.REDELIVERY_OFFSET), landing + "/b")
+    for _ in range(2):
+        src = P.log_source(spark, path=landing + "/*", schema=rec.schema, max_per_trigger=2)
+        S.start_dedup_stream(src, table, dlq, ckpt, available_now=True).awaitTermination()
+    return _table_cols(sink.read_table(spark, table))
+
+
+# ---------------------------------------------------------------- stored history
+
+@register("snapshot_rebuild", O.with_(O.O_CTES, """
+s as (select *, dense_rank() over (partition by file_name order by version) save from o_lines)""") + """
+select file_name, version, cast(line_number as bigint) line_number, line from s where save > 1""")
+def q_snapshot_rebuild(spark, sf):
+    """Every second and third version of the order files, rebuilt from the first
+    one and the change events in between."""
+    from linecdc.operators import deltas
+    from linecdc.operators.diff import diff_versions
+
+    lines, path = fx.order_lines(spark, sf), scratch_path(spark, "history")
+    deltas.write_deltas(lines, materialize(diff_versions(lines), "events"), path, every=3)
+    later = spark.read.parquet(f"{path}/versions").where("save > 0")
+    return deltas.rebuild(spark, path, later)
+
+
+def _clustered(spark, sf):
+    from linecdc.operators.clustered import ClusteredTable, write_clustered
+    from linecdc.plans.registry import _change_table
+
+    path = scratch_path(spark, "clustered")
+    write_clustered(_change_table(spark, sf), path)
+    return ClusteredTable(spark, path)
+
+
+@register("lookup_operation_clustered", O.e_with() + f"""
+select {TABLE_SQL_COLS} from firsts where event_type = 'DELETE' and ts >= timestamp '2024-01-10' and ts < timestamp '2024-01-12'""")
+def q_lookup_operation_clustered(spark, sf):
+    """By operation and time, through the manifest of the clustered table."""
+    return _table_cols(_clustered(spark, sf).by_operation("DELETE", "2024-01-10 00:00:00", "2024-01-12 00:00:00").rows)
+
+
+@register("lookup_file_clustered", O.e_with() + f"select {TABLE_SQL_COLS} from firsts where file_name = 'user_7.log'")
+def q_lookup_file_clustered(spark, sf):
+    return _table_cols(_clustered(spark, sf).of_file("user_7.log").rows)
+
+
+@register("recent_changes_clustered", O.e_with() + f"""
+select {TABLE_SQL_COLS} from firsts order by "offset" >= 1000000 desc, ts desc, event_id limit 20""")
+def q_recent_changes_clustered(spark, sf):
+    """H1 from the files that end latest."""
+    return _table_cols(_clustered(spark, sf).newest(20).rows)

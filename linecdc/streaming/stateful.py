@@ -1,5 +1,6 @@
-"""Keyed state per file: debounce on a timer, and versions held until they are whole
-(K5, K6), as ``transformWithState`` processors over the RocksDB state store.
+"""Keyed state: debounce on a timer and versions held until they are whole (K5, K6), as
+``transformWithState`` processors, and the ids seen so far (K7), as an aggregation; all
+over the RocksDB state store.
 
 Rows are combined or packed before they are grouped, so a file that gets most of a
 batch's rows sends few and large ones; state lies on disk, in chunks of lines, and a
@@ -16,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from linecdc.operators.codec import LOG_COLUMNS, PAYLOAD, decode, validate
 from linecdc.operators.diff import diff_lines
-from linecdc.operators.sink import append_dlq, insert_if_absent
+from linecdc.operators.sink import append_dlq, insert_if_absent, write_partition
+from linecdc.schema import EVENT_COLUMNS
 from linecdc.session import materialize, ship_package
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -225,3 +228,44 @@ def start_keyed_diff_stream(lines: DataFrame, events_path: str, dlq_path: str, c
     w = released_versions(lines).writeStream.foreachBatch(released_batch_writer(
         events_path, dlq_path, run_id_for(lines.sparkSession, checkpoint), detected_at_fn)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)).start()
+
+
+# ---------------------------------------------------------------- K7
+
+def first_seen(records: DataFrame) -> DataFrame:
+    """Per batch, the records whose id no earlier batch had, over all time: event
+    columns, log columns, ``key``, ``value`` and ``reason`` (null if valid; a dead letter's
+    id is its log position). Of several in one batch the least position counts.
+
+    The state holds an id's first row and the times of its first and last batch. An id is
+    new if both are this batch's, so a batch asks the state for its own ids, and the
+    change table is never read, however long it has grown."""
+    tagged = validate(decode(records))
+    columns = [F.col(c) for c in (*EVENT_COLUMNS, *(c for c in (*PAYLOAD, *LOG_COLUMNS) if c in tagged.columns), "reason")]
+    place = F.struct(*[F.coalesce(F.col(c).cast("long"), F.lit((1 << 63) - 1)) for c in ("partition", "offset")])
+    key = F.when(F.col("reason").isNull(), F.concat(F.lit("id:"), "event_id")).otherwise(
+        F.concat_ws(":", F.lit("at"), F.coalesce("topic", F.lit("")), F.col("partition").cast("string"), F.col("offset").cast("string")))
+    rows = tagged.select(key.alias("_id"), F.struct(*columns).alias("row"), place.alias("place"), F.current_timestamp().alias("now"))
+    seen = rows.groupBy("_id").agg(F.min_by("row", "place").alias("first"), F.min("now").alias("since"), F.max("now").alias("last"))
+    return seen.where(F.col("since") == F.col("last")).select("first.*")
+
+
+def start_dedup_stream(records: DataFrame, table_path: str, dlq_path: str, checkpoint: str, available_now: bool = False,
+                       processing_time: str = "10 seconds") -> StreamingQuery:
+    """K4/K7: the log -> change table stream without a look at the table: what is new is
+    known from state. The table must be this query's own (its state knows no other
+    writer's ids). A replayed batch writes its partition again."""
+    from linecdc.streaming.pipelines import run_id_for
+
+    use_state_store(records.sparkSession)
+    run_id = run_id_for(records.sparkSession, checkpoint)
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        new = materialize(batch_df, "first-seen")
+        append_dlq(new.where(F.col("reason").isNotNull()), dlq_path, run_id, batch_id)
+        rows = new.where(F.col("reason").isNull())
+        if not rows.isEmpty():
+            write_partition(rows.select(*EVENT_COLUMNS), table_path, run_id, batch_id)
+
+    w = first_seen(records).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)).start()

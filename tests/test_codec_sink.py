@@ -89,9 +89,44 @@ def test_empty_batch_noop(spark, table):
     assert c["offered"] == 0
 
 
-def test_sink_writer_unknown_format():
-    with pytest.raises(ValueError):
-        sink.sink_writer("sqlite")
+def test_target_by_name(spark, table):
+    targets = {"dev": {"format": "parquet", "path": table}, "odd": {"format": "sqlite"}}
+    write = sink.sink_writer("dev", targets)
+    assert write(_valid(spark, EV), "r", 0)["inserted"] == 1 and write(_valid(spark, EV), "r", 1)["inserted"] == 0
+    assert sink.read_table(spark, table).count() == 1
+    for name in ("prod", "odd"):
+        with pytest.raises(ValueError):
+            sink.sink_writer(name, targets)
+
+
+def test_merge_statement_inserts_what_is_absent():
+    """The statement, run by a database that knows MERGE."""
+    import duckdb
+
+    db = duckdb.connect()
+    cols = ", ".join(f"{c} {'integer' if c == 'line_number' else 'varchar'}" for c in EVENT_COLUMNS)
+    for name in ("change_events", "change_events_staging"):
+        db.execute(f"create table {name} ({cols}, loaded_at varchar)")
+    row = lambda i, v: (f"e{i}", "f.txt", None, v, "INSERT", i, "2024-01-01", "now")
+    put = "insert into {} values (?, ?, ?, ?, ?, ?, ?, ?)"
+    db.executemany(put.format("change_events"), [row(1, "first"), row(2, "kept")])
+    db.executemany(put.format("change_events_staging"), [row(2, "later"), row(3, "new")])
+    for _ in range(2):  # a replay changes nothing
+        db.execute(sink.merge_sql("change_events", "change_events_staging"))
+    assert db.execute("select event_id, new_value from change_events order by 1").fetchall() == [
+        ("e1", "first"), ("e2", "kept"), ("e3", "new")]
+
+
+def test_first_wins_keeps_ids_without_a_position(spark):
+    rows = [("a", "x", None, 1), ("b", "y", 0, 2), ("c", "z", 0, None), ("d", "later", None, 0), ("d", "first", 3, 9)]
+    df = spark.createDataFrame(rows, "event_id string, new_value string, partition int, offset long")
+    assert {r.event_id: r.new_value for r in sink.first_wins(df).collect()} == {"a": "x", "b": "y", "c": "z", "d": "first"}
+
+
+def test_first_wins_has_one_exchange(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id % 7 as string) event_id", "id offset", "0 partition").write.parquet(str(tmp_path / "t"))
+    plan = sink.first_wins(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "WindowGroupLimit" in plan
 
 
 def test_snapshot_advance_and_compaction(spark):
