@@ -2,8 +2,9 @@
 
 1. A naive Bayes classifier over hashed words is fitted on a labelled table
    (doc_id, domain), from at most about ``PER_DOMAIN`` documents of each domain.
-   Its log weights are a table of ``BUCKETS`` rows, broadcast to all texts; each
-   document gets a posterior p over the domains. The evidence of a text counts as
+   Its log weights, against those of the first domain, are arrays of ``BUCKETS``
+   numbers in the plan, looked up where the words are; each document gets a posterior
+   p over the domains. The evidence of a text counts as
    that of ``EVIDENCE`` words at most, so long mixed texts stay soft.
 2. A document of n words that is taken at rate r brings n * r * p[k] expected
    words to domain k. Rates r >= floor are fitted by projected gradient descent on
@@ -27,6 +28,7 @@ rows. Only DataFrame functions run on the data.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,18 +44,19 @@ STEPS, CUT, TOLERANCE = 60, 6, 1e-3
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.translate(text, "\n\t\r", "   "), " ")
+    return F.split(text, "[ \n\t\r]")
 
 
 def bucket_of(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS))
+    """1 .. BUCKETS; 0 for the empty word, which weighs nothing."""
+    return F.when(word == "", 0).otherwise(F.pmod(F.xxhash64(word), F.lit(BUCKETS)) + 1).cast("int")
 
 
 @dataclass
 class Classifier:
     domains: list[str]
     prior: list[float]  # log
-    weights: DataFrame | None  # bucket, w0 .. wK-1: BUCKETS rows
+    weights: list[list[float]]  # of each domain but the first: log weight of buckets 0 .. BUCKETS against the first's
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> Classifier:
@@ -76,32 +79,30 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> C
     totals = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     domains = sorted(totals)
     if not domains:
-        return Classifier(["all"], [0.0], None)
+        return Classifier(["all"], [0.0], [])
     per = counts.groupBy("bucket").agg(*[F.sum(F.when(F.col("domain") == d, F.col("n"))).alias(f"n{k}")
                                          for k, d in enumerate(domains)])
-    logp = lambda k, d: F.log((F.coalesce(F.col(f"n{k}"), F.lit(0)) + ALPHA) / (totals[d] + ALPHA * BUCKETS)).alias(f"w{k}")
-    weights = spark.range(BUCKETS).select(F.col("id").alias("bucket")).join(per, "bucket", "left").select(
-        "bucket", *[logp(k, d) for k, d in enumerate(domains)])
-    from math import log
-    return Classifier(domains, [log(held[d] / sum(held[x] for x in domains)) for d in domains],
-                      materialize(weights, "mix-weights"))
+    seen = {r["bucket"]: [r[f"n{k}"] or 0 for k in range(len(domains))] for r in per.collect()}  # BUCKETS rows at most
+    none = [0] * len(domains)
+    logp = lambda b, k: log((seen.get(b, none)[k] + ALPHA) / (totals[domains[k]] + ALPHA * BUCKETS))
+    weights = [[0.0, *(logp(b, k) - logp(b, 0) for b in range(1, BUCKETS + 1))] for k in range(1, len(domains))]
+    return Classifier(domains, [log(held[d] / sum(held[x] for x in domains)) for d in domains], weights)
 
 
 def posteriors(docs: DataFrame, c: Classifier) -> DataFrame:
     """(doc_id, h, n, p0 .. pK-1) of every row of (doc_id, text); h is a hash of the text."""
     text = text_or_empty()
     rows = (docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-            .select("doc_id", F.xxhash64("text").alias("h"), "row", F.explode(words_of(F.col("text"))).alias("w")))
-    full = F.col("w") != ""
-    if c.weights is None:
-        return (rows.groupBy("row", "doc_id", "h").agg(F.sum(full.cast("long")).alias("n"))
-                .select("doc_id", "h", "n", F.lit(1.0).alias("p0")))
+            .select("doc_id", F.xxhash64("text").alias("h"), "row", F.explode(words_of(F.col("text"))).alias("w"))
+            .select("doc_id", "h", "row", bucket_of(F.col("w")).alias("b")))
+    # One constant array a domain: a string that is split when the plan is optimised, once.
+    table = [F.split(F.lit(" ".join(map(repr, w))), " ").cast("array<double>") for w in c.weights]
+    sums = rows.groupBy("row", "doc_id", "h").agg(
+        F.count_if(F.col("b") > 0).alias("n"), *[F.sum(F.get(t, F.col("b"))).alias(f"s{k}") for k, t in enumerate(table, 1)])
     ks = range(len(c.domains))
-    sums = (rows.withColumn("bucket", bucket_of(F.col("w"))).join(F.broadcast(c.weights), "bucket")  # BUCKETS rows
-            .groupBy("row", "doc_id", "h")
-            .agg(F.sum(full.cast("long")).alias("n"), *[F.sum(F.when(full, F.col(f"w{k}")).otherwise(0.0)).alias(f"s{k}") for k in ks]))
-    seen = F.least(F.col("n"), F.lit(EVIDENCE)) / F.greatest(F.col("n"), F.lit(1))
-    logits = sums.select("doc_id", "h", "n", *[(F.lit(c.prior[k]) + F.col(f"s{k}") * seen).alias(f"l{k}") for k in ks])
+    evidence = F.least(F.col("n"), F.lit(EVIDENCE)) / F.greatest(F.col("n"), F.lit(1))
+    logits = sums.select("doc_id", "h", "n", F.lit(0.0).alias("l0"), *[
+        (F.lit(c.prior[k] - c.prior[0]) + F.col(f"s{k}") * evidence).alias(f"l{k}") for k in ks[1:]])
     top = F.greatest(*[F.col(f"l{k}") for k in ks]) if len(c.domains) > 1 else F.col("l0")
     e = logits.select("doc_id", "h", "n", *[F.exp(F.col(f"l{k}") - top).alias(f"e{k}") for k in ks])
     z = sum((F.col(f"e{k}") for k in ks), F.lit(0.0))
@@ -129,6 +130,11 @@ class Mix:
     reached: list[float]
     steps: int
 
+    @property
+    def residual(self) -> float:
+        """The largest distance of a domain from its target, as a share of all words wanted."""
+        return max((abs(a - b) for a, b in zip(self.reached, self.targets)), default=0.0) / max(1.0, sum(self.targets))
+
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5,
         floor: float = 0.0, budget: float | None = None) -> Mix:
@@ -176,7 +182,8 @@ def op7_query(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return m.table.select(
         "doc_id", F.col("n").alias("n_words"), best["domain"].alias("domain"), best["p"].alias("p_domain"),
         F.to_json(F.struct(*[F.round(x, 6).alias(d) for d, x in zip(m.domains, p)])).alias("posterior"),
-        "rate", copies(F.col("rate"), "doc_id", "h").alias("copies"))
+        "rate", copies(F.col("rate"), "doc_id", "h").alias("copies"),
+        F.lit(m.steps).alias("steps"), F.lit(float(m.residual)).alias("residual"))
 
 
 def lang_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
