@@ -432,9 +432,11 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, tar
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(rows.withColumn("h", text_key(F.col("text"))).mapInArrow(_sign(runs_for(target, depth), threshold, n, depth), SIGNED), "path-sets")
     members = materialize(
-        signed.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
-                                  F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "path-members")
-    small = members.select("sid", "rep", "copies", "n")
+        signed.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first"),
+                                  F.count("*").alias("copies"), F.first("n").alias("n"),
+                                  F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+        .withColumns({"rep": F.col("first.doc_id"), "rep_h": F.col("first.h")}).drop("first"), "path-members")
+    small = members.select("sid", "rep", "rep_h", "copies", "n")
 
     in_leaves = leaves(members, depth, leaf).join(members.select("sid", "n", "sketch"), "sid")
     pairs = _blocks(in_leaves, "node", F.when(F.col("size") > leaf, F.ceil(F.col("size") / block)).otherwise(F.lit(1)))
@@ -444,13 +446,16 @@ def join_rows(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, tar
                            .withColumnRenamed("root", "cluster").join(small, "sid"), "path-clusters")
     sizes = clusters.groupBy("cluster").agg(F.greatest(
         F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_tokens)).cast("int").alias("blocks"))
-    wanted = clusters.join(sizes, "cluster").select("sid", "cluster", "blocks", "copies", F.col("rep").alias("doc_id"))
+    wanted = clusters.join(sizes, "cluster").select("sid", "cluster", "blocks", "copies", "rep", "rep_h")
 
     # The texts of the candidates: they go to the texts while they are known to be few.
     wanted = materialize(wanted, "path-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    by_doc = wanted.select(F.col("doc_id"), F.col("sid").alias("want")).withColumn("doc_id", F.col("doc_id"))
-    texts = rows.join(F.broadcast(by_doc) if few else by_doc, rows["doc_id"].eqNullSafe(by_doc["doc_id"])).select("text", "want")
+    by_doc = wanted.select("rep", "rep_h", F.col("sid").alias("want"))
+    keyed = rows.withColumn("h", text_key(F.col("text")))
+    # By id and text: rows that share an id, or have none, meet the one set that is theirs.
+    same = (keyed["h"] == by_doc["rep_h"]) & keyed["doc_id"].eqNullSafe(by_doc["rep"])
+    texts = keyed.join(F.broadcast(by_doc) if few else by_doc, same).select("text", "want")
     sets = (texts.mapInArrow(_tokens(n), "sid binary, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens")))
     dealt = _blocks(sets.join(wanted, "sid"), "cluster", F.col("blocks"))
     exact = materialize(

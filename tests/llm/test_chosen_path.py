@@ -111,3 +111,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Each text meets its own set only: links and classes as with ids of their own."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) + (" tail" if k else "") for i in range(150) for k in (0, 1)]
+    for ids in ([None] * len(texts), [7] * len(texts)):
+        df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+        rows = C.join_rows(df).collect()
+        assert len(rows) == 300 and {r["n_links"] for r in rows} == {1} and len({r["root"] for r in rows}) == 150
+        kept = C.heads(df).collect()
+        assert len(kept) == 150 and {r["copies"] for r in kept} == {1}
