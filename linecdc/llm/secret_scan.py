@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linecdc.llm.common import text_or_empty
-from linecdc.session import scratch_path
+from linecdc.session import materialize, scratch_path
 
 
 @dataclass(frozen=True)
@@ -138,7 +138,10 @@ class Ledger:
         """Scan what is new in ``versions`` (path, version, text); returns (path,
         version, blob) joined with nothing yet: give it to ``by_path``."""
         keyed = blobs_of(versions)
-        todo = unseen(keyed, self.scanned(), rules)
+        # Written once: what is scanned and what is then marked as scanned are the same rows.
+        todo = materialize(unseen(keyed, self.scanned(), rules), "secret-todo")
+        if todo.isEmpty():  # nothing new: no text is read
+            return keyed.select("path", "version", "blob")
         k, t = keyed.alias("k"), todo.alias("t")
         holder = F.col("k.path").eqNullSafe(F.col("t.path")) & F.col("k.version").eqNullSafe(F.col("t.version"))
         texts = k.join(t, (F.col("k.blob") == F.col("t.blob")) & holder).select("k.blob", "t.kinds", "k.text")
