@@ -12,8 +12,8 @@ n-grams' rows and summing them per document in numpy.
 
 Nulls and edge cases: a null text or one without a letter is ``und`` with score
 0.0; a model without any language (an empty training set) says ``und`` for all;
-very long texts are scored in pieces of ``SLICE`` characters whose sums are added
-(a cut counts as a word boundary); ties go to the language that sorts first; rows with a null
+a text longer than ``SLICE`` characters is read in pieces that hand on their last two
+symbols, so every n-gram counts once, as in one piece; ties go to the language that sorts first; rows with a null
 language are scored but not learned from; extra columns pass through.
 """
 
@@ -58,42 +58,64 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], of[keep]
 
 
+def _buckets(c: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the bigram and of the trigram that starts at each symbol."""
+    two = c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)
+    three = (two[:-1] ^ c[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
+    shift = np.uint32(32 - int(buckets).bit_length() + 1)
+    return two * np.uint32(0x165667B1) >> shift, three >> shift
+
+
 def ngrams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every bigram and trigram, as a sparse batch."""
     c, of = _stream(texts)
     if len(c) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    two = c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)
-    three = (two[:-1] ^ c[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
-    two = two * np.uint32(0x165667B1)
-    shift = np.uint32(32 - int(buckets).bit_length() + 1)
+    two, three = _buckets(c, buckets)
     ok2, ok3 = of[:-1] == of[1:], of[:-2] == of[2:]
-    b = np.concatenate([(two >> shift)[ok2], (three >> shift)[ok3]])
+    b = np.concatenate([two[ok2], three[ok3]])
     return b.astype(np.int64), np.concatenate([of[:-1][ok2], of[:-2][ok3]])
 
 
-def _pieces(texts: list[str], size: int = SLICE) -> Iterator[tuple[list[str], list[int]]]:
-    """Batches of about ``size`` characters with the texts' numbers; a longer text
-    comes as several pieces with the same number."""
-    out, ids, n = [], [], 0
+def _of_long(text: str, size: int, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Buckets of every bigram and trigram of a long text, piece by piece."""
+    held = np.array([32], np.uint32)
+    for at in range(0, len(text), size):
+        piece = text[at:at + size] + " " * (at + size >= len(text))
+        c = np.r_[held, _letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)]]
+        c = c[np.r_[True, (c[1:] != 32) | (c[:-1] != 32)]]
+        if len(c) > 1:
+            two, three = _buckets(c, buckets)
+            yield np.concatenate([two[len(held) - 1:], three]).astype(np.int64)  # what lies in ``held`` has been counted
+        held = c[-2:]
+
+
+def _batches(texts: list[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ngrams`` of all texts, by about ``size`` characters; numbers are those in ``texts``."""
+    part: list[int] = []
+    n = 0
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), size):
-            out.append(t[at:at + size])
-            ids.append(i)
-            n += len(out[-1]) + 2
-            if n >= size:
-                yield out, ids
-                out, ids, n = [], [], 0
-    if out:
-        yield out, ids
+        if len(t) > size:
+            for b in _of_long(t, size):
+                yield b, np.full(len(b), i)
+            continue
+        part.append(i)
+        n += len(t) + 2
+        if n >= size or i == len(texts) - 1:
+            b, of = ngrams([texts[j] for j in part])
+            yield b, np.asarray(part)[of]
+            part, n = [], 0
+    if part:
+        b, of = ngrams([texts[j] for j in part])
+        yield b, np.asarray(part)[of]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for lang, g in pdf.groupby("lang"):
             total = np.zeros(BUCKETS, dtype=np.int64)
-            for texts, _ in _pieces(g["text"].tolist()):
-                total += np.bincount(ngrams(texts)[0], minlength=BUCKETS)
+            for b, _ in _batches(g["text"].tolist(), SLICE):
+                total += np.bincount(b, minlength=BUCKETS)
             hit = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "bucket": hit, "n": total[hit]})
 
@@ -134,14 +156,13 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], np.nd
     if not k:
         return ["und"] * len(texts), np.zeros(len(texts))
     total = np.tile(model.prior, (len(texts), 1))
-    for part, ids in _pieces(texts):
-        b, of = ngrams(part)
+    for b, of in _batches(texts, SLICE):
         order = np.argsort(of, kind="stable")
         b, of = b[order], of[order]
         if len(of):
             starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             sums = np.add.reduceat(model.logp[b], starts, axis=0, dtype=np.float64)
-            np.add.at(total, np.asarray(ids)[of[starts]], sums)
+            np.add.at(total, of[starts], sums)
     best = total.argmax(1)
     top = total[np.arange(len(texts)), best]
     post = 1.0 / np.exp(total - top[:, None]).sum(1)
