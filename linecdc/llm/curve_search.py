@@ -107,8 +107,8 @@ def fit(sample: np.ndarray, k: int, curves: int = CURVES, target: float = TARGET
         scale[c] = (1 << BITS) / width
         low[c] = lo - rng.random(dims) * width / 3  # a random shift of the grid
     index = Index(axes, low, scale, np.empty((curves, 0), np.int64), 0)
-    if n <= 64 * (k + 1):
-        return index  # one cell
+    if n <= 64 * (k + 1):  # one cell, so one curve
+        return Index(axes[:1], low[:1], scale[:1], index.bounds[:1], 0)
     at = np.stack([index.keys(sample, c) for c in range(curves)])
     rank = np.argsort(np.lexsort((np.broadcast_to(np.arange(n), at.shape), at), axis=-1), axis=-1) / n
     q = rng.permutation(n)[:SAMPLE_QUERIES]
@@ -168,12 +168,18 @@ def _rerank(k: int) -> callable:
             x, rid = _matrix(base["v"]), base["rid"].to_numpy()
             order = np.argsort(rid)
             x, rid = x[order], rid[order]
+            base_v = x
             want = min(len(rid), 2 * (k + 1))
+            # Distances from the cell's mean: a cell is small, so squares hardly cancel
+            # however far from the origin it lies.
+            middle = x.mean(0)
+            x = x - middle
             for a in range(0, queries.num_rows, 512):
                 part = queries.slice(a, 512)
-                q, qid = _matrix(part["v"]), part["rid"].to_numpy()
+                own, qid = _matrix(part["v"]), part["rid"].to_numpy()
+                q = own - middle
                 near = np.sort(_brute(q, x, want - 1)[:, :want], axis=1)
-                d = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(2))
+                d = np.sqrt(((base_v[near] - own[:, None, :]) ** 2).sum(2))  # of the vectors as they are
                 best = np.argsort(d, axis=1, kind="stable")[:, :k + 1]
                 out.append((np.repeat(qid, best.shape[1]), rid[np.take_along_axis(near, best, 1)].ravel(),
                             np.take_along_axis(d, best, 1).ravel()))

@@ -75,3 +75,17 @@ def test_hilbert_order_is_a_walk():
     assert sorted(key) == list(range(512))
     walk = grid[np.argsort(key)].astype(int)
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
+def test_vectors_far_from_the_origin(spark):
+    """The rerank chooses among neighbours whose squares cancel: all in one cell."""
+    rng = np.random.default_rng(2)
+    x = 1e8 + rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in C.search(df, lambda c: c % 20 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [v for _, v in sorted(found)] == np.argsort(d, kind="stable")[:5].tolist()
