@@ -2,9 +2,8 @@
 
 1. A naive Bayes classifier over hashed words is fitted on a labelled table
    (doc_id, domain), from at most about ``PER_DOMAIN`` documents of each domain.
-   Its log weights, against those of the first domain, are arrays of ``BUCKETS``
-   numbers in the plan, looked up where the words are; each document gets a posterior
-   p over the domains. The evidence of a text counts as
+   Its log weights, against those of the first domain, are a table of ``BUCKETS`` rows,
+   broadcast to all texts; each document gets a posterior p over the domains. The evidence of a text counts as
    that of ``EVIDENCE`` words at most, so long mixed texts stay soft.
 2. A document of n words that is taken at rate r brings n * r * p[k] expected
    words to domain k. Rates r >= floor are fitted by projected gradient descent on
@@ -56,7 +55,7 @@ def bucket_of(word: Column) -> Column:
 class Classifier:
     domains: list[str]
     prior: list[float]  # log
-    weights: list[list[float]]  # of each domain but the first: log weight of buckets 0 .. BUCKETS against the first's
+    weights: DataFrame | None  # b (0 .. BUCKETS), w1 .. wK-1: log weights against the first domain's
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> Classifier:
@@ -79,26 +78,26 @@ def fit(docs: DataFrame, labelled: DataFrame, per_domain: int = PER_DOMAIN) -> C
     totals = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
     domains = sorted(totals)
     if not domains:
-        return Classifier(["all"], [0.0], [])
-    per = counts.groupBy("bucket").agg(*[F.sum(F.when(F.col("domain") == d, F.col("n"))).alias(f"n{k}")
-                                         for k, d in enumerate(domains)])
-    seen = {r["bucket"]: [r[f"n{k}"] or 0 for k in range(len(domains))] for r in per.collect()}  # BUCKETS rows at most
-    none = [0] * len(domains)
-    logp = lambda b, k: log((seen.get(b, none)[k] + ALPHA) / (totals[domains[k]] + ALPHA * BUCKETS))
-    weights = [[0.0, *(logp(b, k) - logp(b, 0) for b in range(1, BUCKETS + 1))] for k in range(1, len(domains))]
-    return Classifier(domains, [log(held[d] / sum(held[x] for x in domains)) for d in domains], weights)
+        return Classifier(["all"], [0.0], None)
+    per = counts.groupBy(F.col("bucket").alias("b")).agg(*[F.sum(F.when(F.col("domain") == d, F.col("n"))).alias(f"n{k}")
+                                                           for k, d in enumerate(domains)])
+    logp = lambda k: F.log((F.coalesce(F.col(f"n{k}"), F.lit(0)) + ALPHA) / (totals[domains[k]] + ALPHA * BUCKETS))
+    weights = spark.range(BUCKETS + 1).select(F.col("id").cast("int").alias("b")).join(per, "b", "left").select(
+        "b", *[F.when(F.col("b") == 0, 0.0).otherwise(logp(k) - logp(0)).alias(f"w{k}") for k in range(1, len(domains))])
+    return Classifier(domains, [log(held[d] / sum(held[x] for x in domains)) for d in domains], materialize(weights, "mix-weights"))
 
 
 def posteriors(docs: DataFrame, c: Classifier) -> DataFrame:
     """(doc_id, h, n, p0 .. pK-1) of every row of (doc_id, text); h is a hash of the text."""
     text = text_or_empty()
-    rows = (docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("row"))
-            .select("doc_id", F.xxhash64("text").alias("h"), "row", F.explode(words_of(F.col("text"))).alias("w"))
+    # The text's hash is taken below the explode: beside it, it would be taken for every word.
+    rows = (docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+            .select("doc_id", "h", "row", F.explode(words_of(F.col("text"))).alias("w"))
             .select("doc_id", "h", "row", bucket_of(F.col("w")).alias("b")))
-    # One constant array a domain: a string that is split when the plan is optimised, once.
-    table = [F.split(F.lit(" ".join(map(repr, w))), " ").cast("array<double>") for w in c.weights]
+    if c.weights is not None:
+        rows = rows.join(F.broadcast(c.weights), "b")  # BUCKETS rows
     sums = rows.groupBy("row", "doc_id", "h").agg(
-        F.count_if(F.col("b") > 0).alias("n"), *[F.sum(F.get(t, F.col("b"))).alias(f"s{k}") for k, t in enumerate(table, 1)])
+        F.count_if(F.col("b") > 0).alias("n"), *[F.sum(f"w{k}").alias(f"s{k}") for k in range(1, len(c.domains))])
     ks = range(len(c.domains))
     evidence = F.least(F.col("n"), F.lit(EVIDENCE)) / F.greatest(F.col("n"), F.lit(1))
     logits = sums.select("doc_id", "h", "n", F.lit(0.0).alias("l0"), *[
