@@ -9,10 +9,11 @@ is one run). Documents with equal sets are one member with a count.
    child node, where the set picks again. Two sets over the threshold share at
    least one pick per node on average, others share few. A node that one set
    reaches alone is dropped; one with up to ``LEAF`` sets is a leaf; larger ones
-   split again, down to ``DEPTH``. ``runs_for`` gives the runs for a target recall.
+   split again, down to ``DEPTH``, but for those whose children would hold the same
+   sets again (near copies): they are leaves too. ``runs_for`` gives the runs for a target recall.
 2. *Candidates.* In a leaf all pairs are compared by their sketches (64 minima of
-   16 bits each) and the connected ones go on. A leaf that is large at the last
-   depth is cut into blocks, and all pairs of blocks are compared.
+   16 bits each) and the connected ones go on. A leaf that is large is cut into
+   blocks, and all pairs of blocks are compared.
 3. *Brute force.* Components of candidates are the buckets in which all pairs are
    compared exactly, over whole sets, by a product of 0/1 matrices; large ones
    again in pairs of blocks. Each set is shuffled once (times its bucket's blocks).
@@ -50,6 +51,7 @@ from linecdc.session import materialize
 
 NGRAM, THRESHOLD = 5, 0.8
 TARGET, DEPTH, LEAF = 0.999, 3, 512
+SOME = 16  # one member in so many tells whether a large node divides
 BLOCK, BLOCK_TOKENS = 1024, 2_000_000  # members and tokens of a block in pairwise comparisons
 SKETCH = 64
 SLICE = 1 << 20  # characters hashed at once
@@ -220,6 +222,16 @@ def _sign(runs: int, threshold: float, n: int, depth: int) -> Callable:
     return run
 
 
+def cohesive(deeper: DataFrame, large: DataFrame) -> DataFrame:
+    """(node) of large nodes that a split would not divide, as in a group of near copies:
+    of the picks of their members (one in ``SOME``, by a hash; the finding decides on the
+    way only), four in five go to children that hold at least half of the members."""
+    some = deeper.where(F.pmod(F.xxhash64("sid"), F.lit(SOME)) == 0).select("sid", F.col("up").alias("of"), "node")
+    kids = some.join(large.select(F.col("node").alias("of"), "size"), "of").groupBy("of", "size", "node").agg(F.count("*").alias("n"))
+    held = F.sum(F.when(2 * SOME * F.col("n") >= F.col("size"), F.col("n")).otherwise(0))
+    return kids.groupBy("of").agg((held >= 0.8 * F.sum("n")).alias("alike")).where("alike").select(F.col("of").alias("node"))
+
+
 def leaves(members: DataFrame, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """(node, size, sid) of all leaves with at least two members."""
     paths = members.select("sid", F.explode("paths").alias("p")).select("sid", "p.*")
@@ -233,9 +245,13 @@ def leaves(members: DataFrame, depth: int = DEPTH, leaf: int = LEAF) -> DataFram
         if d > 1:  # few by now, and read twice
             here = materialize(here, "path-nodes")
         size = materialize(here.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1), "path-sizes")
-        ends = size.where(F.col("size") <= leaf) if d < depth else size
+        ends = size
+        if d < depth:
+            large = size.where(F.col("size") > leaf)
+            alike = materialize(cohesive(paths.where(F.col("depth") == d + 1), large), "path-alike")
+            above = large.join(alike, "node", "left_anti").select(F.col("node").alias("up"))
+            ends = size.join(above, size["node"] == above["up"], "left_anti")
         found.append(here.join(ends, "node"))
-        above = size.where(F.col("size") > leaf).select(F.col("node").alias("up"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
