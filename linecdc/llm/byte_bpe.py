@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from linecdc.llm.common import shuffle_parts
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 STEP_WORDS = 200_000  # words put together at once
 # A row of texts has its block as the key, bucket -1, the texts' ids, the number of
 # words of each text, the words' ranks, and the bucket of every rank. A row of
