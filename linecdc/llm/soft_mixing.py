@@ -155,7 +155,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     active = [i for i in range(k) if totals[i] > 0]
     while steps < STEPS and any(abs(reached[i] - targets[i]) > TOLERANCE * max(targets[i], 1.0) for i in active):
         step = sum((F.col(f"p{i}") * ((reached[i] - targets[i]) / totals[i]) for i in active), F.lit(0.0))
-        rate = F.when(F.col("n") > 0, F.greatest(F.lit(float(floor)), rate - step)).otherwise(rate)
+        # The rate stands here once: a plan of several steps grows with their number only.
+        rate = F.greatest(F.lit(float(floor)), rate - F.when(F.col("n") > 0, step).otherwise(0.0))
         steps += 1
         if steps % CUT == 0:
             table = materialize(table.withColumn("rate", rate), "mix-rates")
