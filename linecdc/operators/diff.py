@@ -8,7 +8,9 @@ with, so ``(file_name, version)`` keys one comparison.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +121,39 @@ def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column |
     return events_from_changes(changes, detected_at)
 
 
+CHANGES = ("file_name string, version long, event_type string, line_number int, old_value string, new_value string, "
+           "change_seq long")
+
+
+def _changes_of_file(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """The changes of one file's two line lists, in order."""
+    a, b = (side.sort_values("line_number")["line"].tolist() for side in (old, new))
+    rows = []
+    for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        for k in range(0 if tag == "equal" else max(i2 - i1, j2 - j1)):
+            i, j = i1 + k, j1 + k
+            kind = UPDATE if i < i2 and j < j2 else DELETE if i < i2 else INSERT
+            rows.append((*key, kind, (i if kind == DELETE else j) + 1, a[i] if i < i2 else None, b[j] if j < j2 else None, len(rows) + 1))
+    return pd.DataFrame(rows, columns=["file_name", "version", "event_type", "line_number", "old_value", "new_value", "change_seq"])
+
+
+def diff_per_file(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column | None = None,
+                  max_lines: int = 20_000) -> DataFrame:
+    """L2: the events of ``diff_lines`` by a function of one file's two line lists, for
+    many small files: one job instead of rounds of jobs. A task holds the lists of one
+    file, so files with more than ``max_lines`` on a side go through ``diff_lines``."""
+    old, new = (side.where(F.col("line_number").isNotNull()) for side in (old, new))
+    changed = materialize(compare_versions(old, new).where("changed"), "changed")
+    fits = F.greatest("old_lines", "new_lines") <= max_lines
+    few = F.broadcast if changed.count() <= BROADCAST_FILES else (lambda df: df)
+    own = lambda df, which: df.join(few(changed.where(which).select(*KEYS)), KEYS, "left_semi").select(*KEYS, "line_number", "line")
+    changes = own(old, fits).groupBy(*KEYS).cogroup(own(new, fits).groupBy(*KEYS)).applyInPandas(_changes_of_file, CHANGES)
+    events = events_from_changes(changes, detected_at)
+    if changed.where(~fits).isEmpty():
+        return events
+    return events.unionByName(diff_lines(own(old, ~fits), own(new, ~fits), detected_at))
+
+
 def version_pairs(lines: DataFrame) -> DataFrame:
     """Each version of a file with the previous version (null for the first).
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from linecdc.functions.text import ISO_FORMAT, base_name, extension, join_lines, splitlines
 from linecdc.operators import codec, query, sink
 from linecdc.operators.detect import detect_changes
-from linecdc.operators.diff import apply_changes, compare_versions, diff_lines, diff_versions, pair_versions
+from linecdc.operators.diff import apply_changes, compare_versions, diff_lines, diff_per_file, diff_versions, pair_versions
 from linecdc.operators.matching import (KEYS, factorised_pairs, match_lines, pair_counts, pairs_in_range, prepare,
                                         unique_pairs)
 from linecdc.plans import oracle as O
@@ -197,6 +197,9 @@ D_EVENTS_SQL = O.d_events()
 
 register("diff_events_docs", D_EVENTS_SQL + " select * from events")(
     lambda spark, sf: _d_events(spark, sf).select(*EV_OUT))
+# L2: the same events by a function of one file's two lists.
+register("diff_events_per_file", D_EVENTS_SQL + " select * from events")(
+    lambda spark, sf: diff_per_file(*fx.document_sides(spark, sf), fx.version_time(F.col("version"))).select(*EV_OUT))
 for _name, _t in (("diff_updates", "UPDATE"), ("diff_inserts", "INSERT"), ("diff_deletes", "DELETE")):
     register(_name, D_EVENTS_SQL + f" select * from events where event_type = '{_t}'")(
         (lambda t: lambda spark, sf: _d_events(spark, sf).where(F.col("event_type") == t).select(*EV_OUT))(_t))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import lines_df
-from linecdc.operators.diff import diff_lines
+from linecdc.operators.diff import diff_lines, diff_per_file
 
 
 def blocks(old, new, a, b, c, d):
@@ -90,3 +90,15 @@ def test_event_ids_deterministic(spark):
     a = diff_lines(old, new).select("event_id").collect()
     b = diff_lines(old, new).select("event_id").collect()
     assert a == b and len(a) == 1
+
+
+@pytest.mark.parametrize("max_lines", [20_000, 3])
+def test_per_file_function_gives_the_same_events(spark, events, max_lines):
+    """Files above the limit go through the rounds; the events are those of both ways."""
+    old = lines_df(spark, {k: v[0] for k, v in CASES.items()})
+    new = lines_df(spark, {k: v[1] for k, v in CASES.items()})
+    got = {}
+    for r in diff_per_file(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp"), max_lines).collect():
+        got.setdefault(r.file_name, []).append(r)
+    key = lambda r: r.change_seq
+    assert {k: sorted(v, key=key) for k, v in got.items()} == {k: sorted(v, key=key) for k, v in events.items()}
