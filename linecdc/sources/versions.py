@@ -1,7 +1,7 @@
 """Text files as line rows, in batch and as a stream (A1, A3).
 
-``TextVersions`` is a Spark data source. A file is read in byte ranges, each a task of
-its own, so a file of any size is read in parallel; small files share a task.
+``TextVersions`` is a Spark data source. A file is read in byte ranges, so a file of any
+size is read in parallel; small files and small ranges share a task.
 
 *Lines.* A line belongs to the range in which it starts. A range looks three bytes back,
 as many as the longest terminator has, to learn whether its first byte starts a line,
@@ -41,7 +41,9 @@ from linecdc.operators.sink import _exists
 from linecdc.session import materialize, ship_package
 
 RANGE_BYTES = 64 << 20
+TASK_BYTES = 4 << 20  # ranges smaller than this share a task
 READ_BYTES = 1 << 20
+TAIL_BYTES = 4096  # read at first behind a range's end, for its last line
 BATCH_LINES = 8192
 KEPT_LISTINGS = 16
 BROADCAST_ROWS = 200_000  # ranges or rejected versions (a path and a few numbers each) up to which they go to the lines
@@ -94,7 +96,8 @@ def lines_of_range(f, start: int, end: int) -> Iterator[bytes]:
             return
         keep = seek if line is None else line
         buffer, begin = buffer[keep - begin:], keep
-        more = f.read(max(READ_BYTES, len(buffer)))  # a long line doubles what is read, so copies stay linear
+        ahead = min(READ_BYTES, max(0, end - begin - len(buffer)) + TAIL_BYTES)
+        more = f.read(max(ahead, len(buffer)))  # a long line doubles what is read, so copies stay linear
         last = not more
         buffer += more
 
@@ -114,14 +117,16 @@ class Ranges(InputPartition):
         self.pieces = pieces
 
 
-def plan_ranges(files: Sequence[tuple[str, int, int, int]], size: int) -> list[Ranges]:
-    """(path, mtime, length, version) as partitions of about ``size`` bytes: files cut, small ones together."""
+def plan_ranges(files: Sequence[tuple[str, int, int, int]], size: int, task: int = 0) -> list[Ranges]:
+    """(path, mtime, length, version) as ranges of ``size`` bytes, in partitions of about
+    ``task`` bytes (one range at least): files cut, small ones together."""
     out, part, held = [], [], 0
     for path, mtime, length, version in files:
         for start in range(0, max(1, length), size):
             end = min(length, start + size)
-            if part and held + end - start > size:
-                out, part, held = [*out, Ranges(part)], [], 0
+            if part and held + end - start > max(size, task):
+                out.append(Ranges(part))
+                part, held = [], 0
             part.append(Piece(path, mtime, length, version, start, end))
             held += end - start
     return out + [Ranges(part)] if part else out
@@ -187,7 +192,7 @@ class VersionReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = list_files(self.options["path"], self.options.get("extensions"))
-        return plan_ranges([(p, *x, x[0]) for p, x in sorted(files.items())], int(self.options.get("rangebytes", RANGE_BYTES)))
+        return plan_ranges([(p, *x, x[0]) for p, x in sorted(files.items())], int(self.options.get("rangebytes", RANGE_BYTES)), TASK_BYTES)
 
     def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
         return read_pieces(partition.pieces if partition else [])
@@ -240,7 +245,7 @@ class VersionStreamReader(DataSourceStreamReader):
             return []
         before, after = self._load(start["listing"]), self._load(end["listing"])
         new = [(p, x[0], x[1], x[2]) for p, x in sorted(after.items()) if before.get(p) != x]
-        return plan_ranges(new, int(self.options.get("rangebytes", RANGE_BYTES)))
+        return plan_ranges(new, int(self.options.get("rangebytes", RANGE_BYTES)), TASK_BYTES)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return read_pieces(partition.pieces)
