@@ -27,7 +27,9 @@ from linecdc.schema import DELETE, INSERT
 from linecdc.session import materialize
 
 VERSION = ["file_name", "version"]
-BLOCK_BITS = 16
+# Ranges, runs and lines of one block all meet: a block of few positions keeps that to a
+# small multiple of the lines.
+BLOCK_BITS = 8
 # Versions (names and numbers) up to which they go to the lines' tasks.
 BROADCAST_VERSIONS = 500_000
 
