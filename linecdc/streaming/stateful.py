@@ -21,7 +21,7 @@ from linecdc.operators.codec import LOG_COLUMNS, PAYLOAD, decode, validate
 from linecdc.operators.diff import diff_lines
 from linecdc.operators.sink import append_dlq, insert_if_absent, write_partition
 from linecdc.schema import EVENT_COLUMNS
-from linecdc.session import materialize, ship_package
+from linecdc.session import materialize, ship_package, small_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -97,28 +97,41 @@ def debounce_on_timer(notes: DataFrame, gap_ms: int = 500) -> DataFrame:
 # ---------------------------------------------------------------- K6
 
 CHUNK_LINES = 1024
-PACKED = "file_name string, version long, n_lines long, chunk long, lines string"
-RELEASED = "file_name string, version long, side string, line_number int, line string"
+# Lines that a packing task holds.
+PACK_LINES = 1 << 17
+# Chunks that are handed on together.
+CHUNKS_OUT = 16
+PACKED = "file_name string, version long, n_lines long, chunk long, n long, lines string"
+RELEASED = "file_name string, version long, side string, lines string"
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Line rows as one row per file, version and chunk: [[line_number, line], ...] as JSON."""
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        pdf = pdf.assign(chunk=((pdf["line_number"].fillna(0) - 1) // CHUNK_LINES).astype("int64"))
-        out = []
-        for (name, version, n_lines, chunk), g in pdf.groupby(["file_name", "version", "n_lines", "chunk"], sort=False):
-            own = [[int(n), x] for n, x in zip(g["line_number"], g["line"]) if not pd.isna(n)]
-            out.append((name, version, n_lines, chunk, json.dumps(own)))
-        yield pd.DataFrame(out, columns=["file_name", "version", "n_lines", "chunk", "lines"])
+def _packed(held: dict[tuple, list]) -> pd.DataFrame:
+    out = []
+    for key, own in held.items():
+        lines = dict(own)
+        if len(lines) < len(own) and len(lines) < len(set(own)):  # a number with two different lines
+            out.append((*key, -1, json.dumps(own)))
+        else:
+            out.append((*key, len(lines), json.dumps(lines)))
+    return pd.DataFrame(out, columns=["file_name", "version", "n_lines", "chunk", "n", "lines"])
 
 
-def _frame(name: str, version: int, side: str, lines: dict[str, str | None]) -> pd.DataFrame:
-    """Rows of a chunk; a version without lines has one row without a number."""
-    items = sorted((int(k), v) for k, v in lines.items()) or [(None, None)]
-    return pd.DataFrame({"file_name": name, "version": version, "side": side,
-                         "line_number": pd.array([n for n, _ in items], dtype="Int32"), "line": [x for _, x in items]})
+def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Line rows as one row per file, version and chunk: {line_number: line} as JSON, and
+    how many; [[line_number, line], ...] and -1 if a number has two different lines."""
+    held, n = {}, 0
+    for pdf in frames:
+        cols = (pdf[c].tolist() for c in ("file_name", "version", "n_lines", "chunk", "line_number", "line"))
+        for name, version, n_lines, chunk, number, line in zip(*cols):
+            own = held.setdefault((name, version, n_lines, chunk), [])
+            if not pd.isna(number):
+                own.append((int(number), line))
+        n += len(pdf)
+        if n >= PACK_LINES:
+            yield _packed(held)
+            held, n = {}, 0
+    if held:
+        yield _packed(held)
 
 
 class VersionKeeper(StatefulProcessor):
@@ -127,7 +140,8 @@ class VersionKeeper(StatefulProcessor):
 
     A line that is delivered again changes nothing. A line that differs from the one
     stored under its number is emitted as ``conflict``; the first stays. Rows of a
-    version that was released, or passed over, are late and dropped."""
+    version that was released, or passed over, are late and dropped. Chunks are taken,
+    kept and emitted as they are packed; only one that comes in parts is opened."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.known = handle.getValueState("known", "version long, chunks string")
@@ -136,50 +150,75 @@ class VersionKeeper(StatefulProcessor):
         self.current = handle.getMapState("current", "chunk long", "lines string")
 
     def handleInputRows(self, key, rows, timerValues):
-        name = key[0]
+        out = []
+        for row in self._rows(key[0], rows):
+            out.append(row)
+            if len(out) == CHUNKS_OUT:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_name", "version", "side", "lines"])
+
+    def _rows(self, name: str, rows) -> Iterator[tuple]:
         known, chunks = self.known.get() if self.known.exists() else (None, "[]")
+        waiting = {k[0]: (v[0], v[1], dict.fromkeys(json.loads(v[2]))) for k, v in self.waiting.iterator()}
+        touched = set()
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 if known is None or r.version > known:
-                    yield from self._store(name, int(r.version), int(r.n_lines), int(r.chunk), json.loads(r.lines))
+                    version, chunk = int(r.version), int(r.chunk)
+                    _, have, own = waiting.get(version, (0, 0, {}))
+                    if r.n:
+                        added, conflicts = self._store((version, chunk), int(r.n), r.lines)
+                        have += added
+                        own[chunk] = None
+                        yield from ((name, version, "conflict", json.dumps({n: x})) for n, x in conflicts)
+                    waiting[version] = (int(r.n_lines), have, own)
+                    touched.add(version)
         # Release from the earliest on, as long as it is whole.
-        for version, n_lines, have in sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator()):
+        for version in sorted(waiting):
+            n_lines, have, new = waiting[version]
             if have != n_lines:
                 break
-            new = json.loads(self.waiting.getValue((version,))[2])
             if known is not None:
                 for c in json.loads(chunks) or [None]:
-                    old = json.loads(self.current.getValue((c,))[0]) if c is not None else {}
-                    yield _frame(name, version, "old", old)
+                    yield name, version, "old", self.current.getValue((c,))[0] if c is not None else "{}"
             for c in set(json.loads(chunks)) - set(new):
                 self.current.removeKey((c,))
             for c in new:
                 lines = self.pending.getValue((version, c))[0]
                 self.current.updateValue((c,), (lines,))
                 self.pending.removeKey((version, c))
-                yield _frame(name, version, "new", json.loads(lines))
+                yield name, version, "new", lines
             if not new:
-                yield _frame(name, version, "new", {})
-            self.waiting.removeKey((version,))
-            known, chunks = version, json.dumps(new)
+                yield name, version, "new", "{}"
+            if self.waiting.containsKey((version,)):
+                self.waiting.removeKey((version,))
+            touched.discard(version)
+            known, chunks = version, json.dumps([*new])
             self.known.update((known, chunks))
-
-    def _store(self, name: str, version: int, n_lines: int, chunk: int, lines: list) -> Iterator[pd.DataFrame]:
-        _, have, chunks = self.waiting.getValue((version,)) if self.waiting.containsKey((version,)) else (n_lines, 0, "[]")
-        chunks = json.loads(chunks)
-        if lines:
-            at = (version, chunk)
-            held = json.loads(self.pending.getValue(at)[0]) if self.pending.containsKey(at) else {}
-            before = len(held)
-            for n, line in lines:
-                if held.setdefault(str(n), line) != line:
-                    yield _frame(name, version, "conflict", {str(n): line})
-            if len(held) > before:
-                self.pending.updateValue(at, (json.dumps(held),))
-                have += len(held) - before
-            if chunk not in chunks:
-                chunks.append(chunk)
-        self.waiting.updateValue((version,), (n_lines, int(have), json.dumps(chunks)))
+        for version in touched:
+            n_lines, have, own = waiting[version]
+            self.waiting.updateValue((version,), (n_lines, have, json.dumps([*own])))
+
+    def _store(self, at: tuple[int, int], n: int, lines: str) -> tuple[int, list[tuple]]:
+        """Puts a packed chunk to those waiting: how many lines are new, and which conflict."""
+        there = self.pending.containsKey(at)
+        if n > 0 and not there:
+            self.pending.updateValue(at, (lines,))
+            return n, []
+        held, conflicts = json.loads(self.pending.getValue(at)[0]) if there else {}, []
+        before, more = len(held), json.loads(lines)
+        for number, line in more.items() if n > 0 else more:
+            if held.setdefault(str(number), line) != line:
+                conflicts.append((number, line))
+        if len(held) > before:
+            self.pending.updateValue(at, (json.dumps(held),))
+        return len(held) - before, conflicts
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         return iter(())
@@ -194,10 +233,18 @@ def released_versions(rows: DataFrame) -> DataFrame:
     version once it is whole and all earlier ones are released: its lines (``new``) and,
     but for a file's first version, those of the version before (``old``)."""
     use_state_store(rows.sparkSession)
-    packed = rows.select("file_name", F.col("version").cast("long").alias("version"), F.col("n_lines").cast("long").alias("n_lines"),
-                         "line_number", "line").mapInPandas(_pack, PACKED)
-    return packed.groupBy("file_name").transformWithStateInPandas(
+    whole = F.col("file_name").isNotNull() & F.col("version").isNotNull() & F.col("n_lines").isNotNull()
+    chunk = F.floor((F.coalesce("line_number", F.lit(0)) - 1) / CHUNK_LINES).cast("long")
+    # A chunk's lines meet in one task before they are packed, in whatever order they come.
+    packed = (rows.where(whole).select("file_name", F.col("version").cast("long").alias("version"), F.col("n_lines").cast("long").alias("n_lines"),
+                                       chunk.alias("chunk"), "line_number", "line")
+              .repartition("file_name", "version", "chunk").mapInPandas(_pack, PACKED))
+    kept = packed.groupBy("file_name").transformWithStateInPandas(
         statefulProcessor=VersionKeeper(), outputStructType=RELEASED, outputMode="Append", timeMode="None")
+    lines = F.from_json("lines", "map<string,string>", {"maxStringLen": str((1 << 31) - 1)})
+    # A version without lines has one row without a number.
+    return kept.select("file_name", "version", "side", F.explode_outer(lines).alias("line_number", "line")).withColumn(
+        "line_number", F.col("line_number").cast("int"))
 
 
 def released_batch_writer(events_path: str, dlq_path: str, run_id: str, detected_at_fn=None):
@@ -211,7 +258,7 @@ def released_batch_writer(events_path: str, dlq_path: str, run_id: str, detected
             F.encode("file_name", "UTF-8").alias("key"), F.encode(F.to_json(F.struct("version", "line_number", "line")), "UTF-8").alias("value"),
             F.lit("conflicting_line").alias("reason"))
         append_dlq(bad, dlq_path, run_id, batch_id)
-        paired = materialize(rows.where("side = 'old'").select("file_name", "version").distinct(), "paired")
+        paired = small_table(rows.where("side = 'old'").select("file_name", "version").distinct(), "paired")
         side = lambda s: rows.where((F.col("side") == s) & F.col("line_number").isNotNull()).join(
             paired, ["file_name", "version"], "left_semi").drop("side")
         if paired.isEmpty():
