@@ -19,7 +19,7 @@ from linecdc.functions.text import base_name, event_id, iso_timestamp
 from linecdc.operators.matching import KEYS, MatchResult, match_lines
 from linecdc.operators.ordering import prefix_sum
 from linecdc.schema import DELETE, INSERT, UPDATE
-from linecdc.session import BROADCAST_ROWS, materialize, small_table
+from linecdc.session import BROADCAST_ROWS, materialize, small_table, true_sizes
 
 # Rows one opcode is cut into before the per-line explode, so a huge opcode
 # (a whole file deleted) is spread over many tasks.
@@ -116,7 +116,8 @@ def diff_lines(old: DataFrame, new: DataFrame, detected_at: DataFrame | Column |
     if match is None:
         # The comparison's lines are read by every matching step and by the
         # value lookup: write them once (also cuts the input lineage).
-        L = materialize(L, "cmp-lines")
+        with true_sizes(L.sparkSession):
+            L = materialize(L, "cmp-lines")
     m = match or match_lines(L, strategy=strategy)
     changes = attach_values(expand_opcodes(m.opcodes), L)
     return events_from_changes(changes, detected_at)

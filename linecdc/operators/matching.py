@@ -43,14 +43,14 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linecdc import ship_by_value
 from linecdc.functions.text import line_hash
-from linecdc.operators.ordering import rank_within
-from linecdc.session import materialize, true_sizes
+from linecdc.operators.ordering import DEFAULT_BLOCK_BITS, rank_within
+from linecdc.session import BROADCAST_ROWS, few_broadcasts, materialize, true_sizes
 
 ship_by_value(__name__)
 
@@ -185,55 +185,86 @@ def unique_pairs(tagged: DataFrame) -> DataFrame:
     return a.join(b, [*KEYS, "vid"]).select(*KEYS, "i", "j")
 
 
-def classify(tagged: DataFrame, ext: DataFrame):
+def line_values(L: DataFrame) -> DataFrame:
+    """One row per distinct line of a comparison, by one shuffle of the text and without it:
+    ``KEYS, ca, cb`` (its occurrences on each side), ``i, j`` (the last of them) and ``known``,
+    false where the line or a key is null, which match nothing."""
+    own = lambda side, value: F.when(F.col("side") == side, value)
+    per = L.select(*KEYS, "side", F.col("pos").cast("long").alias("pos"), "line").groupBy(*KEYS, line_hash(F.col("line")).alias("h"), "line").agg(
+        F.count(own(0, F.lit(1))).alias("ca"), F.count(own(1, F.lit(1))).alias("cb"),
+        F.max(own(0, F.col("pos"))).alias("i"), F.max(own(1, F.col("pos"))).alias("j"))
+    known = F.col("line").isNotNull() & F.col(KEYS[0]).isNotNull() & F.col(KEYS[1]).isNotNull()
+    return per.select(*KEYS, "ca", "cb", "i", "j", known.alias("known"))
+
+
+def chain_runs(pairs: DataFrame) -> DataFrame:
+    """Diagonal runs inside blocks of old positions: ``KEYS, b, c0, n, i1, j1, pi, pj, bad``
+    with the number of pairs before it in the block, the end of the run before (null: the
+    block's first) and the number of pairs that lie before their predecessor on the new side."""
+    d = pairs.select(*KEYS, "i", "j", F.shiftright("i", DEFAULT_BLOCK_BITS).alias("b"))
+    w = Window.partitionBy(*KEYS, "b").orderBy("i", "j")
+    d = d.withColumn("rk", F.row_number().over(w)).withColumn("pi", F.lag("i").over(w) + 1).withColumn("pj", F.lag("j").over(w) + 1)
+    fresh = F.col("pi").isNull() | (F.col("i") != F.col("pi")) | (F.col("j") != F.col("pj"))
+    d = d.withColumn("run", F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Same partitions as the window's: no further shuffle, and a run leaves its task as one row.
+    return d.groupBy(*KEYS, "b", "run").agg(
+        (F.min("rk") - 1).cast("long").alias("c0"), F.count("*").alias("n"), F.min("i").alias("i1"),
+        F.min_by("j", "rk").alias("j1"), F.min_by("pi", "rk").alias("pi"), F.min_by("pj", "rk").alias("pj"),
+        F.sum(F.when(F.col("pj") > F.col("j"), 1).otherwise(0)).alias("bad")).drop("run")
+
+
+def classify(values: DataFrame):
     """Per file: does it form a chain (unique lines, same order)?
 
-    Returns ``(ranked_pairs, cls)`` where cls has ``file_name, version, la, lb, path``.
+    Returns ``(runs, cls)``: the runs of its unique matches as ``KEYS, r0, n, i1, j1, pi, pj``
+    (``r0``: the matches before), and cls with ``file_name, version, la, lb, path``.
     """
-    pairs = _checkpoint(unique_pairs(tagged))  # each rank reads them twice
-    ranked = rank_within(rank_within(pairs, KEYS, "i", "ri"), KEYS, "j", "rj")
-    disorder = ranked.groupBy(*KEYS).agg(F.sum(F.when(F.col("ri") != F.col("rj"), 1).otherwise(0)).alias("bad"))
-    # Rows of values that are common and repeated on a side (0 iff the file's
-    # common values are all unique on both sides).
-    multi = tagged.groupBy(*KEYS).agg(
-        F.sum(F.when((F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") * F.col("cb") > 1), 1)
-              .otherwise(0)).alias("multi"))
-    cls = (ext.join(multi, KEYS, "left").join(disorder, KEYS, "left")
-           .withColumn("path", F.when((F.coalesce("multi", F.lit(0)) == 0) & (F.coalesce("bad", F.lit(0)) == 0), "chain")
-                       .otherwise("rounds"))
+    runs = _checkpoint(chain_runs(values.where(F.col("known") & (F.col("ca") == 1) & (F.col("cb") == 1))))
+    # One row a block: its pairs, where its first run starts and its last one ends.
+    blocks = runs.groupBy(*KEYS, "b").agg(
+        F.sum("n").alias("bn"), F.min(F.struct("c0", "i1", "j1")).alias("first"), F.sum("bad").alias("bad"),
+        F.max(F.struct("c0", (F.col("i1") + F.col("n")).alias("i"), (F.col("j1") + F.col("n")).alias("j"))).alias("end"))
+    w = Window.partitionBy(*KEYS).orderBy("b")
+    before = F.sum("bn").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = _checkpoint(blocks.select(*KEYS, "b", F.coalesce(before, F.lit(0)).alias("off"), F.lag("end.i").over(w).alias("li"),
+                                       F.lag("end.j").over(w).alias("lj"), F.col("first.j1").alias("fj"), "bad"))
+    # Every known value counts: none (0) unless it is common and repeated on a side.
+    multi = F.col("known") & (F.col("ca") > 0) & (F.col("cb") > 0) & (F.col("ca") + F.col("cb") > 2)
+    ext = values.groupBy(*KEYS).agg(F.sum("ca").alias("la"), F.sum("cb").alias("lb"), F.max(multi).alias("multi"))
+    disorder = blocks.groupBy(*KEYS).agg(F.sum(F.col("bad") + F.when(F.col("lj") > F.col("fj"), 1).otherwise(0)).alias("bad"))
+    cls = (ext.join(disorder, KEYS, "left")
+           .withColumn("path", F.when(~F.col("multi") & (F.coalesce("bad", F.lit(0)) == 0), "chain").otherwise("rounds"))
            .select(*KEYS, "la", "lb", "path"))
-    return ranked.select(*KEYS, "i", "j", "ri"), cls
+    at = runs.join(blocks.drop("bad", "fj"), [*KEYS, "b"])
+    return at.select(*KEYS, (F.col("off") + F.col("c0")).alias("r0"), "n", "i1", "j1",
+                     F.coalesce("pi", "li").alias("pi"), F.coalesce("pj", "lj").alias("pj")), cls
 
 
 # ---------------------------------------------------------------- chain path
 
-def chain_pieces(ranked: DataFrame, bounds: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Blocks and gaps of files (or segments) whose matches form a chain.
+def chain_pieces(runs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Blocks and gaps of files whose matches form a chain.
 
-    ``bounds`` has ``keys`` + ``alo, ahi, blo, bhi``; ``ranked`` has ``keys`` +
-    ``i, j, ri`` (rank of the pair in the chain). Blocks are diagonal runs:
-    along a run both ``i - rank`` and ``j - rank`` stay constant. The gap in
-    front of a run starts where the pair of the previous rank ends; the last
-    gap runs to the end of both sides.
+    ``bounds`` has ``KEYS`` + ``alo, ahi, blo, bhi``; ``runs`` is that of ``classify``. Runs
+    that a block border has cut go on along the same diagonal: along one, both ``i - rank``
+    and ``j - rank`` stay constant. The gap in front of a run starts where the run before
+    ends; the last gap goes to the end of both sides.
     """
-    p = ranked.join(bounds.select(*keys, "alo", "blo"), keys)
-    blocks = p.groupBy(*keys, (F.col("i") - F.col("ri")).alias("di"), (F.col("j") - F.col("ri")).alias("dj")).agg(
-        F.min("i").alias("i1"), F.min("j").alias("j1"), F.count("*").alias("n"), F.min("ri").alias("r0"),
-        F.first("alo").alias("alo"), F.first("blo").alias("blo"))
-    prev = p.select(*keys, (F.col("ri") + 1).alias("r0"), (F.col("i") + 1).alias("pi"), (F.col("j") + 1).alias("pj"))
-    gaps_before = blocks.join(prev, [*keys, "r0"], "left").select(
-        *KEYS, F.lit("G").alias("kind"),
-        F.coalesce("pi", "alo").alias("i1"), F.col("i1").alias("i2"),
-        F.coalesce("pj", "blo").alias("j1"), F.col("j1").alias("j2"))
-    last = p.groupBy(*keys).agg(F.max(F.struct("ri", "i", "j")).alias("m")).select(
-        *keys, (F.col("m.i") + 1).alias("ti"), (F.col("m.j") + 1).alias("tj"))
-    gaps_after = bounds.join(last, keys, "left").select(
-        *KEYS, F.lit("G").alias("kind"),
-        F.coalesce("ti", "alo").alias("i1"), F.col("ahi").alias("i2"),
-        F.coalesce("tj", "blo").alias("j1"), F.col("bhi").alias("j2"))
-    block_rows = blocks.select(*KEYS, F.lit("B").alias("kind"), "i1", (F.col("i1") + F.col("n")).alias("i2"),
-                               "j1", (F.col("j1") + F.col("n")).alias("j2"))
-    return block_rows.unionByName(gaps_before).unionByName(gaps_after)
+    p = runs.join(bounds.select(*KEYS, "alo", "blo"), KEYS)
+    blocks = p.groupBy(*KEYS, (F.col("i1") - F.col("r0")).alias("di"), (F.col("j1") - F.col("r0")).alias("dj")).agg(
+        F.min("i1").alias("i1"), F.min("j1").alias("j1"), F.sum("n").alias("n"),
+        F.min(F.struct("r0", F.coalesce("pi", "alo").alias("i"), F.coalesce("pj", "blo").alias("j"))).alias("end"))
+    pieces = blocks.select(*KEYS, F.explode(F.array(
+        _piece("B", F.col("i1"), F.col("i1") + F.col("n"), F.col("j1"), F.col("j1") + F.col("n")),
+        _piece("G", F.col("end.i"), F.col("i1"), F.col("end.j"), F.col("j1")))).alias("p")).select(*KEYS, "p.*")
+    last = p.groupBy(*KEYS).agg(F.max(F.struct("r0", (F.col("i1") + F.col("n")).alias("i"), (F.col("j1") + F.col("n")).alias("j"))).alias("m"))
+    return pieces.unionByName(bounds.join(last, KEYS, "left").select(
+        *KEYS, F.lit("G").alias("kind"), F.coalesce("m.i", "alo").alias("i1"), F.col("ahi").alias("i2"),
+        F.coalesce("m.j", "blo").alias("j1"), F.col("bhi").alias("j2")))
+
+
+def _piece(kind, i1, i2, j1, j2):
+    return F.struct(F.lit(kind).alias("kind"), i1.alias("i1"), i2.alias("i2"), j1.alias("j1"), j2.alias("j2"))
 
 
 # ---------------------------------------------------------------- rounds
@@ -503,8 +534,9 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
         state = _checkpoint(lv.withColumn("cur", _pow2(F.col("k"))))
         top = state.agg(F.max("k")).first()[0]
         # Segments with no common line are finished: one gap each.
-        pieces.append(gap(seg.join(state.select(*SEG), SEG, "left_anti")))
+        finished = gap(seg.join(state.select(*SEG), SEG, "left_anti"))
         if top is None:
+            pieces.append(_checkpoint(finished))
             break
         rounds += 1
         mk = (mn.join(state.select(*SEG, "k"), [*SEG, "k"]).select(*SEG, "side", "pos", F.col("n").alias("nk")))
@@ -526,8 +558,8 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
         # 3. All blocks of that length that the recursion takes.
         won = greedy_chain(cand, walk)
         blocks = won.where(F.col("kind") == "B")
-        pieces.append(blocks.select(*KEYS, F.lit("B").alias("kind"), F.col("i").alias("i1"), (F.col("i") + F.col("len")).alias("i2"),
-                                    F.col("j").alias("j1"), (F.col("j") + F.col("len")).alias("j2")))
+        found = blocks.select(*KEYS, F.lit("B").alias("kind"), F.col("i").alias("i1"), (F.col("i") + F.col("len")).alias("i2"),
+                              F.col("j").alias("j1"), (F.col("j") + F.col("len")).alias("j2"))
         # 4. What lies before each block and after the last; shorter blocks only.
         before = blocks.select(*KEYS, F.col("pi").alias("sid"), F.col("i").alias("ahi"), F.col("pj").alias("blo"),
                                F.col("j").alias("bhi"), "len")
@@ -536,7 +568,10 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
         kids = before.unionByName(after).withColumn("top", F.least(
             F.col("len") - 1, F.col("ahi") - F.col("sid"), F.col("bhi") - F.col("blo"))).drop("len")
         open_kid = opened & (F.col("top") > 0)
-        pieces.append(gap(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo"))))))
+        closed = gap(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo")))))
+        # A round's joins run here: in one plan over all rounds, all of their broadcasts
+        # would lie in the driver at once.
+        pieces.append(_checkpoint(finished.unionByName(found).unionByName(closed)))
         seg = kids.where(open_kid)
     return _union_all(pieces), rounds
 
@@ -556,22 +591,29 @@ def match_lines(L: DataFrame, strategy: str = "auto", walk: int = WALK) -> Match
 
 
 def _match(L: DataFrame, strategy: str, walk: int) -> MatchResult:
-    tagged, _, ext = prepare(L)
-    tagged = _checkpoint(tagged)
-    parts, rounds = [], 0
     if strategy == "auto":
-        ranked, cls = classify(tagged, ext)
-        cls, ranked = _checkpoint(cls), _checkpoint(ranked)
-        parts.append(chain_pieces(ranked, cls.where(F.col("path") == "chain").select(
-            *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
-            F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi"))))
+        runs, cls = classify(_checkpoint(line_values(L)))
+        cls = _checkpoint(cls)
+    else:
+        tagged, _, ext = prepare(L)
+        cls = _checkpoint(ext.withColumn("path", F.lit("rounds")))
+    parts, rounds = [], 0
+    with few_broadcasts(L.sparkSession, cls.count()):
+        if strategy == "auto":
+            parts.append(chain_pieces(_checkpoint(runs), cls.where(F.col("path") == "chain").select(
+                *KEYS, F.lit(0).cast("long").alias("alo"), F.col("la").alias("ahi"),
+                F.lit(0).cast("long").alias("blo"), F.col("lb").alias("bhi"))))
         ext = cls.where(F.col("path") == "rounds").select(*KEYS, "la", "lb")
-    if not ext.isEmpty():
-        done, rounds = relational_rounds(tagged, ext, walk)
-        parts.append(done)
-    # Blocks and gaps (one row each, far fewer than lines) are read by several
-    # later steps: write them once.
-    out = _union_all(parts)
-    if out is None:
-        out = L.sparkSession.createDataFrame([], PIECES_SCHEMA)
-    return MatchResult(_checkpoint(out), rounds)
+        files = ext.count()
+        if files:
+            if strategy == "auto":
+                rest = ext.select(*KEYS)
+                tagged = prepare(L.join(F.broadcast(rest) if files <= BROADCAST_ROWS else rest, KEYS, "left_semi"))[0]
+            done, rounds = relational_rounds(_checkpoint(tagged), ext, walk)
+            parts.append(done)
+        # Blocks and gaps (one row each, far fewer than lines) are read by several
+        # later steps: write them once.
+        out = _union_all(parts)
+        if out is None:
+            out = L.sparkSession.createDataFrame([], PIECES_SCHEMA)
+        return MatchResult(_checkpoint(out), rounds)

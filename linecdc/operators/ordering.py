@@ -43,7 +43,9 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], position: str, value: Column
     totals = d.groupBy(*keys, tmp_b).agg(F.sum(tmp_v).alias("_ps_t"))
     wb = Window.partitionBy(*_cols(keys)).orderBy(tmp_b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, tmp_b, F.coalesce(F.sum("_ps_t").over(wb), F.lit(0)).alias(tmp_o))
-    return (d.join(offsets, [*keys, tmp_b], "inner")
+    # The rows lie by key and block already; the offsets, a row a key at least, join them
+    # there and never go whole through the driver.
+    return (d.join(offsets.hint("merge"), [*keys, tmp_b], "inner")
             .withColumn(out, F.col(tmp_l) + F.col(tmp_o))
             .drop(tmp_v, tmp_b, tmp_l, tmp_o))
 

@@ -150,6 +150,21 @@ def true_sizes(spark: SparkSession):
 BROADCAST_ROWS = 100_000
 
 
+@contextmanager
+def few_broadcasts(spark: SparkSession, rows: int):
+    """Inside, with more than ``BROADCAST_ROWS`` rows, no table goes through the driver that
+    code does not send itself: each one takes a page of the driver's memory, several live at
+    a time, and the next rounds' are built before the last ones' are collected."""
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(conf)
+    if rows > BROADCAST_ROWS:
+        spark.conf.set(conf, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def small_table(df, name: str = "small"):
     """``df`` written once; a join sends it to the other side's tasks if it is small, which
     Spark can't tell beforehand of a group-by's result and would shuffle both sides."""
