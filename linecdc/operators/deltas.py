@@ -1,9 +1,9 @@
 """Snapshots as keyframes and change sets.
 
 Every ``every``-th version of a file is stored whole, the others as their change events
-only. A version is rebuilt from the keyframe before it in one job whatever the number
-of versions in between: change sets become maps of positions, the maps are composed,
-and the lines are joined to the result once.
+only. A version is rebuilt from the keyframe before it by one small step a version in between: change
+sets become maps of positions, the maps are composed, and the lines are joined to the
+result once.
 
 *Position maps.* Lines that a change set neither deletes nor inserts keep their order.
 Among them, by rank, the distance between old and new position only changes where a
@@ -14,7 +14,8 @@ as many as it has such places, however long the file.
 their lines come from: the keyframe, or the event that inserted or updated a line.
 Stepping to the next version cuts the ranges by its runs and shifts them, and adds its
 own events. An update is a range of one line that lies over an older one; the latest
-wins when lines are joined. Ranges and runs meet by equal blocks of positions.
+wins when lines are joined. Ranges and runs meet by equal blocks of positions; the lines
+of the last ranges meet the stored ones by position.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from linecdc.schema import DELETE, INSERT
 from linecdc.session import materialize
 
 VERSION = ["file_name", "version"]
-# Ranges, runs and lines of one block all meet: a block of few positions keeps that to a
-# small multiple of the lines.
-BLOCK_BITS = 8
+# Ranges and runs of one block all meet, so their pairs grow with the square of a block's
+# changes: a block of few positions keeps them below the lines however dense the changes.
+BLOCK_BITS = 4
+# Lines that one range gives before it is cut, so that a long one is many tasks' work.
+EXPLODE_CHUNK = 1 << 16
 # Versions (names and numbers) up to which they go to the lines' tasks.
 BROADCAST_VERSIONS = 500_000
 
@@ -66,9 +69,11 @@ def position_runs(changes: DataFrame) -> DataFrame:
     # The number of kept lines before a deleted or inserted one: position less those like it.
     places = (dels.select(*VERSION, (F.col("line_number") - 1 - F.col("r")).alias("rho"), F.lit(1).alias("d"), F.lit(0).alias("i"))
               .unionByName(ins.select(*VERSION, (F.col("line_number") - 1 - F.col("r")).alias("rho"), F.lit(0).alias("d"), F.lit(1).alias("i"))))
+    places = materialize(places, "places")  # each running sum below reads what it is made of twice
     first = places.select(*VERSION).distinct().select(*VERSION, F.lit(0).cast("long").alias("rho"), F.lit(0).alias("d"), F.lit(0).alias("i"))
     cuts = places.unionByName(first).groupBy(*VERSION, "rho").agg(F.sum("d").alias("d"), F.sum("i").alias("i"))
-    cuts = prefix_sum(prefix_sum(cuts, VERSION, "rho", "d", "cd", inclusive=True), VERSION, "rho", "i", "ci", inclusive=True)
+    cuts = prefix_sum(materialize(cuts, "cut-places"), VERSION, "rho", "d", "cd", inclusive=True)
+    cuts = materialize(prefix_sum(cuts, VERSION, "rho", "i", "ci", inclusive=True), "cut-sums")
     cuts = materialize(rank_within(cuts, VERSION, "rho", "k"), "cuts")
     after = cuts.select(*VERSION, (F.col("k") - 1).alias("k"), F.col("rho").alias("end"))
     return cuts.join(after, [*VERSION, "k"], "left").select(
@@ -124,16 +129,18 @@ def rebuild(spark: SparkSession, path: str, targets: DataFrame) -> DataFrame:
         born = changes.where(F.col("event_type") != DELETE).join(now, VERSION).select(
             "file_name", "target", F.col("line_number").alias("lo"), F.col("line_number").alias("hi"),
             F.col("version").alias("src_version"), F.col("line_number").alias("src_lo"))
-        ranges = _step(ranges, runs.where(F.col("old_lo") <= F.col("old_hi")), moved).unionByName(born)
+        # Read twice by the next step.
+        ranges = materialize(_step(ranges, runs.where(F.col("old_lo") <= F.col("old_hi")), moved).unionByName(born), "ranges")
     values = keyframes.select("file_name", F.col("version").alias("src_version"), F.col("line_number").cast("long").alias("n"), "line").unionByName(
         changes.where(F.col("event_type") != DELETE).select(
             "file_name", F.col("version").alias("src_version"), F.col("line_number").alias("n"), "line"))
-    src_hi = F.col("src_lo") + F.col("hi") - F.col("lo")
-    r = _by_block(ranges, F.col("src_lo"), src_hi)
-    v = values.withColumn("block", F.shiftright("n", BLOCK_BITS))
-    lines = r.join(v, ["file_name", "src_version", "block"]).where(F.col("n").between(F.col("blo"), F.col("bhi"))).select(
-        "file_name", F.col("target").alias("version"), (F.col("lo") + F.col("n") - F.col("src_lo")).alias("line_number"),
-        F.struct("src_version", "line").alias("v"))
+    # A range is as many lines as it is long: they meet the values one to one.
+    chunks = ranges.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("hi") - F.col("lo"), 16))))
+    at = F.explode(F.sequence(F.col("c") * EXPLODE_CHUNK, F.least(F.col("hi") - F.col("lo"), (F.col("c") + 1) * EXPLODE_CHUNK - 1)))
+    wanted_lines = chunks.repartition("file_name", "target", "lo", "c").select("file_name", "target", "lo", "src_version", "src_lo", at.alias("d")).select(
+        "file_name", "src_version", (F.col("src_lo") + F.col("d")).alias("n"), "target", (F.col("lo") + F.col("d")).alias("line_number"))
+    lines = wanted_lines.join(values, ["file_name", "src_version", "n"]).select(
+        "file_name", F.col("target").alias("version"), "line_number", F.struct("src_version", "line").alias("v"))
     # An update lies over the line that it replaced.
     return lines.groupBy("file_name", "version", "line_number").agg(F.max("v").alias("v")).select(
         "file_name", "version", "line_number", F.col("v.line").alias("line"))
