@@ -103,10 +103,10 @@ def write_partition(events: DataFrame, path: str, run_id: str, batch_id: int, lo
 
 
 def spread(records: DataFrame) -> DataFrame:
-    """A batch's records over as many tasks as there are cores. A file of the log is read by
-    few tasks (one a row group), and decoding a record takes far longer than moving it."""
-    n = records.sparkSession.sparkContext.defaultParallelism
-    return records.repartition(n) if records.rdd.getNumPartitions() < n else records
+    """A batch's records over at least as many tasks as there are cores. A file of the log is
+    cut into splits, but a row group is read whole by one of them, and decoding a record
+    takes far longer than moving it."""
+    return records.repartition(max(records.sparkSession.sparkContext.defaultParallelism, records.rdd.getNumPartitions()))
 
 
 def write_batch(records: DataFrame, table_path: str, dlq_path: str, run_id: str, batch_id: int,
