@@ -309,12 +309,12 @@ def _candidates(mk: DataFrame, state: DataFrame, offsets) -> DataFrame:
     For ``2**k <= len < 2**(k+1)`` the content of ``[p, p+len)`` is named exactly
     by the pair of level-k names at ``p`` and ``p + len - 2**k``.
     """
-    m = mk.join(state.select(*SEG, "ahi", "bhi", "k", "cur"), SEG)
+    m = mk.join(state.select(*SEG, "ahi", "blo", "bhi", "k", "cur"), SEG)
     m = m.select("*", F.explode(offsets).alias("d")).withColumn("len", F.col("cur") + F.col("d"))
     m = m.where((F.col("len") < 2 * _pow2(F.col("k"))) & _fits(F.col("len")))
     m = m.withColumn("pos2", F.col("pos") + F.col("len") - _pow2(F.col("k")))
     shifted = mk.select(*SEG, "side", F.col("pos").alias("pos2"), F.col("nk").alias("n2"))
-    return m.join(shifted, [*SEG, "side", "pos2"]).select(*SEG, "len", "side", "pos", "nk", "n2")
+    return m.join(shifted, [*SEG, "side", "pos2"]).select(*SEG, "len", "blo", "side", "pos", "nk", "n2")
 
 
 def _common(comp: DataFrame) -> DataFrame:
@@ -450,11 +450,12 @@ def greedy_chain(cand: DataFrame, walk: int = WALK, per_job: int | None = None)
         F.count(F.when(F.col("side") == 0, 1)).alias("na"), F.count("*").alias("n")))
     job = max(walk, per_job or WALK)
     here = F.col("n") <= 5 * job
-    whole = cand.join(size.where(here).select(*SEG), SEG, "left_semi").select(
+    large = size.where(~here).select(*SEG)
+    all_here = large.isEmpty()
+    whole = (cand if all_here else cand.join(size.where(here).select(*SEG), SEG, "left_semi")).select(
         "*", F.lit(False).alias("cut"), F.lit(False).alias("more"), F.col("sid").alias("i0"), F.col("blo").alias("j0"))
     done = [_checkpoint(_walk_step(whole, walk))]
-    large = size.where(~here).select(*SEG)
-    if large.isEmpty():
+    if all_here:
         return done[0]
     big = cand.join(large, SEG, "left_semi")
     old = _checkpoint(rank_within(big.where(F.col("side") == 0), SEG, "pos", "r"))
@@ -499,17 +500,19 @@ def _positions(seg: DataFrame) -> DataFrame:
 
 
 def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tuple[DataFrame, int]:
-    """Rounds over the whole files in ``ext``; returns ``(pieces, rounds)``.
+    """Rounds over the whole files in ``ext``, whose lines ``tagged`` holds; returns
+    ``(pieces, rounds)``.
 
     Each round, for all open segments of all files at once: (1) the largest ``k``
     with a common window of ``2**k`` lines inside the segment; (2) the exact length
     by descending the bits of ``[2**k, 2**(k+1))``; (3) the greedy chain of blocks of
     that length; (4) the segments between them, with their names. Every step writes
-    its small result to the shared checkpoint folder.
+    its small result to the shared checkpoint folder, so a job's plan holds the joins
+    of one step only: the driver plans each job anew at every stage's end, and what
+    that takes of its memory grows with the joins times the stages.
     """
-    t = tagged.join(ext.select(*KEYS), KEYS, "left_semi").select(*KEYS, "side", "pos", "vid", "ca", "cb")
     mx = ext.agg(F.max(F.least("la", "lb")).alias("m")).first()["m"] or 0
-    names = _checkpoint(window_names(t, ext, max(0, int(mx).bit_length() - 1)))
+    names = _checkpoint(window_names(tagged, ext, max(0, int(mx).bit_length() - 1)))
     zero = F.lit(0).cast("long")
     seg = ext.select(*KEYS, zero.alias("sid"), F.col("la").alias("ahi"), zero.alias("blo"), F.col("lb").alias("bhi"),
                      F.least("la", "lb").alias("top"))
@@ -539,9 +542,8 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
             pieces.append(_checkpoint(finished))
             break
         rounds += 1
-        mk = (mn.join(state.select(*SEG, "k"), [*SEG, "k"]).select(*SEG, "side", "pos", F.col("n").alias("nk")))
-        if top > FINAL_BITS:
-            mk = _checkpoint(mk)  # read again by every bit step
+        # Read twice by every step below.
+        mk = _checkpoint(mn.join(state.select(*SEG, "k"), [*SEG, "k"]).select(*SEG, "side", "pos", F.col("n").alias("nk")))
         # 2. Exact length: high bits one job each, the low ones together.
         for m in range(top - 1, FINAL_BITS - 1, -1):
             trial = state.where(F.col("k") > m)
@@ -549,12 +551,10 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
                   .select(*SEG).distinct().withColumn("hit", F.lit(1 << m)))
             state = _checkpoint(state.join(ok, SEG, "left")
                                 .withColumn("cur", F.col("cur") + F.coalesce("hit", F.lit(0))).drop("hit"))
-        comp = _candidates(mk, state, final_offsets)
-        both = _common(comp)
-        longest = both.groupBy(*SEG).agg(F.max("len").alias("len"))
-        kept = both.join(longest, [*SEG, "len"], "left_semi").select(*SEG, "len", "nk", "n2")
-        cand = _checkpoint(comp.join(kept, [*SEG, "len", "nk", "n2"]).join(state.select(*SEG, "blo"), SEG)
-                           .select(*SEG, "len", "blo", "side", "pos", "nk", "n2"))
+        longest = _common(_candidates(mk, state, final_offsets)).groupBy(*SEG).agg(F.max("len").alias("cur"))
+        state = _checkpoint(state.drop("cur").join(longest, SEG))
+        comp = _candidates(mk, state, F.array(zero))
+        cand = _checkpoint(comp.join(_common(comp).select(*SEG, "len", "nk", "n2"), [*SEG, "len", "nk", "n2"], "left_semi"))
         # 3. All blocks of that length that the recursion takes.
         won = greedy_chain(cand, walk)
         blocks = won.where(F.col("kind") == "B")
@@ -565,8 +565,8 @@ def relational_rounds(tagged: DataFrame, ext: DataFrame, walk: int = WALK) -> tu
                                F.col("j").alias("bhi"), "len")
         after = won.where(F.col("kind") == "E").join(state.select(*SEG, "ahi", "bhi"), SEG).select(
             *KEYS, F.col("pi").alias("sid"), "ahi", F.col("pj").alias("blo"), "bhi", "len")
-        kids = before.unionByName(after).withColumn("top", F.least(
-            F.col("len") - 1, F.col("ahi") - F.col("sid"), F.col("bhi") - F.col("blo"))).drop("len")
+        kids = _checkpoint(before.unionByName(after).withColumn("top", F.least(
+            F.col("len") - 1, F.col("ahi") - F.col("sid"), F.col("bhi") - F.col("blo"))).drop("len"))
         open_kid = opened & (F.col("top") > 0)
         closed = gap(kids.where(~open_kid & ((F.col("ahi") > F.col("sid")) | (F.col("bhi") > F.col("blo")))))
         # A round's joins run here: in one plan over all rounds, all of their broadcasts

@@ -178,4 +178,5 @@ def materialize(df, name: str = "stage"):
     recomputes nothing older than the last written table."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # The columns are known: no job looks them up in the files.
+    return df.sparkSession.read.schema(df.schema).parquet(path)
