@@ -261,6 +261,10 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
     positions not taken by an INSERT are filled by the survivors in order; an
     UPDATE overrides the text at its new position. Ranks are computed per
     position block, so a huge file is not gathered.
+
+    Positions come from a table of a row a file, which is all that Spark knows of their
+    number: it would send every one through the driver to be joined. So both ranked sides
+    are stored, and tables of a row a line are joined by merging.
     """
     name = F.col("file_path" if "file_path" in events.columns else "file_name").alias("file_name")
     # Read by each of the steps below.
@@ -270,8 +274,9 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
         "file_name", "version", F.col("line_number"), F.col("new_value").alias("line"))
     upd = ev.where(F.col("event_type") == UPDATE).select(
         "file_name", "version", F.col("line_number"), F.col("new_value").alias("upd"))
-    survivors = materialize(old.join(dels, ["file_name", "version", "line_number"], "left_anti"), "survivors")
-    survivors = prefix_sum(survivors, KEYS, "line_number", F.lit(1), "rank")
+    survivors = old.join(dels.hint("merge"), ["file_name", "version", "line_number"], "left_anti")
+    survivors = materialize(prefix_sum(survivors, KEYS, "line_number", F.lit(1), "rank").select(
+        *KEYS, "rank", "line"), "survivors")
     n_surv = survivors.groupBy(*KEYS).agg(F.count("*").alias("ns"))
     n_ins = ins.groupBy(*KEYS).agg(F.count("*").alias("ni"))
     sizes = n_surv.join(n_ins, KEYS, "full_outer").select(
@@ -283,9 +288,9 @@ def apply_changes(old: DataFrame, events: DataFrame) -> DataFrame:
     slots = chunks.select(*KEYS, F.explode(F.sequence(F.col("c") * EXPLODE_CHUNK + 1,
                                                       F.least(F.col("total"), (F.col("c") + 1) * EXPLODE_CHUNK)))
                           .alias("line_number")).withColumn("line_number", F.col("line_number").cast("int"))
-    free = slots.join(ins.select(*KEYS, "line_number"), [*KEYS, "line_number"], "left_anti")
-    free = prefix_sum(free, KEYS, "line_number", F.lit(1), "rank")
-    kept = free.join(survivors.select(*KEYS, "rank", "line"), [*KEYS, "rank"]).select(*KEYS, "line_number", "line")
-    kept = kept.join(upd, [*KEYS, "line_number"], "left").select(
+    free = slots.join(ins.select(*KEYS, "line_number").hint("merge"), [*KEYS, "line_number"], "left_anti")
+    free = materialize(prefix_sum(free, KEYS, "line_number", F.lit(1), "rank"), "free")
+    kept = free.join(survivors.hint("merge"), [*KEYS, "rank"]).select(*KEYS, "line_number", "line")
+    kept = kept.join(upd.hint("merge"), [*KEYS, "line_number"], "left").select(
         *KEYS, "line_number", F.coalesce("upd", "line").alias("line"))
     return kept.unionByName(ins.select(*KEYS, "line_number", "line"))
